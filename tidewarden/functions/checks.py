@@ -124,13 +124,22 @@ def slug_file_errors(slug: Column, file_name: Column) -> Column:
     return gather(failure("slug", "file_mismatch", ~slug.eqNullSafe(stem)))
 
 
-def extra_keys(json_text: Column, allowed: Sequence[str]) -> Column:
-    """Keys of a JSON object that the contract does not know."""
-    return F.array_except(F.json_object_keys(json_text), F.array(*[F.lit(f) for f in allowed]))
+def extra_keys(keys: Column, allowed: Sequence[str]) -> Column:
+    """Keys of a JSON object, as `json_object_keys` lists them, that the contract lacks."""
+    return F.array_except(keys, F.array(*[F.lit(f) for f in allowed]))
 
 
-def missing_keys(json_text: Column, required: Sequence[str]) -> Column:
-    return F.array_except(F.array(*[F.lit(f) for f in required]), F.json_object_keys(json_text))
+def missing_keys(keys: Column, required: Sequence[str]) -> Column:
+    return F.array_except(F.array(*[F.lit(f) for f in required]), keys)
+
+
+def key_errors(keys: Column, kind: str) -> Column:
+    """An error of one kind for each key."""
+    return F.transform(keys, lambda k: F.struct(k.alias("loc"), F.lit(kind).alias("type")))
+
+
+def malformed() -> Column:
+    return gather(failure("", "malformed", F.lit(True)))
 
 
 def failing_fields(errors: Column) -> Column:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewarden import contracts as C
 
-# Spark's trim takes spaces only; this class also covers tabs, line ends and Unicode spaces.
-BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+# Spark's plain trim takes spaces only. All characters that count as whitespace.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def strip(text: Column) -> Column:
     """Text without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def passes_length(text: Column, regime: Column | str) -> Column:
@@ -86,26 +95,34 @@ def normalise_enum(answer: Column, values: Sequence[str]) -> Column:
 
 def normalise_rule_list(answer: Column, rule_ids: Column) -> Column:
     """Comma-separated rule ids -> struct<value, error>."""
-    ids = F.filter(F.transform(F.split(answer, ","), strip), lambda x: x != "")
-    error = (
-        F.when(answer.isNull(), "missing")
-        .when(F.size(F.array_except(ids, rule_ids)) > 0, "unknown")
-        .when(F.size(ids) > F.size(F.array_distinct(ids)), "duplicate")
-        .when(F.size(ids) > C.MAX_VIOLATED_RULES, "too_many")
-    )
-    return F.struct(F.when(error.isNull(), ids).alias("value"), error.alias("error"))
+
+    def check(ids: Column) -> Column:
+        error = (
+            F.when(ids.isNull(), "missing")
+            .when(F.size(F.array_except(ids, rule_ids)) > 0, "unknown")
+            .when(F.size(ids) > F.size(F.array_distinct(ids)), "duplicate")
+            .when(F.size(ids) > C.MAX_VIOLATED_RULES, "too_many")
+        )
+        return F.struct(F.when(error.isNull(), ids).alias("value"), error.alias("error"))
+
+    return bind(F.filter(F.transform(F.split(answer, ","), strip), lambda x: x != ""), check)
 
 
 def normalise_spans(lines: Column) -> Column:
     """Entered lines -> struct<value, error>: up to the first blank line, five at most."""
-    clean = F.transform(lines, strip)
-    blank = F.array_position(clean, "").cast("int")
-    upto = F.when(blank == 0, F.size(clean)).otherwise(blank - 1)
-    spans = F.slice(clean, 1, F.least(F.lit(C.MAX_SPANS), upto))
-    error = F.when(lines.isNull(), "missing").when(
-        F.exists(spans, lambda s: F.length(s) > C.MAX_SPAN_CHARS), "too_long"
-    )
-    return F.struct(F.when(error.isNull(), spans).alias("value"), error.alias("error"))
+
+    def entered(clean: Column) -> Column:
+        blank = F.array_position(clean, "").cast("int")
+        upto = F.when(blank == 0, F.size(clean)).otherwise(blank - 1)
+        return F.slice(clean, 1, F.least(F.lit(C.MAX_SPANS), upto))
+
+    def check(spans: Column) -> Column:
+        error = F.when(spans.isNull(), "missing").when(
+            F.exists(spans, lambda s: F.length(s) > C.MAX_SPAN_CHARS), "too_long"
+        )
+        return F.struct(F.when(error.isNull(), spans).alias("value"), error.alias("error"))
+
+    return bind(bind(F.transform(lines, strip), entered), check)
 
 
 def normalise_confidence(answer: Column) -> Column:

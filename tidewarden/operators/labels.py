@@ -121,20 +121,26 @@ def rank_pairings(
     )
 
 
-def foils(judgments: DataFrame, content: Sequence[str]) -> DataFrame:
+def foils(judgments: DataFrame, content: Sequence[str], slugs: Sequence[str]) -> DataFrame:
     """Content judged differently under different rule sets, with the slugs on each side.
 
-    Slugs are collected as sets before the shuffle, so copies of a content row add nothing.
+    One pair of flags per rule set is aggregated before the shuffle, so copies of a content row
+    add nothing, and no set is built.
     """
-    sides = judgments.groupBy(*content).agg(
-        F.array_sort(F.collect_set(F.when(F.col("violates_policy"), F.col("slug")))).alias(
-            "violating"
-        ),
-        F.array_sort(F.collect_set(F.when(~F.col("violates_policy"), F.col("slug")))).alias(
-            "allowing"
-        ),
-    )
-    return sides.where((F.size("violating") > 0) & (F.size("allowing") > 0))
+    violates = F.col("violates_policy")
+
+    def sides(verdict: Column, tag: str) -> list[Column]:
+        return [
+            F.max((F.col("slug") == s) & verdict).alias(f"_{tag}{i}") for i, s in enumerate(slugs)
+        ]
+
+    def named(tag: str) -> Column:
+        each = [F.when(F.col(f"_{tag}{i}"), F.lit(s)) for i, s in enumerate(slugs)]
+        return F.array_sort(F.array_compact(F.array(*each)))
+
+    flags = judgments.groupBy(*content).agg(*sides(violates, "v"), *sides(~violates, "a"))
+    both = flags.select(*content, named("v").alias("violating"), named("a").alias("allowing"))
+    return both.where((F.size("violating") > 0) & (F.size("allowing") > 0))
 
 
 def foil_matrix(judgments: DataFrame, content: Sequence[str], slugs: Sequence[str]) -> DataFrame:

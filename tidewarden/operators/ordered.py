@@ -58,7 +58,7 @@ def runs(
     """Maximal runs of neighbouring rows: keys, value, started_at, ended_at, n_rows.
 
     `linked(earlier_ts, earlier_value, ts, value)` tells whether a row continues the run of the
-    row before it. The value must be the same within a run or not matter; the smallest is shown.
+    row before it. All rows of a run must have the same value.
     """
     spanned = df.select(
         *keys,
@@ -74,19 +74,17 @@ def runs(
     pieces = (
         spanned.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(so_far))
-        .groupBy(*keys, "_span", "_run")
+        .groupBy(*keys, "_span", "_run", "_value")
         .agg(
             F.min("_ts").alias("_start"),
-            F.min_by("_tie", F.struct("_ts", "_tie")).alias("_tie"),
             F.max("_ts").alias("_end"),
             F.count(F.lit(1)).alias("_n"),
-            F.min("_value").alias("_value"),
         )
         .withColumn("_last", F.max("_run").over(Window.partitionBy(*keys, "_span")))
     )
     at_border = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
 
-    across = Window.partitionBy(*keys).orderBy("_start", "_tie")
+    across = Window.partitionBy(*keys).orderBy("_span", "_run")
     other_span = F.lag("_span").over(across) < F.col("_span")
     joins = other_span & linked(
         F.lag("_end").over(across), F.lag("_value").over(across), F.col("_start"), F.col("_value")
@@ -96,14 +94,13 @@ def runs(
         pieces.where(at_border)
         .withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
         .withColumn("_group", F.sum("_new").over(all_before))
-        .groupBy(*keys, "_group")
+        .groupBy(*keys, "_group", "_value")
         .agg(
-            F.min("_value").alias("_value"),
             F.min("_start").alias("_start"),
             F.max("_end").alias("_end"),
             F.sum("_n").alias("_n"),
         )
-        .drop("_group")
+        .select(*keys, "_value", "_start", "_end", "_n")
     )
     inner = pieces.where(~at_border).select(*keys, "_value", "_start", "_end", "_n")
     return inner.unionByName(merged).select(

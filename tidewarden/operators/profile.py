@@ -117,7 +117,7 @@ def score_profile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.
         "bin", "n", "smallest", (F.col("upto") - F.col("rows")).alias("before")
     )
     fine = (
-        values.join(wanted, "bin")
+        values.join(F.broadcast(wanted), "bin")  # one row per rank at most
         .groupBy("bin", "n", "smallest", "before", "value")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )

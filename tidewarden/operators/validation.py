@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden import contracts as C
-from tidewarden.functions import checks
+from tidewarden.functions import checks, text
 
 
 class ContractError(ValueError):
@@ -29,7 +29,8 @@ def check_slug_matches_file(df: DataFrame, slug: str, file_name: str) -> DataFra
     return df.withColumn("errors", checks.slug_file_errors(F.col(slug), F.col(file_name)))
 
 
-# JSON kind expected for each judgment field, as Spark's variant schema spells it.
+# JSON kind of each judgment field, as Spark's variant schema spells it.
+_NUMBER = r"(BIGINT|DOUBLE|DECIMAL.*)"
 _KINDS = {
     "violates_policy": r"BOOLEAN",
     "violated_rules": r"ARRAY<(STRING|VOID)>",
@@ -37,66 +38,98 @@ _KINDS = {
     "primary_category": r"STRING",
     "evidence_spans": r"ARRAY<(STRING|VOID)>",
     "suggested_action": r"STRING",
-    "confidence": r"(BIGINT|DOUBLE|DECIMAL.*)",
+    "confidence": _NUMBER,
     "reasoning": r"STRING",
 }
-_LISTS = C.JUDGMENT_DEFAULTED
+# Words and kinds taken for a truth value or a number when types are read leniently.
+_LAX_TRUE = ("true", "t", "yes", "y", "on", "1")
+_LAX_FALSE = ("false", "f", "no", "n", "off", "0")
 
 
-def parse_judgment(df: DataFrame, json_column: str, into: str = "judgment") -> DataFrame:
+def _member(document: Column, field: str, kind: str) -> Column:
+    return F.try_variant_get(document, f"$.{field}", kind)
+
+
+def _lax_flag(document: Column) -> Column:
+    """A truth value, 0 or 1, or a word for one; null if it is none of these."""
+    kind = F.schema_of_variant(_member(document, "violates_policy", "variant"))
+    number = _member(document, "violates_policy", "double")
+    word = F.lower(_member(document, "violates_policy", "string"))
+    return (
+        F.when(kind == "BOOLEAN", _member(document, "violates_policy", "boolean"))
+        .when(kind.rlike(f"^{_NUMBER}$"), F.when(number == 1, True).when(number == 0, False))
+        .when(
+            kind == "STRING", F.when(word.isin(*_LAX_TRUE), True).when(word.isin(*_LAX_FALSE), False)
+        )
+    )
+
+
+def _lax_number(document: Column) -> Column:
+    """A number, a text that spells one, or a truth value as 0 or 1; else null."""
+    kind = F.schema_of_variant(_member(document, "confidence", "variant"))
+    word = text.strip(_member(document, "confidence", "string"))
+    return (
+        F.when(kind.rlike(f"^{_NUMBER}$"), _member(document, "confidence", "double"))
+        .when(kind == "STRING", F.when(word.rlike(text.NUMBER), word.try_cast("double")))
+        .when(kind == "BOOLEAN", _member(document, "confidence", "boolean").cast("double"))
+    )
+
+
+def parse_judgment(
+    df: DataFrame, json_column: str, into: str = "judgment", lax: bool = False
+) -> DataFrame:
     """JSON text -> judgment struct and `errors`; bad text makes an error row, not a failure.
 
-    JSON types are taken strictly. Absent lists become empty. The value checks run on documents
-    whose fields all have the right type.
+    JSON types are taken strictly, unless `lax`: then truth values may be spelled as 0, 1 or a
+    word and the confidence as text. Absent lists become empty. The value checks run on
+    documents whose fields all have the right type.
     """
-    raw = F.col(json_column)
-    document = F.try_parse_json(raw)
-    keys = F.json_object_keys(raw)
-    is_object = F.schema_of_variant(document).startswith("OBJECT")
-
-    def kind(field: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
-
-    def odd(field: str) -> Column:
-        present = F.array_contains(keys, field)
-        return present & ~F.coalesce(kind(field), F.lit("VOID")).rlike(f"^{_KINDS[field]}$")
-
-    shape = F.when(
-        is_object,
-        F.concat(
-            F.transform(
-                checks.extra_keys(raw, C.JUDGMENT_FIELDS),
-                lambda k: F.struct(k.alias("loc"), F.lit("extra").alias("type")),
-            ),
-            F.transform(
-                checks.missing_keys(raw, C.JUDGMENT_REQUIRED),
-                lambda k: F.struct(k.alias("loc"), F.lit("missing").alias("type")),
-            ),
-            checks.gather(*[checks.failure(f, "type", odd(f)) for f in C.JUDGMENT_FIELDS]),
-        ),
-    ).otherwise(checks.gather(checks.failure("", "malformed", F.lit(True))))
+    raw, document, keys = F.col(json_column), F.col("_document"), F.col("_keys")
+    lenient = {"violates_policy": _lax_flag, "confidence": _lax_number} if lax else {}
+
+    def mistyped(field: str) -> Column:
+        if field in lenient:
+            wrong = F.col("_values")[field].isNull()
+        else:
+            kind = F.schema_of_variant(_member(document, field, "variant"))
+            wrong = ~F.coalesce(kind, F.lit("VOID")).rlike(f"^{_KINDS[field]}$")
+        return F.array_contains(keys, field) & wrong
 
     def value(field: str) -> Column:
-        got = F.try_variant_get(document, f"$.{field}", C.JUDGMENT[field].dataType.simpleString())
-        if field in _LISTS:
-            got = F.when(F.array_contains(keys, field), got).otherwise(
-                F.array().cast("array<string>")
-            )
-        return got.alias(field)
-
-    shaped = df.withColumn("_shape", F.coalesce(shape, _malformed())).withColumn(
-        into, F.when(F.size("_shape") == 0, F.struct(*[value(f) for f in C.JUDGMENT_FIELDS]))
+        if field in lenient:
+            return lenient[field](document).alias(field)
+        found = _member(document, field, C.JUDGMENT[field].dataType.simpleString())
+        if field in C.JUDGMENT_DEFAULTED:
+            empty = F.array().cast("array<string>")
+            found = F.when(F.array_contains(keys, field), found).otherwise(empty)
+        return found.alias(field)
+
+    # Staged in columns, so that a text is parsed once and not once per field.
+    shaped = (
+        df.withColumns({"_document": F.try_parse_json(raw), "_keys": F.json_object_keys(raw)})
+        .withColumn("_values", F.struct(*[value(f) for f in C.JUDGMENT_FIELDS]))
+        .withColumn(
+            "_shape",
+            F.when(document.isNull() | keys.isNull(), checks.malformed()).otherwise(
+                F.concat(
+                    checks.key_errors(checks.extra_keys(keys, C.JUDGMENT_FIELDS), "extra"),
+                    checks.key_errors(checks.missing_keys(keys, C.JUDGMENT_REQUIRED), "missing"),
+                    checks.gather(
+                        *[checks.failure(f, "type", mistyped(f)) for f in C.JUDGMENT_FIELDS]
+                    ),
+                )
+            ),
+        )
+    )
+    well_shaped = F.size("_shape") == 0
+    return (
+        shaped.withColumn(into, F.when(well_shaped, F.col("_values")))
+        .withColumn(
+            "errors",
+            F.when(well_shaped, checks.judgment_errors(F.col(into))).otherwise(F.col("_shape")),
+        )
+        .drop("_document", "_keys", "_values", "_shape")
     )
-    return shaped.withColumn(
-        "errors",
-        F.when(F.size("_shape") == 0, checks.judgment_errors(F.col(into))).otherwise(
-            F.col("_shape")
-        ),
-    ).drop("_shape")
-
-
-def _malformed() -> Column:
-    return checks.gather(checks.failure("", "malformed", F.lit(True)))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,16 +139,11 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def gate_all_or_nothing(validated: DataFrame) -> DataFrame:
-    """The rows, if every one is valid. Otherwise raises, with the number of each error."""
-    kinds = (
-        validated.select(F.explode("errors").alias("e"))
-        .groupBy("e.loc", "e.type")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("loc", "type")
-        .collect()
-    )
+    """The rows, if every one is valid. Otherwise raises, with the commonest errors."""
+    commonest = error_report(validated).orderBy(F.desc("n_rows"), "loc", "type").limit(50)
+    kinds = commonest.collect()
     if kinds:
-        seen = ", ".join(f"{k.loc}:{k.type} x{k.n}" for k in kinds)
+        seen = ", ".join(f"{k['loc']}:{k['type']} x{k['n_rows']}" for k in kinds)
         raise ContractError(f"nothing written, invalid rows: {seen}")
     return validated.drop("errors")
 

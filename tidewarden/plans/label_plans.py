@@ -319,6 +319,33 @@ def _(spark, d):
     )
 
 
+@query(
+    "parse_judgment_lax",
+    f"""SELECT doc_id, CASE WHEN doc_id % 12 IN (3, 4) AND errors LIKE '%:type' THEN
+               CASE WHEN length(text) > 400 AND doc_id % 3 = 0 THEN
+                         'reasoning:too_long,violated_rules:duplicate'
+                    WHEN length(text) > 400 THEN 'reasoning:too_long'
+                    WHEN doc_id % 3 = 0 THEN 'violated_rules:duplicate' ELSE '' END
+               ELSE errors END AS errors
+        FROM ({JSON_ERRORS_SQL}) JOIN documents USING (doc_id)""",
+)
+def _(spark, d):
+    lines = json_labels(views.table(spark, d, "documents"))
+    return validation.parse_judgment(lines, "line", lax=True).select(
+        "doc_id", checks.error_text(F.col("errors")).alias("errors")
+    )
+
+
+@query(
+    "gate_all_or_nothing",
+    f"SELECT doc_id FROM judged WHERE {JUDGMENT_ERRORS} = ''",
+    "judged",
+)
+def _(spark, d):
+    valid, _ = validation.split_valid(checked(spark, d))
+    return validation.gate_all_or_nothing(validation.validate_judgment(valid)).select("doc_id")
+
+
 @query(
     "forbid_extra",
     f"""SELECT doc_id, CASE WHEN doc_id % 12 = 2 THEN 'note' ELSE '' END AS extra FROM ({_JSON_SQL})
@@ -328,7 +355,7 @@ def _(spark, d):
     lines = json_labels(views.table(spark, d, "documents"))
     return lines.where(F.json_object_keys("line").isNotNull()).select(
         "doc_id",
-        F.array_join(checks.extra_keys(F.col("line"), C.JUDGMENT_FIELDS), ",").alias("extra"),
+        F.array_join(checks.extra_keys(F.json_object_keys("line"), C.JUDGMENT_FIELDS), ",").alias("extra"),
     )
 
 
@@ -342,7 +369,7 @@ def _(spark, d):
     lines = json_labels(views.table(spark, d, "documents"))
     return lines.where(F.json_object_keys("line").isNotNull()).select(
         "doc_id",
-        F.array_join(checks.missing_keys(F.col("line"), C.JUDGMENT_REQUIRED), ",").alias("missing"),
+        F.array_join(checks.missing_keys(F.json_object_keys("line"), C.JUDGMENT_REQUIRED), ",").alias("missing"),
     )
 
 
@@ -396,10 +423,12 @@ def _(spark, d):
 
 @query(
     "check_unique",
-    "SELECT text, count(*) AS n_rows FROM documents GROUP BY text HAVING count(*) > 1",
+    """SELECT sha256(text) AS text_hash, count(*) AS n_rows FROM documents
+       GROUP BY text HAVING count(*) > 1""",
 )
 def _(spark, d):
-    return validation.check_unique(views.table(spark, d, "documents"), ["text"])
+    hashed = views.table(spark, d, "documents").select(F.sha2("text", 256).alias("text_hash"))
+    return validation.check_unique(hashed, ["text_hash"])
 
 
 # --- normalisers: answers are made from the tables, one kind of answer per row ---
@@ -831,7 +860,7 @@ def _(spark, d):
     "verdicts",
 )
 def _(spark, d):
-    found = labels.foils(verdicts(spark, d), ["doc_id"])
+    found = labels.foils(verdicts(spark, d), ["doc_id"], views.SLUGS)
     return found.select(
         "doc_id",
         F.array_join("violating", ",").alias("violating"),

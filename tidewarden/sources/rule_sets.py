@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ try:
 except ImportError:  # YAML catalogs need the yaml package on the executors
     yaml = None
 
+# The converter travels to the executors with the job, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _to_json(text: str) -> str | None:
     try:
@@ -52,33 +57,22 @@ def load_rule_sets(spark: SparkSession, path: str) -> DataFrame:
 
 def rule_sets_from_json(files: DataFrame) -> DataFrame:
     """file_name, document (JSON text) -> file_name, rule_set, errors; other columns stay."""
-    raw = F.col("document")
-    defaulted = ("version",)
-    required = [f for f in C.RULE_SET_FIELDS if f not in defaulted]
-    is_object = F.json_object_keys(raw).isNotNull()
-    parsed = files.withColumn("rule_set", F.from_json(raw, C.RULE_SET)).withColumn(
-        "rule_set",
-        F.col("rule_set").withField("version", F.coalesce("rule_set.version", F.lit(1))),
-    )
+    raw, rule_set = F.col("document"), F.col("rule_set")
+    required = [f for f in C.RULE_SET_FIELDS if f != "version"]
+    parsed = files.withColumns(
+        {"_keys": F.json_object_keys(raw), "rule_set": F.from_json(raw, C.RULE_SET)}
+    ).withColumn("rule_set", rule_set.withField("version", F.coalesce("rule_set.version", F.lit(1))))
     shape = F.concat(
-        F.transform(
-            checks.extra_keys(raw, C.RULE_SET_FIELDS),
-            lambda k: F.struct(k.alias("loc"), F.lit("extra").alias("type")),
-        ),
-        F.transform(
-            checks.missing_keys(raw, required),
-            lambda k: F.struct(k.alias("loc"), F.lit("missing").alias("type")),
-        ),
+        checks.key_errors(checks.extra_keys(F.col("_keys"), C.RULE_SET_FIELDS), "extra"),
+        checks.key_errors(checks.missing_keys(F.col("_keys"), required), "missing"),
     )
     values = F.concat(
-        checks.rule_set_errors(F.col("rule_set")),
-        checks.slug_file_errors(F.col("rule_set.slug"), F.col("file_name")),
+        checks.rule_set_errors(rule_set), checks.slug_file_errors(rule_set.slug, F.col("file_name"))
     )
-    malformed = checks.gather(checks.failure("", "malformed", F.lit(True)))
-    errors = F.when(~F.coalesce(is_object, F.lit(False)), malformed).otherwise(
+    errors = F.when(F.col("_keys").isNull(), checks.malformed()).otherwise(
         F.array_distinct(F.concat(shape, values))
     )
-    return parsed.withColumn("errors", errors).drop("document")
+    return parsed.withColumn("errors", errors).drop("document", "_keys")
 
 
 def rule_table(validated: DataFrame) -> DataFrame:

@@ -6,19 +6,22 @@ folder, so a run that lost executors or was stopped goes on where it was.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewarden import contracts as C
-from tidewarden.functions import checks
 from tidewarden.operators import ordered, validation
 
+# The state function travels to the executors with the job, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_validate(labels: DataFrame, json_column: str, out: str) -> StreamingQuery:
     """Label lines -> `out/valid` and `out/quarantine`, split batch by batch.
@@ -65,6 +68,9 @@ def latest_counts(updates: DataFrame) -> DataFrame:
     return updates.groupBy("bucket").agg(last.alias("last")).select("bucket", "last.*")
 
 
+_MERGE_BEFORE_SHUFFLE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def stream_sessions(
     events: DataFrame, user: str, out: str, gap: str = "90 minutes", late: str = "1 hour"
 ) -> StreamingQuery:
@@ -75,14 +81,22 @@ def stream_sessions(
         .agg(F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_events"))
         .select(user, F.col("sitting.start").alias("started_at"), "ended_at", "n_events")
     )
-    return (
-        sittings.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{out}/sittings")
-        .option("checkpointLocation", f"{out}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    # Sittings are merged in the map tasks first, so a busy user does not send every event. A
+    # query keeps the settings it was started with.
+    conf, pre_merge = events.sparkSession.conf, _MERGE_BEFORE_SHUFFLE
+    before = conf.get(pre_merge)
+    conf.set(pre_merge, "true")
+    try:
+        return (
+            sittings.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{out}/sittings")
+            .option("checkpointLocation", f"{out}/_checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(pre_merge, before)
 
 
 _STATE = "ts array<bigint>, user_id array<bigint>, event_id array<bigint>, own array<boolean>, told array<boolean>"
