@@ -18,6 +18,9 @@ def tables():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, tables, name):
     df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for avoided in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert avoided not in plan
     if name in SQL:
         assert differences(df, tables, SQL[name]) == []
     else:

@@ -131,14 +131,14 @@ def latest_session(sessions: DataFrame, by: Sequence[str], modified: str) -> Dat
 def infer_sessions(
     events: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_minutes: int = C.COOLDOWN_MINUTES
 ) -> DataFrame:
-    """Sittings: events of a key with breaks shorter than the gap, as session windows give them."""
+    """Sittings: events of a key with no break longer than the gap, as session windows give them."""
     sittings = ordered.runs(
         events.withColumn("_one", F.lit(1)),
         keys,
         ts,
         tie,
         "_one",
-        lambda earlier, _, later, __: times.minutes_between(earlier, later) < gap_minutes,
+        lambda earlier, _, later, __: times.minutes_between(earlier, later) <= gap_minutes,
     )
     return sittings.drop("_one").withColumnRenamed("n_rows", "n_events")
 

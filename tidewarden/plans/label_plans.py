@@ -821,12 +821,14 @@ def _(spark, d):
     "derive_labels_binary",
     """SELECT f.doc_id, r.slug, CASE WHEN f.toxicity = 1 THEN p.rule_id ELSE '' END AS rules,
               f.toxicity = 1 AS violates_policy
-       FROM flags f JOIN rule_sets r ON r.regime = 'chat'
+       FROM flags f JOIN rule_sets r
+         ON (length(f.user_input) < 150) = (r.regime = 'chat')
        LEFT JOIN positive p ON p.slug = r.slug""",
     "flags rule_sets positive",
 )
 def _(spark, d):
-    rows = views.flags(spark, d).withColumn("regime", F.lit("chat"))
+    regime = F.when(F.length("user_input") < 150, "chat").otherwise("comment")
+    rows = views.flags(spark, d).withColumn("regime", regime)
     paired = labels.pair_with_rule_sets(rows, views.rule_sets(spark))
     return labels.derive_labels_binary(paired, "toxicity", views.positive_rules(spark)).select(
         "doc_id", "slug", F.array_join("violated_rules", ",").alias("rules"), "violates_policy"

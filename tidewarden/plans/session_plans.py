@@ -186,7 +186,7 @@ _SITTINGS = """
     SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_events
     FROM (SELECT user_id, ts, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
           FROM (SELECT user_id, ts, event_id,
-                       CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 5400000000 THEN 0
+                       CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 5400000000 THEN 0
                             ELSE 1 END AS is_new
                 FROM messages WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
     GROUP BY user_id, run"""
