@@ -1,5 +1,6 @@
 """Neighbours, runs and signals against brute force, with one key that holds most rows."""
 
+import functools
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -43,10 +44,15 @@ def _runs(rows, same):
     return found
 
 
-@pytest.mark.parametrize("seed, span", [(1, 600), (2, 3600), (3, 86_400 * 30)])
-def test_previous_crosses_spans(spark, seed, span):
+CUTS = [(1, 600, 0), (2, 3600, 100), (3, 86_400 * 30, 0), (4, 600, 10_000)]
+
+
+@pytest.mark.parametrize("seed, span, hot_rows", CUTS)
+def test_previous_crosses_spans(spark, seed, span, hot_rows):
     rows = _log(seed)
-    got = ordered.with_previous(_df(spark, rows), ["user_id"], ["ts", "event_id"], ["event_id"], span)
+    got = ordered.with_previous(
+        _df(spark, rows), ["user_id"], ["ts", "event_id"], ["event_id"], span, hot_rows
+    )
     found = {r["event_id"]: r["previous"] and r["previous"]["event_id"] for r in got.collect()}
     wanted = {}
     for user in range(5):
@@ -56,11 +62,18 @@ def test_previous_crosses_spans(spark, seed, span):
     assert found == wanted
 
 
-@pytest.mark.parametrize("seed, span", [(1, 600), (2, 3600), (3, 86_400 * 30)])
-def test_value_runs_cross_spans(spark, seed, span):
+@pytest.mark.parametrize("seed, span, hot_rows", CUTS)
+def test_value_runs_cross_spans(spark, seed, span, hot_rows):
     rows = _log(seed)
     got = ordered.runs(
-        _df(spark, rows), ["user_id"], "ts", "event_id", "text", lambda _, a, __, b: a == b, span
+        _df(spark, rows),
+        ["user_id"],
+        "ts",
+        "event_id",
+        "text",
+        lambda _, a, __, b: a == b,
+        span,
+        hot_rows,
     )
     wanted = sorted(
         (u, run[0][4], run[0][1].replace(tzinfo=None), run[-1][1].replace(tzinfo=None), len(run))
@@ -69,8 +82,10 @@ def test_value_runs_cross_spans(spark, seed, span):
     assert sorted(tuple(r) for r in got.collect()) == wanted
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_sittings_equal_session_windows(spark, seed):
+@pytest.mark.parametrize("seed, hot_rows", [(4, 0), (5, 30), (6, 10_000)])
+def test_sittings_equal_session_windows(spark, monkeypatch, seed, hot_rows):
+    cut = functools.partial(ordered.runs, hot_rows=hot_rows)
+    monkeypatch.setattr(ordered, "runs", cut)
     df = _df(spark, _log(seed, n=200, hours=200, step=900))
     got = sessions.infer_sessions(df, ["user_id"], "ts", "event_id")
     windows = df.groupBy("user_id", F.session_window("ts", "90 minutes").alias("w")).agg(

@@ -26,6 +26,15 @@ def test_prefix_is_the_start_of_the_stream(ids, n):
     assert got == _stream(7, range(5000))[:n]
 
 
+@pytest.mark.parametrize("n", [1, 600, 5000, 9000])
+def test_long_prefixes_are_ranked_in_bins(ids, monkeypatch, n):
+    monkeypatch.setattr(ordering, "DIRECT_ROWS", 0)
+    wanted = _stream(7, range(5000))[:n]
+    assert [r["k"] for r in ordering.scan_prefix(ids, n, "k", 7).collect()] == wanted
+    rows = ordering.stream(ids, n, "k", 7).collect()
+    assert {r["stream_idx"]: r["k"] for r in rows} == dict(enumerate(wanted))
+
+
 def test_prefix_of_nothing(spark):
     assert ordering.scan_prefix(spark.range(0), 5, "id", 1).count() == 0
 

@@ -180,6 +180,7 @@ LINES = [
     (json.dumps({**GOOD, "violated_rules": [1]}), ["violated_rules:type"], ["violated_rules:type"]),
     (json.dumps({**GOOD, "violated_rules": "R1"}), ["violated_rules:type"], ["violated_rules:type"]),
     (json.dumps({**GOOD, "violated_rules": []}), [], []),
+    ('{"severity": "low", ' + json.dumps(GOOD)[1:], [":malformed"], [":malformed"]),
 ]
 
 

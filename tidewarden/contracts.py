@@ -181,6 +181,35 @@ AUDIT_ROW = _struct(
     judgment=JUDGMENT,
     dev_mode=_BOOL,
 )
+APPROVED_ROW = T.StructType(
+    [
+        *(f for f in AUDIT_ROW.fields if f.name != "content"),
+        T.StructField(
+            "content", T.StructType([*AUDIT_CONTENT.fields, T.StructField("bucket", _STR)])
+        ),
+        T.StructField(
+            "provenance",
+            _struct(initial_author=_STR, reviewed_by=_STR, drafted_at=_TS, reviewed_at=_TS),
+        ),
+    ]
+)
+ADVERSARIAL_ROW = T.StructType(
+    [
+        *(f for f in AUDIT_ROW.fields if f.name != "content"),
+        T.StructField(
+            "content",
+            T.StructType(
+                [
+                    *AUDIT_CONTENT.fields,
+                    T.StructField("prior_context", T.ArrayType(_STR)),
+                    T.StructField("rule_set_foil", _STR),
+                    T.StructField("edge_tested", _STR),
+                ]
+            ),
+        ),
+        T.StructField("expected_classifier_disagreement", _BOOL),
+    ]
+)
 SESSION = _struct(
     session_id=_STR,
     rule_set_slug=_STR,

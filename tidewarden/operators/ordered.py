@@ -1,8 +1,8 @@
 """Neighbours and runs in time order per key, for keys of any size.
 
-A key may hold a large share of all rows, so no window runs over a whole key. Windows run over
-(key, time span); what crosses a span border is settled among the first and last entries of the
-spans, of which a key has two per span.
+Most keys have few rows and are settled by one window over the key. A key may also hold a large
+share of all rows; the windows of such a key run over (key, time span), and what crosses a span
+border is settled among the first and last entries of its spans, of which it has two per span.
 """
 
 from __future__ import annotations
@@ -13,37 +13,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SPAN_SECONDS = 6 * 3600
+SPAN_SECONDS = 3600
+# A key with more rows than this is cut into time spans.
+HOT_ROWS = 1_000_000
 
 
 def span_of(ts: Column, seconds: int = SPAN_SECONDS) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds))
 
 
+def with_span(
+    df: DataFrame, keys: Sequence[str], ts: str, span_seconds: int, hot_rows: int
+) -> DataFrame:
+    """Adds `_span`: the time span of a row of a hot key, null for the rows of other keys.
+
+    There are at most (rows / hot_rows) hot keys, which bounds what is broadcast.
+    """
+    sizes = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    hot = sizes.where(F.col("_rows") > hot_rows).withColumn("_hot", F.lit(True)).drop("_rows")
+    same_key = F.lit(True)
+    for k in keys:
+        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    marked = df.join(F.broadcast(hot), same_key, "left")
+    span = F.when(F.col("_hot"), span_of(F.col(ts), span_seconds))
+    return marked.withColumn("_span", span).drop("_hot", *[f"_key_{k}" for k in keys])
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
     span_seconds: int = SPAN_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds `previous`: a struct of columns of the row before, in the order within the key.
 
     The first of the order columns is the time.
     """
-    spanned = df.withColumn("_span", span_of(F.col(order[0]), span_seconds))
+    spanned = with_span(df, keys, order[0], span_seconds, hot_rows)
     local = Window.partitionBy(*keys, "_span").orderBy(*order)
     carried = F.struct(*columns)
     marked = spanned.withColumn("previous", F.lag(carried).over(local)).withColumn(
         "_is_last", F.lead(F.lit(True)).over(local).isNull()
     )
-    first = F.col("previous").isNull()
+    is_hot, is_first = F.col("_span").isNotNull(), F.col("previous").isNull()
     across = Window.partitionBy(*keys).orderBy(*order)
-    borders = marked.where(first | F.col("_is_last")).withColumn(
+    borders = marked.where(is_hot & (is_first | F.col("_is_last"))).withColumn(
         "_before", F.lag(carried).over(across)
     )
-    settled = borders.where(first).withColumn("previous", F.col("_before")).drop("_before")
-    return marked.where(~first).unionByName(settled).drop("_span", "_is_last")
+    settled = borders.where(is_first).withColumn("previous", F.col("_before")).drop("_before")
+    inner = marked.where(~(is_hot & is_first))
+    return inner.unionByName(settled).drop("_span", "_is_last")
 
 
 def runs(
@@ -54,18 +77,20 @@ def runs(
     value: str,
     linked: Callable[[Column, Column, Column, Column], Column],
     span_seconds: int = SPAN_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Maximal runs of neighbouring rows: keys, value, started_at, ended_at, n_rows.
 
     `linked(earlier_ts, earlier_value, ts, value)` tells whether a row continues the run of the
     row before it. All rows of a run must have the same value.
     """
-    spanned = df.select(
+    rows = df.select(
         *keys,
         F.col(ts).cast("timestamp").alias("_ts"),
         F.col(tie).alias("_tie"),
         F.col(value).alias("_value"),
-    ).withColumn("_span", span_of(F.col("_ts"), span_seconds))
+    )
+    spanned = with_span(rows, keys, "_ts", span_seconds, hot_rows)
     local = Window.partitionBy(*keys, "_span").orderBy("_ts", "_tie")
     goes_on = linked(
         F.lag("_ts").over(local), F.lag("_value").over(local), F.col("_ts"), F.col("_value")
@@ -80,8 +105,11 @@ def runs(
             F.max("_ts").alias("_end"),
             F.count(F.lit(1)).alias("_n"),
         )
-        .withColumn("_last", F.max("_run").over(Window.partitionBy(*keys, "_span")))
     )
+    is_hot = F.col("_span").isNotNull()
+    cold = pieces.where(~is_hot)
+    last = F.max("_run").over(Window.partitionBy(*keys, "_span"))
+    hot = pieces.where(is_hot).withColumn("_last", last)
     at_border = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
 
     across = Window.partitionBy(*keys).orderBy("_span", "_run")
@@ -91,7 +119,7 @@ def runs(
     )
     all_before = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = (
-        pieces.where(at_border)
+        hot.where(at_border)
         .withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
         .withColumn("_group", F.sum("_new").over(all_before))
         .groupBy(*keys, "_group", "_value")
@@ -100,10 +128,14 @@ def runs(
             F.max("_end").alias("_end"),
             F.sum("_n").alias("_n"),
         )
-        .select(*keys, "_value", "_start", "_end", "_n")
     )
-    inner = pieces.where(~at_border).select(*keys, "_value", "_start", "_end", "_n")
-    return inner.unionByName(merged).select(
+    shown = [*keys, "_value", "_start", "_end", "_n"]
+    found = (
+        cold.select(*shown)
+        .unionByName(hot.where(~at_border).select(*shown))
+        .unionByName(merged.select(*shown))
+    )
+    return found.select(
         *keys,
         F.col("_value").alias(value),
         F.col("_start").alias("started_at"),

@@ -12,6 +12,8 @@ HASH = "_order_hash"
 _HEX_DIGITS = 12
 _SPACE = float(16**_HEX_DIGITS)
 _ALL = "g"  # sorts after every hex digit
+# Up to this many rows one task sorts and numbers a prefix; a longer one is ranked in bins.
+DIRECT_ROWS = 100_000
 
 
 def order_hash(seed: int, key: Column) -> Column:
@@ -71,18 +73,48 @@ def thin(df: DataFrame, quotas: Mapping[str, int], group: Column | None = None)
     return df.where(keep)
 
 
+def ranked(
+    df: DataFrame, quotas: Mapping[str, int], key: str, group: Column | None = None
+) -> DataFrame:
+    """The first `quota` rows of each group in hash order with their `rank`, for large quotas.
+
+    The thinned rows are counted per group and hash bin, and ranked inside their bin only, on top
+    of the rows in the bins before. There are 65,536 bins per group, which bounds the counts.
+    """
+    named = df.withColumn("_group", F.lit("") if group is None else group)
+    few = thin(named, quotas, F.col("_group")).withColumn("_bin", F.substring(HASH, 1, 4))
+    before = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+    bins = (
+        few.groupBy("_group", "_bin")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .where(F.col("_before") < F.element_at(quota, F.col("_group")))
+        .drop("_rows")
+    )
+    within = F.row_number().over(Window.partitionBy("_group", "_bin").orderBy(HASH, key))
+    return (
+        few.join(F.broadcast(bins), ["_group", "_bin"])
+        .withColumn("rank", F.col("_before") + within)
+        .where(F.col("rank") <= F.element_at(quota, F.col("_group")))
+        .drop("_group", "_bin", "_before")
+    )
+
+
 def scan_prefix(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """The first n rows in the order of the seed, before any filter. Carries the order hash."""
     hashed = df.withColumn(HASH, order_hash(seed, F.col(key)))
+    if n > DIRECT_ROWS:
+        return ranked(hashed, {"": n}, key).drop("rank").orderBy(HASH, key)
     return thin(hashed, {"": n}).orderBy(HASH, key).limit(n)
 
 
-def with_stream_idx(prefix: DataFrame, key: str) -> DataFrame:
-    """0-based position in the stream. Takes a prefix: its rows are numbered in one task."""
+def stream(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """The first n rows of the seeded stream with `stream_idx`, their 0-based positions in it."""
+    if n > DIRECT_ROWS:
+        hashed = df.withColumn(HASH, order_hash(seed, F.col(key)))
+        place = ranked(hashed, {"": n}, key).withColumn("stream_idx", F.col("rank") - 1)
+        return place.drop("rank", HASH)
     place = F.row_number().over(Window.orderBy(HASH, key)) - 1
+    prefix = scan_prefix(df, n, key, seed)
     return prefix.withColumn("stream_idx", place.cast("bigint")).drop(HASH)
-
-
-def stream(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """The first n rows of the seeded stream with their positions."""
-    return with_stream_idx(scan_prefix(df, n, key, seed), key)

@@ -14,7 +14,7 @@ from tidewarden.functions import scores, text
 from tidewarden.operators import ordering
 from tidewarden.operators.tables import literal_table
 
-# Up to this quota every task may send its own top rows; beyond it the table is thinned first.
+# Up to this quota every task may send its own top rows; beyond it groups are ranked in bins.
 DIRECT_QUOTA = 1_000
 
 
@@ -45,8 +45,10 @@ def hashed_sample(
     """Quota sample over the whole table in the order of the seed, of any quota size."""
     hashed = df.withColumn(ordering.HASH, ordering.order_hash(seed, F.col(key)))
     if max(quotas.values(), default=0) > DIRECT_QUOTA:
-        hashed = ordering.thin(hashed, quotas, F.col(group))
-    return first_n_per_group(hashed, group, quotas, [ordering.HASH, key]).drop(ordering.HASH)
+        picked = ordering.ranked(hashed, quotas, key, F.col(group))
+    else:
+        picked = first_n_per_group(hashed, group, quotas, [ordering.HASH, key])
+    return picked.drop(ordering.HASH)
 
 
 def stratified_sample(
@@ -66,14 +68,17 @@ def stratified_sample(
         "bucket", scores.bucket()
     )
     picked = first_n_per_group(eligible, "bucket", targets, ["stream_idx"])
-    return picked.select(
+    rows = picked.select(
         "stream_idx",
         "bucket",
         "text",
         F.col(key).cast("string").alias("hf_id"),
         scores.filled_features().alias("features"),
         scores.score_or_zero(F.col("sexual_explicit")).alias("sexual_explicit"),
-    ).orderBy(scores.position_of(F.col("bucket"), list(targets)), "stream_idx")
+    )
+    # The limit drops nothing; it spares the sampling job of a global sort.
+    place = scores.position_of(F.col("bucket"), list(targets))
+    return rows.orderBy(place, "stream_idx").limit(sum(targets.values()))
 
 
 def uniform_candidates(

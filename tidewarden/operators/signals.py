@@ -61,9 +61,15 @@ def pile_on(
             F.lit(False).alias("is_message"),
         ),
     )
-    line = Window.partitionBy(target, "_span").orderBy("at", "kind")
+    whole_span = Window.partitionBy(target, "_span")
+    line = whole_span.orderBy("at", "kind")
+    # Spans with too few users at all go before the second sort; their users are counted in the
+    # order the rows already have.
+    is_first = (F.row_number().over(of_user) == 1).cast("int")
     return (
-        spread.withColumn("_next", following)
+        spread.withColumns({"_next": following, "_first": is_first})
+        .withColumn("_users", F.sum("_first").over(whole_span))
+        .where(F.col("_users") >= min_users)
         .select(target, "_span", "ts", *kept, F.inline(steps))
         .withColumn("n_users", F.sum("delta").over(line))
         .where(F.col("is_message") & (F.col("n_users") >= min_users))

@@ -15,6 +15,12 @@ from tidewarden.sources import tables
 STREAM = "sha256('4096:' || CAST(doc_id AS VARCHAR))"
 
 
+@query("scan_corpus", "SELECT doc_id, text, lang FROM documents")
+def _(spark, d):
+    schema = views.table(spark, d, "documents").select("doc_id", "text", "lang").schema
+    return tables.scan_corpus(spark, f"{d}/documents.parquet", schema)
+
+
 @query(
     "seeded_shuffle",
     f"SELECT doc_id, {STREAM} AS order_hash FROM documents ORDER BY order_hash",
@@ -630,6 +636,27 @@ def _(spark, d):
     return sampling.share_check(rows, "kind", C.GENERATOR_SHARES)
 
 
+@query(
+    "call_mix_check",
+    """SELECT p.call, coalesce(k.n, 0) AS n_rows,
+              CAST(coalesce(k.n, 0) AS DOUBLE) / (SELECT count(*) FROM corpus) AS share, p.planned
+       FROM (VALUES ('clear_violation', CAST(0.4 AS DOUBLE)), ('lookalike', 0.3),
+                    ('borderline', 0.3)) AS p(call, planned)
+       LEFT JOIN (SELECT CASE WHEN toxicity >= 0.5 THEN 'clear_violation'
+                              WHEN insult >= 0.2 THEN 'lookalike' ELSE 'borderline' END AS call,
+                         count(*) AS n FROM corpus GROUP BY 1) k ON p.call = k.call""",
+    "corpus",
+)
+def _(spark, d):
+    call = (
+        F.when(F.col("toxicity") >= 0.5, "clear_violation")
+        .when(F.col("insult") >= 0.2, "lookalike")
+        .otherwise("borderline")
+    )
+    rows = views.corpus(spark, d).select(call.alias("call"))
+    return sampling.share_check(rows, "call", C.CALL_SHARES)
+
+
 @query(
     "slice_quota",
     """SELECT q.slice, coalesce(n.n, 0) AS n_rows, q.planned,

@@ -604,26 +604,14 @@ def _(spark, d):
     return labels.label_mismatches(inbox(spark, d), _stream_labels(spark, d))
 
 
-@query(
-    "build_audit_row",
-    """SELECT 'audit-' || j.slug AS session_id, '2026-01-05T09:00:00Z' AS at, 'human' AS audited_by,
-              j.slug AS rule_set_slug, j.text,
-              CASE WHEN r.regime = 'chat' THEN 'chat' ELSE 'comment' END AS regime,
-              'documents' AS source, j.stream_idx AS source_stream_idx,
-              CAST(j.doc_id AS VARCHAR) AS source_hf_id, j.obscene, j.violates_policy, j.severity,
-              j.slug = 'study_hub' AS dev_mode
-       FROM (SELECT s.stream_idx, s.obscene, s.text, j.* FROM stream s JOIN judged j USING (doc_id)
-             WHERE stream_idx < 25000) j JOIN rule_sets r ON j.slug = r.slug""",
-    "stream judged rule_sets",
-)
-def _(spark, d):
+def _audit(spark, d):
     rows = (
         _stream(spark, d)
         .withColumn("hf_id", F.col("doc_id").cast("string"))
         .join(views.judged(spark, d), "doc_id")
         .join(views.rule_sets(spark), "slug")
     )
-    audit = labels.build_audit_row(
+    return labels.build_audit_row(
         rows,
         session_id=F.concat(F.lit("audit-"), "slug"),
         timestamp=F.lit("2026-01-05 09:00:00"),
@@ -632,6 +620,22 @@ def _(spark, d):
         source="documents",
         dev_mode=F.col("slug") == "study_hub",
     )
+
+
+@query(
+    "build_audit_row",
+    """SELECT 'audit-' || j.slug AS session_id, '2026-01-05T09:00:00Z' AS at, 'human' AS audited_by,
+              j.slug AS rule_set_slug, j.text,
+              CASE WHEN r.regime = 'chat' THEN 'chat' ELSE 'comment' END AS regime,
+              'documents' AS source, j.stream_idx AS source_stream_idx,
+              CAST(j.doc_id AS VARCHAR) AS source_hf_id, j.obscene, j.violates_policy, j.severity,
+              j.slug = 'study_hub' AS dev_mode
+       FROM (SELECT s.stream_idx, s.obscene, s.text, j.* FROM stream s JOIN judged j USING (doc_id)
+             WHERE stream_idx < 25000) j JOIN rule_sets r ON j.slug = r.slug""",
+    "stream judged rule_sets",
+)
+def _(spark, d):
+    audit = _audit(spark, d)
     return audit.select(
         "session_id",
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
@@ -690,6 +694,28 @@ def _(spark, d):
     )
 
 
+@query(
+    "union_audit_rows",
+    f"""SELECT 'human' AS audited_by, stream_idx, NULL::VARCHAR AS bucket, violates_policy,
+               NULL::VARCHAR AS initial_author
+        FROM stream JOIN judged USING (doc_id) JOIN rule_sets USING (slug)
+        WHERE stream_idx < 25000
+        UNION ALL
+        SELECT 'human_approved', stream_idx, bucket, violates_policy, 'draft'
+        FROM ({_APPROVED})""",
+    "inbox judged rule_sets",
+)
+def _(spark, d):
+    both = labels.union_rows(_audit(spark, d), _approved(spark, d))
+    return both.select(
+        "audited_by",
+        F.col("content.source_stream_idx").alias("stream_idx"),
+        "content.bucket",
+        "judgment.violates_policy",
+        "provenance.initial_author",
+    )
+
+
 _TARGET_PLACE = """CASE bucket WHEN 'identity_attack' THEN 0 WHEN 'threat' THEN 1
                    WHEN 'sexual_explicit' THEN 2 WHEN 'high_tox' THEN 3 WHEN 'mid_tox' THEN 4
                    ELSE 5 END"""

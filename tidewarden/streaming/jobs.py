@@ -142,7 +142,10 @@ def pile_on_state(min_users: int, minutes: int, span_seconds: int):
         order = np.lexsort((columns[2], columns[0]))
         ts, user, event, own, told = (c[order] for c in columns)
         new = _crowded(ts, user, reach, min_users) & own.astype(bool) & ~told.astype(bool)
-        state.update((ts.tolist(), user.tolist(), event.tolist(), own.tolist(), (told | new).tolist()))
+        # No row older than the watermark can come, and none looks back further than the window.
+        keep = ts >= state.getCurrentWatermarkMs() * 1000 - reach
+        kept = (ts, user, event, own, told | new)
+        state.update(tuple(c[keep].tolist() for c in kept))
         span_end = (int(key[1]) + 1) * span_seconds * 1000
         state.setTimeoutTimestamp(max(span_end, state.getCurrentWatermarkMs() + 1))
         if new.any():
