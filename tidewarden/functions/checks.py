@@ -51,7 +51,7 @@ def judgment_errors(judgment: Column) -> Column:
         failure(
             "violated_rules",
             "duplicate",
-            ~odd_rule & ~many_rules & (F.size(F.array_distinct(rules)) < F.size(rules)),
+            (F.size(F.array_distinct(rules)) < F.size(rules)) & ~many_rules & ~odd_rule,
         ),
         *_enum_failures("severity", judgment.severity, C.SEVERITIES),
         *_enum_failures("primary_category", judgment.primary_category, C.CATEGORIES),
@@ -138,6 +138,11 @@ def key_errors(keys: Column, kind: str) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("loc"), F.lit(kind).alias("type")))
 
 
+def none() -> Column:
+    """No errors."""
+    return F.array().cast(ERRORS_TYPE)
+
+
 def malformed() -> Column:
     return gather(failure("", "malformed", F.lit(True)))
 

@@ -184,11 +184,12 @@ def derive_labels(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
     rules = thresholds.groupBy(F.col("slug").alias("_slug")).agg(
         F.array_sort(F.collect_set(F.struct("rule_id", "feature", "min_score"))).alias("_rules")
     )
-    value = F.create_map(
-        *[x for s in C.SCORES for x in (F.lit(s), scores.score_or_zero(F.col(s)))]
-    )
+
+    def score_of(feature: Column) -> Column:
+        return F.coalesce(*[F.when(feature == s, scores.score_or_zero(F.col(s))) for s in C.SCORES])
+
     joined = pairs.join(rules, F.col("slug") == F.col("_slug"), "left")
-    hit = F.filter("_rules", lambda r: F.element_at(value, r.feature) >= r.min_score)
+    hit = F.filter("_rules", lambda r: score_of(r.feature) >= r.min_score)
     ids = F.array_sort(F.array_distinct(F.transform(hit, lambda r: r.rule_id)))
     return (
         joined.withColumn(

@@ -26,21 +26,24 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(order_hash(seed, F.col(key)), F.col(key))
 
 
-def _bound(quota: int, rows: Column) -> Column:
+def _bound(quota: int | Column, rows: Column) -> Column:
     """Hash prefix below which `quota` of `rows` uniform hashes lie, with eight sigmas to spare."""
-    share = F.lit(quota + 8.0 * quota**0.5 + 64.0) / rows
+    quota = F.lit(quota)
+    share = (quota + F.lit(8.0) * F.sqrt(quota) + F.lit(64.0)) / rows
     prefix = F.lower(F.lpad(F.hex((share * _SPACE).cast("bigint")), _HEX_DIGITS, "0"))
     return F.when((rows == 0) | (share >= 1.0), F.lit(_ALL)).otherwise(prefix)
 
 
-def thin(df: DataFrame, quotas: Mapping[str, int], group: Column | None = None) -> DataFrame:
+def thin(
+    df: DataFrame, quotas: Mapping[str, int | Column], group: Column | None = None
+) -> DataFrame:
     """Rows that can be among the first `quota` of their group in hash order, and few others.
 
     A top-n over a very wide table sends n rows of every task to one task. Hashes are uniform,
     so a bound per group follows from its row count; a second count over the key column proves
     that enough rows lie below the bound, and otherwise the bound is dropped. Both counts are
     scalar subqueries that shuffle one row per task. `df` carries the order hash; groups
-    without a quota are left out.
+    without a quota are left out. A quota may be a scalar subquery itself.
     """
     group = F.lit("") if group is None else group
     names = list(quotas)
@@ -74,7 +77,7 @@ def thin(df: DataFrame, quotas: Mapping[str, int], group: Column | None = None)
 
 
 def ranked(
-    df: DataFrame, quotas: Mapping[str, int], key: str, group: Column | None = None
+    df: DataFrame, quotas: Mapping[str, int | Column], key: str, group: Column | None = None
 ) -> DataFrame:
     """The first `quota` rows of each group in hash order with their `rank`, for large quotas.
 

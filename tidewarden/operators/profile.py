@@ -12,7 +12,7 @@ from tidewarden import contracts as C
 from tidewarden.functions import scores
 from tidewarden.operators.tables import literal_table
 
-SCORE_BINS = 65_536
+SCORE_BINS = 1 << 20  # fine bins; a thousand of them make a coarse one
 
 
 def _p95_rank(n: Column) -> Column:
@@ -88,49 +88,65 @@ def length_profile(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _holding_ranks(bins: DataFrame) -> DataFrame:
+    """The bins, with their running counts, in which the wanted ranks lie: four at most."""
+    holds = F.lit(False)
+    for r in _ranks(F.col("n")).values():
+        holds = holds | ((F.col("upto") >= r) & (F.col("upto") - F.col("n_rows") < r))
+    return bins.where(holds).withColumn("before", F.col("upto") - F.col("n_rows"))
+
+
 def score_profile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Exact minimum, median and p95 of a score column, whatever the number of distinct values.
 
-    A coarse histogram finds the bins that hold the wanted ranks; only the values of those bins,
-    four at most, are counted one by one. Null and NaN scores are left out.
+    The wanted ranks are looked up in a thousand coarse bins, then in the thousand fine bins of
+    each coarse bin that holds one, then among the values of four fine bins at most. A task sends
+    a thousand counts or a few; the score column is read three times. Scores outside low..high
+    fall in the outer bins. Null and NaN scores are left out.
     """
     value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-    values = df.select(value.alias("value")).where(F.col("value").isNotNull())
+    last = SCORE_BINS - 1
     step = F.floor((F.col("value") - low) * F.lit(SCORE_BINS / (high - low)))
-    values = values.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(SCORE_BINS), step)))
-
-    bins = values.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("value").alias("lowest")
-    )
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = F.greatest(F.lit(0), F.least(F.lit(last), step))
+    values = (
+        df.select(value.alias("value"))
+        .where(F.col("value").isNotNull())
+        .withColumn("fine", fine)
+        .withColumn("coarse", F.shiftright("fine", 10))
+    )
+    upto = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy()
-    n = F.sum("rows").over(everything)
-    bins = (
-        bins.withColumn("upto", F.sum("rows").over(upto))
-        .withColumn("n", n)
+    known = ["n", "smallest", "before"]
+
+    coarse = (
+        values.groupBy("coarse")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("value").alias("lowest"))
+        .withColumn("upto", F.sum("n_rows").over(upto.orderBy("coarse")))
+        .withColumn("n", F.sum("n_rows").over(everything))
         .withColumn("smallest", F.min("lowest").over(everything))
     )
-    holds = F.lit(False)
-    for r in _ranks(F.col("n")).values():
-        holds = holds | ((F.col("upto") >= r) & (F.col("upto") - F.col("rows") < r))
-    wanted = bins.where(holds).select(
-        "bin", "n", "smallest", (F.col("upto") - F.col("rows")).alias("before")
-    )
-    fine = (
-        values.join(F.broadcast(wanted), "bin")  # one row per rank at most
-        .groupBy("bin", "n", "smallest", "before", "value")
+    wanted = _holding_ranks(coarse).select("coarse", *known)
+    fine_bins = (
+        values.join(F.broadcast(wanted), "coarse")  # four rows at most, as below
+        .groupBy("coarse", "fine", *known)
         .agg(F.count(F.lit(1)).alias("n_rows"))
+        .withColumn(
+            "upto",
+            F.col("before") + F.sum("n_rows").over(upto.partitionBy("coarse").orderBy("fine")),
+        )
     )
-    within = (
-        Window.partitionBy("bin")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = _holding_ranks(fine_bins).select("fine", *known)
+    ranked = (
+        values.join(F.broadcast(wanted), "fine")
+        .groupBy("fine", *known, "value")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .withColumn(
+            "upto",
+            F.col("before") + F.sum("n_rows").over(upto.partitionBy("fine").orderBy("value")),
+        )
     )
-    ranked = fine.withColumn("upto", F.col("before") + F.sum("n_rows").over(within))
     picked = ranked.agg(
-        F.max("n").alias("n"),
-        F.max("smallest").alias("smallest"),
-        *_values_at_ranks(),
+        F.max("n").alias("n"), F.max("smallest").alias("smallest"), *_values_at_ranks()
     )
     return picked.select(
         F.coalesce("n", F.lit(0)).alias("n_rows"),

@@ -156,36 +156,12 @@ def source_mix(
 def cap_source(
     main: DataFrame, extra: DataFrame, max_share: float, key: str, seed: int
 ) -> DataFrame:
-    """All of `main`, and of `extra` no more than `max_share` of the total.
-
-    How many rows that is depends on the size of `main`, so the cut is a hash bound found by
-    counting, and only the rows at the bound are ranked.
-    """
-    allowed = main.agg(
-        F.floor(F.count(F.lit(1)) * F.lit(max_share) / F.lit(1.0 - max_share)).alias("n")
-    ).scalar()
+    """All of `main`, and of `extra` no more than `max_share` of the total."""
+    share = F.floor(F.count(F.lit(1)) * F.lit(max_share) / F.lit(1.0 - max_share))
+    allowed = main.agg(share.alias("n")).scalar()
     hashed = extra.withColumn(ordering.HASH, ordering.order_hash(seed, F.col(key)))
-    bins = hashed.groupBy(F.substring(ordering.HASH, 1, 4).alias("bin")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = bins.withColumn("upto", F.sum("rows").over(upto))
-    # The bin in which the allowance runs out, and what is left of the allowance there.
-    cut = running.where(F.col("upto") > allowed).agg(
-        F.min_by(
-            F.struct("bin", (allowed - (F.col("upto") - F.col("rows"))).alias("left")), "bin"
-        )
-    ).scalar()
-    row_bin = F.substring(ordering.HASH, 1, 4)
-    whole = hashed.where(cut.isNull() | (row_bin < cut["bin"]))
-    rank = F.row_number().over(Window.orderBy(ordering.HASH, key))
-    partial = (
-        hashed.where(row_bin == cut["bin"])
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= cut["left"])
-        .drop("_rank")
-    )
-    return main.unionByName(whole.unionByName(partial).drop(ordering.HASH), allowMissingColumns=True)
+    some = ordering.ranked(hashed, {"": allowed}, key).drop("rank", ordering.HASH)
+    return main.unionByName(some, allowMissingColumns=True)
 
 
 def spot_check(df: DataFrame, group: str, per_group: int, key: str, seed: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewarden import contracts as C
 from tidewarden.functions import checks, text
@@ -30,7 +31,7 @@ def check_slug_matches_file(df: DataFrame, slug: str, file_name: str) -> DataFra
 
 
 # JSON kind of each judgment field, as Spark's variant schema spells it.
-_NUMBER = r"(BIGINT|DOUBLE|DECIMAL.*)"
+_NUMBER = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\))"
 _KINDS = {
     "violates_policy": r"BOOLEAN",
     "violated_rules": r"ARRAY<(STRING|VOID)>",
@@ -41,6 +42,19 @@ _KINDS = {
     "confidence": _NUMBER,
     "reasoning": r"STRING",
 }
+
+
+def _well_typed() -> str:
+    """Pattern of the type of a document with all fields, in the order of their names."""
+    *others, last = sorted(_KINDS)
+    parts = []
+    for field in others:
+        part = f"{field}: {_KINDS[field]}, "
+        parts.append(f"({part})?" if field in C.JUDGMENT_DEFAULTED else part)
+    return rf"^OBJECT<{''.join(parts)}{last}: {_KINDS[last]}>\z"
+
+
+_WELL_TYPED = _well_typed()
 # Words and kinds taken for a truth value or a number when types are read leniently.
 _LAX_TRUE = ("true", "t", "yes", "y", "on", "1")
 _LAX_FALSE = ("false", "f", "no", "n", "off", "0")
@@ -86,6 +100,15 @@ def parse_judgment(
     """
     raw, document, keys = F.col(json_column), F.col("_document"), F.col("_keys")
     lenient = {"violates_policy": _lax_flag, "confidence": _lax_number} if lax else {}
+    strict = T.StructType([f for f in C.JUDGMENT.fields if f.name not in lenient])
+
+    def value(field: str) -> Column:
+        if field in lenient:
+            return lenient[field](document).alias(field)
+        found = F.col("_strict")[field]
+        if field in C.JUDGMENT_DEFAULTED:
+            found = F.coalesce(found, F.array().cast("array<string>"))
+        return found.alias(field)
 
     def mistyped(field: str) -> Column:
         if field in lenient:
@@ -95,30 +118,22 @@ def parse_judgment(
             wrong = ~F.coalesce(kind, F.lit("VOID")).rlike(f"^{_KINDS[field]}$")
         return F.array_contains(keys, field) & wrong
 
-    def value(field: str) -> Column:
-        if field in lenient:
-            return lenient[field](document).alias(field)
-        found = _member(document, field, C.JUDGMENT[field].dataType.simpleString())
-        if field in C.JUDGMENT_DEFAULTED:
-            empty = F.array().cast("array<string>")
-            found = F.when(F.array_contains(keys, field), found).otherwise(empty)
-        return found.alias(field)
-
-    # Staged in columns, so that a text is parsed once and not once per field.
+    faults = F.concat(
+        checks.key_errors(checks.extra_keys(keys, C.JUDGMENT_FIELDS), "extra"),
+        checks.key_errors(checks.missing_keys(keys, C.JUDGMENT_REQUIRED), "missing"),
+        checks.gather(*[checks.failure(f, "type", mistyped(f)) for f in C.JUDGMENT_FIELDS]),
+    )
+    # Staged in columns, so that a text is parsed once and not once per field. One look at the
+    # document's type settles the usual case, in which every field is there with its kind.
     shaped = (
         df.withColumns({"_document": F.try_parse_json(raw), "_keys": F.json_object_keys(raw)})
+        .withColumn("_strict", F.try_variant_get(document, "$", strict.simpleString()))
         .withColumn("_values", F.struct(*[value(f) for f in C.JUDGMENT_FIELDS]))
         .withColumn(
             "_shape",
-            F.when(document.isNull() | keys.isNull(), checks.malformed()).otherwise(
-                F.concat(
-                    checks.key_errors(checks.extra_keys(keys, C.JUDGMENT_FIELDS), "extra"),
-                    checks.key_errors(checks.missing_keys(keys, C.JUDGMENT_REQUIRED), "missing"),
-                    checks.gather(
-                        *[checks.failure(f, "type", mistyped(f)) for f in C.JUDGMENT_FIELDS]
-                    ),
-                )
-            ),
+            F.when(F.schema_of_variant(document).rlike(_WELL_TYPED), checks.none())
+            .when(document.isNull() | keys.isNull(), checks.malformed())
+            .otherwise(faults),
         )
     )
     well_shaped = F.size("_shape") == 0
@@ -128,7 +143,7 @@ def parse_judgment(
             "errors",
             F.when(well_shaped, checks.judgment_errors(F.col(into))).otherwise(F.col("_shape")),
         )
-        .drop("_document", "_keys", "_values", "_shape")
+        .drop("_document", "_keys", "_strict", "_values", "_shape")
     )
 
 

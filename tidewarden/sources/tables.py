@@ -54,7 +54,9 @@ def write_held_out(ids: DataFrame, path: str) -> None:
     ids.select("source_id").write.mode("append").text(path)
 
 
-def manifest(generated: DataFrame, text: str, generator: Column, prompt: str, made_at: Column):
+def manifest(
+    generated: DataFrame, text: str, generator: Column, prompt: Column, made_at: Column
+) -> DataFrame:
     """Manifest rows of generated texts.
 
     The id is a hash of what the row consists of, so a task that runs again gives the same id.
