@@ -444,14 +444,14 @@ def _answers(spark, d, *answers):
 
 @query(
     "normalise_flag",
-    """SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true
-               WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN false WHEN 6 THEN false END AS flag
+    """SELECT doc_id, CASE WHEN doc_id % 10 < 4 THEN 'true' WHEN doc_id % 10 < 7 THEN 'false' END
+              AS flag
        FROM documents""",
 )
 def _(spark, d):
     words = [" Yes\t", "y", "TRUE", " 1", "no ", "N", "0", "maybe", ""]
     rows = _answers(spark, d, *[F.lit(w) for w in words])
-    return rows.select("doc_id", text.normalise_flag(F.col("answer")).alias("flag"))
+    return rows.select("doc_id", text.normalise_flag(F.col("answer")).cast("string").alias("flag"))
 
 
 @query(
@@ -628,7 +628,8 @@ def _audit(spark, d):
               j.slug AS rule_set_slug, j.text,
               CASE WHEN r.regime = 'chat' THEN 'chat' ELSE 'comment' END AS regime,
               'documents' AS source, j.stream_idx AS source_stream_idx,
-              CAST(j.doc_id AS VARCHAR) AS source_hf_id, j.obscene, j.violates_policy, j.severity,
+              CAST(j.doc_id AS VARCHAR) AS source_hf_id, j.obscene,
+              CAST(j.violates_policy AS VARCHAR) AS violates_policy, j.severity,
               j.slug = 'study_hub' AS dev_mode
        FROM (SELECT s.stream_idx, s.obscene, s.text, j.* FROM stream s JOIN judged j USING (doc_id)
              WHERE stream_idx < 25000) j JOIN rule_sets r ON j.slug = r.slug""",
@@ -647,7 +648,7 @@ def _(spark, d):
         "content.source_stream_idx",
         "content.source_hf_id",
         "content.source_features.obscene",
-        "judgment.violates_policy",
+        F.col("judgment.violates_policy").cast("string").alias("violates_policy"),
         "judgment.severity",
         "dev_mode",
     )
@@ -674,7 +675,7 @@ _APPROVED = """
     "build_approved_row",
     f"""SELECT 'batch-1' AS session_id, 'human_approved' AS audited_by, 'draft' AS initial_author,
                'human' AS reviewed_by, '2026-01-05T09:00:00Z' AS drafted_at, bucket, text, obscene,
-               stream_idx, violates_policy, false AS dev_mode
+               stream_idx, CAST(violates_policy AS VARCHAR) AS violates_policy, false AS dev_mode
         FROM ({_APPROVED})""",
     "inbox judged",
 )
@@ -689,19 +690,20 @@ def _(spark, d):
         "content.text",
         "content.source_features.obscene",
         F.col("content.source_stream_idx").alias("stream_idx"),
-        "judgment.violates_policy",
+        F.col("judgment.violates_policy").cast("string").alias("violates_policy"),
         "dev_mode",
     )
 
 
 @query(
     "union_audit_rows",
-    f"""SELECT 'human' AS audited_by, stream_idx, NULL::VARCHAR AS bucket, violates_policy,
+    f"""SELECT 'human' AS audited_by, stream_idx, NULL::VARCHAR AS bucket,
+               CAST(violates_policy AS VARCHAR) AS violates_policy,
                NULL::VARCHAR AS initial_author
         FROM stream JOIN judged USING (doc_id) JOIN rule_sets USING (slug)
         WHERE stream_idx < 25000
         UNION ALL
-        SELECT 'human_approved', stream_idx, bucket, violates_policy, 'draft'
+        SELECT 'human_approved', stream_idx, bucket, CAST(violates_policy AS VARCHAR), 'draft'
         FROM ({_APPROVED})""",
     "inbox judged rule_sets",
 )
@@ -711,7 +713,7 @@ def _(spark, d):
         "audited_by",
         F.col("content.source_stream_idx").alias("stream_idx"),
         "content.bucket",
-        "judgment.violates_policy",
+        F.col("judgment.violates_policy").cast("string").alias("violates_policy"),
         "provenance.initial_author",
     )
 
@@ -900,13 +902,15 @@ def _(spark, d):
     "foil_matrix",
     "SELECT doc_id, "
     + ", ".join(
-        f"bool_or(violates_policy) FILTER (WHERE slug = '{s}') AS {s}" for s in views.SLUGS
+        f"CAST(bool_or(violates_policy) FILTER (WHERE slug = '{s}') AS VARCHAR) AS {s}"
+        for s in views.SLUGS
     )
     + " FROM verdicts GROUP BY doc_id",
     "verdicts",
 )
 def _(spark, d):
-    return labels.foil_matrix(verdicts(spark, d), ["doc_id"], views.SLUGS)
+    matrix = labels.foil_matrix(verdicts(spark, d), ["doc_id"], views.SLUGS)
+    return matrix.withColumns({s: F.col(s).cast("string") for s in views.SLUGS})
 
 
 @query(

@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query(
     "skip_breaches",
-    """SELECT auditor, day, event_id, CAST(rn AS INTEGER) AS skips_used
+    """SELECT auditor, CAST(day AS VARCHAR) AS day, event_id, CAST(rn AS INTEGER) AS skips_used
        FROM (SELECT *, row_number() OVER (PARTITION BY auditor, day ORDER BY ts, event_id) AS rn
              FROM action_log WHERE action = 'skip') WHERE rn = 4""",
     "action_log",
@@ -89,7 +89,7 @@ def _(spark, d):
     found = sessions.skip_breaches(
         views.action_log(spark, d), ["auditor", "day"], F.col("action") == "skip"
     )
-    return found.select("auditor", "day", "event_id", "skips_used")
+    return found.select("auditor", F.col("day").cast("string"), "event_id", "skips_used")
 
 
 @query(
@@ -148,7 +148,8 @@ def _(spark, d):
 
 @query(
     "session_progress",
-    f"""SELECT auditor, day, CAST(count(*) FILTER (WHERE action = 'judge') AS INTEGER) AS n_completed,
+    f"""SELECT auditor, CAST(day AS VARCHAR) AS day,
+               CAST(count(*) FILTER (WHERE action = 'judge') AS INTEGER) AS n_completed,
                CAST(count(*) FILTER (WHERE action = 'skip') AS INTEGER) AS skips_used,
                CAST(count(*) AS INTEGER) AS cursor, {iso('min(ts)')} AS started_at,
                {iso('max(ts)')} AS last_activity_at, 2 AS target_n,
@@ -158,9 +159,8 @@ def _(spark, d):
 )
 def _(spark, d):
     progress = sessions.session_progress(views.action_log(spark, d), ["auditor", "day"], 2)
-    return progress.withColumns(
-        {c: times.iso_utc(F.col(c)) for c in ("started_at", "last_activity_at")}
-    )
+    shown = {c: times.iso_utc(F.col(c)) for c in ("started_at", "last_activity_at")}
+    return progress.withColumns({"day": F.col("day").cast("string"), **shown})
 
 
 @query(
@@ -223,7 +223,7 @@ def _(spark, d):
 
 @query(
     "weeks_without_rest",
-    """SELECT user_id, CAST(date_trunc('week', ts + INTERVAL 2 HOUR) AS DATE) AS week,
+    """SELECT user_id, CAST(CAST(date_trunc('week', ts + INTERVAL 2 HOUR) AS DATE) AS VARCHAR) AS week,
               count(DISTINCT CAST(ts + INTERVAL 2 HOUR AS DATE)) AS n_days
        FROM messages GROUP BY 1, 2
        HAVING count(DISTINCT CAST(ts + INTERVAL 2 HOUR AS DATE)) = 7""",
@@ -231,7 +231,8 @@ def _(spark, d):
 )
 def _(spark, d):
     log = views.messages(spark, d).withColumnRenamed("ts", "started_at")
-    return sessions.weeks_without_rest(log, ["user_id"], "+02:00")
+    found = sessions.weeks_without_rest(log, ["user_id"], "+02:00")
+    return found.withColumn("week", F.col("week").cast("string"))
 
 
 # --- signals ---
