@@ -31,6 +31,8 @@ def test_label_join_and_gates(spark):
     with pytest.raises(validation.ContractError, match="unlabelled x1"):
         labels.require_complete(inbox, some)
     labels.require_complete(inbox, _labels(spark, [1, 2, 3]))
+    with pytest.raises(validation.ContractError, match="repeated_label x1"):
+        labels.require_complete(inbox, _labels(spark, [1, 2, 3, 3]))
 
 
 def test_leak_gate(spark):

@@ -32,21 +32,25 @@ def orphan_labels(inbox: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_mismatches(inbox: DataFrame, labels: DataFrame) -> DataFrame:
-    """Both key differences in one pass over the keys."""
+    """Both key differences, and keys that occur twice on a side, in one pass over the keys."""
     sides = inbox.select("stream_idx", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         labels.select("stream_idx", F.lit(0).alias("a"), F.lit(1).alias("b"))
     )
-    found = sides.groupBy("stream_idx").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return found.where(F.col("a") + F.col("b") == 1).select(
-        "stream_idx", F.when(F.col("a") == 1, "unlabelled").otherwise("orphan_label").alias("problem")
+    found = sides.groupBy("stream_idx").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    problem = (
+        F.when(F.col("b") == 0, "unlabelled")
+        .when(F.col("a") == 0, "orphan_label")
+        .when(F.col("a") > 1, "repeated_row")
+        .when(F.col("b") > 1, "repeated_label")
     )
+    return found.select("stream_idx", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def require_complete(inbox: DataFrame, labels: DataFrame) -> None:
-    """Raises unless inbox and labels have the same keys."""
+    """Raises unless inbox and labels have the same keys, once each."""
     counts = label_mismatches(inbox, labels).groupBy("problem").count().collect()
     if counts:
-        seen = ", ".join(f"{r['problem']} x{r['count']}" for r in counts)
+        seen = ", ".join(sorted(f"{r['problem']} x{r['count']}" for r in counts))
         raise validation.ContractError(seen)
 
 

@@ -34,14 +34,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
+# Nulls are written out, so every row has every key; instants as UTC with whole seconds.
+_JSON = {
+    "ignoreNullFields": "false",
+    "timeZone": "UTC",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'",
+}
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """Replaces the table at a path; nulls are written out, so every row has every key."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Replaces the table at a path."""
+    df.write.mode("overwrite").options(**_JSON).json(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     """Adds rows to an audit log."""
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    df.write.mode("append").options(**_JSON).json(path)
 
 
 def read_held_out(spark: SparkSession, path: str) -> DataFrame:
