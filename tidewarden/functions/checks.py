@@ -159,7 +159,8 @@ def error_text(errors: Column) -> Column:
 
 def source_row_errors(text: Column, **numbers: Column) -> Column:
     """A source row needs a text and flags or scores that can be read as numbers."""
-    return gather(
-        failure("text", "missing", text.isNull()),
-        *[failure(name, "not_a_number", n.try_cast("double").isNull()) for name, n in numbers.items()],
-    )
+    unreadable = [
+        failure(name, "not_a_number", number.try_cast("double").isNull())
+        for name, number in numbers.items()
+    ]
+    return gather(failure("text", "missing", text.isNull()), *unreadable)

@@ -116,7 +116,9 @@ def example_or_max(seen: DataFrame, score: str, above: float) -> DataFrame:
 def first_flagged(df: DataFrame, flags: Sequence[str], place: str) -> DataFrame:
     """The first row of each flag, one output row per flag that occurs."""
     columns = F.struct(*[F.col(c) for c in df.columns])
-    firsts = df.agg(*[F.min_by(columns, F.when(F.col(f) != 0, F.col(place))).alias(f) for f in flags])
+    firsts = df.agg(
+        *[F.min_by(columns, F.when(F.col(f) != 0, F.col(place))).alias(f) for f in flags]
+    )
     tagged = F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("row")) for f in flags])
     return (
         firsts.select(F.inline(tagged))

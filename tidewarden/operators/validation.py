@@ -69,12 +69,11 @@ def _lax_flag(document: Column) -> Column:
     kind = F.schema_of_variant(_member(document, "violates_policy", "variant"))
     number = _member(document, "violates_policy", "double")
     word = F.lower(_member(document, "violates_policy", "string"))
+    spelled = F.when(word.isin(*_LAX_TRUE), True).when(word.isin(*_LAX_FALSE), False)
     return (
         F.when(kind == "BOOLEAN", _member(document, "violates_policy", "boolean"))
         .when(kind.rlike(f"^{_NUMBER}$"), F.when(number == 1, True).when(number == 0, False))
-        .when(
-            kind == "STRING", F.when(word.isin(*_LAX_TRUE), True).when(word.isin(*_LAX_FALSE), False)
-        )
+        .when(kind == "STRING", spelled)
     )
 
 

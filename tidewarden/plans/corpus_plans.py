@@ -214,9 +214,8 @@ def _(spark, d):
        FROM documents""",
 )
 def _(spark, d):
-    tag = F.concat(
-        F.lit("R"), (F.col("doc_id") % 8 + 1).cast("string"), F.lit(":"), "lang", F.lit("-"), "source"
-    )
+    rule = (F.col("doc_id") % 8 + 1).cast("string")
+    tag = F.concat(F.lit("R"), rule, F.lit(":"), "lang", F.lit("-"), "source")
     return views.table(spark, d, "documents").select(
         "doc_id", text.edge_rule(tag).alias("rule_id"), text.edge_name(tag).alias("edge")
     )
@@ -335,7 +334,8 @@ def _(spark, d):
               count(*) FILTER (WHERE jailbreaking = 1) AS n_jailbreaking,
               count(*) FILTER (WHERE toxicity = 1 AND jailbreaking = 1) AS n_both,
               CAST(100 * count(*) FILTER (WHERE toxicity = 1) AS DOUBLE) / count(*) AS pct_toxicity,
-              CAST(100 * count(*) FILTER (WHERE jailbreaking = 1) AS DOUBLE) / count(*) AS pct_jailbreaking
+              CAST(100 * count(*) FILTER (WHERE jailbreaking = 1) AS DOUBLE) / count(*)
+                  AS pct_jailbreaking
        FROM flags""",
     "flags",
 )
@@ -589,7 +589,8 @@ def _(spark, d):
            SELECT doc_id, text, row_number() OVER (
                       ORDER BY sha256('37:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
            FROM documents)
-       WHERE rn <= floor((SELECT count(*) FROM chat) * CAST(0.2 AS DOUBLE) / (1 - CAST(0.2 AS DOUBLE)))""",
+       WHERE rn <= floor((SELECT count(*) FROM chat) * CAST(0.2 AS DOUBLE)
+                         / (1 - CAST(0.2 AS DOUBLE)))""",
     "chat",
 )
 def _(spark, d):

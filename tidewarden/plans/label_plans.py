@@ -13,11 +13,11 @@ from tidewarden.plans.registry import query
 from tidewarden.sources import rule_sets as rule_set_files
 
 RULE_ID = r"R\p{Nd}{1,3}"
-STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+$', '', 'g')"
+BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
 
 def strip_sql(x: str) -> str:
-    return STRIP.format(x=x)
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
 def _joined(cases: str, sort: bool = True) -> str:
@@ -153,7 +153,10 @@ def _(spark, d):
     rows = views.table(spark, d, "documents").select(
         "doc_id",
         F.struct(
-            "text", regime.alias("regime"), title.alias("article_title"), F.col("lang").alias("language")
+            "text",
+            regime.alias("regime"),
+            title.alias("article_title"),
+            F.col("lang").alias("language"),
         ).alias("content"),
     )
     return validation.validate_content(rows).select(
@@ -283,7 +286,9 @@ def json_labels(docs):
     return docs.select("doc_id", F.expr(_json_line("STRING", quoted)).alias("line"))
 
 
-_JSON_SQL = f"SELECT doc_id, {_json_line('VARCHAR', 'CAST(to_json(text) AS VARCHAR)')} AS line FROM documents"
+_JSON_SQL = f"""
+    SELECT doc_id, {_json_line('VARCHAR', 'CAST(to_json(text) AS VARCHAR)')} AS line
+    FROM documents"""
 # What is wrong with each kind of line above; the other checks see well-typed lines only.
 _SHAPE = _joined(
     """
@@ -353,10 +358,9 @@ def _(spark, d):
 )
 def _(spark, d):
     lines = json_labels(views.table(spark, d, "documents"))
-    return lines.where(F.json_object_keys("line").isNotNull()).select(
-        "doc_id",
-        F.array_join(checks.extra_keys(F.json_object_keys("line"), C.JUDGMENT_FIELDS), ",").alias("extra"),
-    )
+    keyed = lines.withColumn("keys", F.json_object_keys("line")).where(F.col("keys").isNotNull())
+    extra = checks.extra_keys(F.col("keys"), C.JUDGMENT_FIELDS)
+    return keyed.select("doc_id", F.array_join(extra, ",").alias("extra"))
 
 
 @query(
@@ -367,10 +371,9 @@ def _(spark, d):
 )
 def _(spark, d):
     lines = json_labels(views.table(spark, d, "documents"))
-    return lines.where(F.json_object_keys("line").isNotNull()).select(
-        "doc_id",
-        F.array_join(checks.missing_keys(F.json_object_keys("line"), C.JUDGMENT_REQUIRED), ",").alias("missing"),
-    )
+    keyed = lines.withColumn("keys", F.json_object_keys("line")).where(F.col("keys").isNotNull())
+    missing = checks.missing_keys(F.col("keys"), C.JUDGMENT_REQUIRED)
+    return keyed.select("doc_id", F.array_join(missing, ",").alias("missing"))
 
 
 @query(
@@ -385,9 +388,8 @@ def _(spark, d):
     rows = views.judged(spark, d).select(
         "doc_id", "slug", F.col("judgment.violated_rules").alias("violated_rules")
     )
-    found = validation.check_rule_membership(
-        rows.where(F.col("violated_rules").isNotNull()), "slug", "violated_rules", views.rules(spark)
-    )
+    judged = rows.where(F.col("violated_rules").isNotNull())
+    found = validation.check_rule_membership(judged, "slug", "violated_rules", views.rules(spark))
     return found.select(
         "doc_id", F.array_join(F.array_sort("unknown_rules"), ",").alias("unknown")
     )
@@ -463,10 +465,10 @@ def _(spark, d):
 )
 def _(spark, d):
     n = (F.col("doc_id") % 7).cast("string")
-    rows = _answers(
-        spark, d, n, F.concat(F.lit(" 0"), n, F.lit("\n")), F.lit(" Critical"), F.concat(F.lit("-"), n)
-    )
-    return rows.select("doc_id", text.normalise_enum(F.col("answer"), C.SEVERITIES).alias("severity"))
+    padded, negative = F.concat(F.lit(" 0"), n, F.lit("\n")), F.concat(F.lit("-"), n)
+    rows = _answers(spark, d, n, padded, F.lit(" Critical"), negative)
+    severity = text.normalise_enum(F.col("answer"), C.SEVERITIES)
+    return rows.select("doc_id", severity.alias("severity"))
 
 
 @query(
@@ -659,8 +661,9 @@ def _approved(spark, d):
         inbox(spark, d),
         _stream(spark, d).select("stream_idx", "doc_id").join(views.judged(spark, d), "doc_id"),
     )
+    at = F.lit("2026-01-05 09:00:00")
     return labels.build_approved_row(
-        labelled, "batch-1", F.lit("2026-01-05 09:00:00"), "arena_chat", "chat", "documents", "draft"
+        labelled, "batch-1", at, "arena_chat", "chat", "documents", "draft"
     )
 
 
@@ -768,7 +771,7 @@ def _(spark, d):
 
 # --- leak check ---
 
-_TRAIN = "SELECT sha256(text || CAST(doc_id AS VARCHAR)) AS source_id, doc_id, source FROM documents"
+_TRAIN = "SELECT sha256(text || CAST(doc_id AS VARCHAR)) AS source_id, doc_id FROM documents"
 _HELD = f"""SELECT source_id FROM ({_TRAIN})
             WHERE doc_id IN (SELECT doc_id FROM labels)"""
 

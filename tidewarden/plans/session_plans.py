@@ -375,7 +375,8 @@ def _(spark, d):
         scores.bucket().alias("bucket"), (F.col("insult") >= 0.4).alias("flagged")
     )
     rows.write.parquet(f"{out}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2)
+    stream = reader.parquet(f"{out}/in")
     jobs.stream_bucket_counts(stream, "bucket", "flagged", out).awaitTermination()
     return jobs.latest_counts(spark.read.parquet(f"{out}/counts"))
 

@@ -180,7 +180,8 @@ CTES = {
                CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
                CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS target_id,
                event_type AS text, event_type = 'error' AS is_stop,
-               event_type = 'purchase' AS is_promo, event_type IN ('view', 'click') AS is_off_topic, value
+               event_type = 'purchase' AS is_promo,
+               event_type IN ('view', 'click') AS is_off_topic, value
         FROM events""",
     "sessions": """
         SELECT event_id AS session_id, user_id AS auditor,

@@ -61,7 +61,9 @@ def rule_sets_from_json(files: DataFrame) -> DataFrame:
     required = [f for f in C.RULE_SET_FIELDS if f != "version"]
     parsed = files.withColumns(
         {"_keys": F.json_object_keys(raw), "rule_set": F.from_json(raw, C.RULE_SET)}
-    ).withColumn("rule_set", rule_set.withField("version", F.coalesce("rule_set.version", F.lit(1))))
+    )
+    version = F.coalesce("rule_set.version", F.lit(1))
+    parsed = parsed.withColumn("rule_set", rule_set.withField("version", version))
     shape = F.concat(
         checks.key_errors(checks.extra_keys(F.col("_keys"), C.RULE_SET_FIELDS), "extra"),
         checks.key_errors(checks.missing_keys(F.col("_keys"), required), "missing"),
@@ -82,4 +84,6 @@ def rule_table(validated: DataFrame) -> DataFrame:
         F.col("rule_set.slug").alias("slug"),
         F.col("rule_set.regime").alias("regime"),
         F.explode("rule_set.rules").alias("rule"),
-    ).select("slug", "regime", F.col("rule.id").alias("rule_id"), F.col("rule.text").alias("rule_text"))
+    ).select(
+        "slug", "regime", F.col("rule.id").alias("rule_id"), F.col("rule.text").alias("rule_text")
+    )

@@ -99,7 +99,10 @@ def stream_sessions(
         conf.set(pre_merge, before)
 
 
-_STATE = "ts array<bigint>, user_id array<bigint>, event_id array<bigint>, own array<boolean>, told array<boolean>"
+_STATE = (
+    "ts array<bigint>, user_id array<bigint>, event_id array<bigint>, "
+    "own array<boolean>, told array<boolean>"
+)
 _FOUND = "target_id bigint, event_id bigint, ts_micros bigint, user_id bigint"
 
 
