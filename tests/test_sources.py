@@ -33,6 +33,9 @@ def test_load_rule_sets(spark, tmp_path):
         "quiet_corner.yaml": YAML.format(slug="quiet_corner"),
         "wrong_name.yml": YAML.format(slug="other_name"),
         "extra.yaml": YAML.format(slug="extra") + "colour: red\n",
+        "inner.yaml": YAML.format(slug="inner") + "    note: x\n",
+        "number.yaml": YAML.format(slug="number") + "  - id: R4\n    text: 12\n",
+        "unnamed.yaml": YAML.format(slug="unnamed").replace("Quiet corner", "5"),
         "broken.yaml": "slug: [",
         "list.yaml": "- a\n- b\n",
         "short.json": json.dumps({"slug": "short", "rules": []}),
@@ -44,6 +47,8 @@ def test_load_rule_sets(spark, tmp_path):
     assert errors["quiet_corner.yaml"] == ""
     assert errors["wrong_name.yml"] == "slug:file_mismatch"
     assert errors["extra.yaml"] == "colour:extra"
+    assert errors["inner.yaml"] == "rules:extra" and errors["number.yaml"] == "rules:type"
+    assert errors["unnamed.yaml"] == "name:type"
     assert errors["broken.yaml"] == ":malformed" and errors["list.yaml"] == ":malformed"
     assert "rules:too_few" in errors["short.json"] and "created:missing" in errors["short.json"]
     good = loaded.where("file_name = 'quiet_corner.yaml'").first()["rule_set"]

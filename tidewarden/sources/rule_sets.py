@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden import contracts as C
@@ -60,13 +60,19 @@ def rule_sets_from_json(files: DataFrame) -> DataFrame:
     raw, rule_set = F.col("document"), F.col("rule_set")
     required = [f for f in C.RULE_SET_FIELDS if f != "version"]
     parsed = files.withColumns(
-        {"_keys": F.json_object_keys(raw), "rule_set": F.from_json(raw, C.RULE_SET)}
+        {
+            "_keys": F.json_object_keys(raw),
+            "_document": F.try_parse_json(raw),
+            "_rules": F.from_json(raw, "rules array<map<string,variant>>")["rules"],
+            "rule_set": F.from_json(raw, C.RULE_SET),
+        }
     )
     version = F.coalesce("rule_set.version", F.lit(1))
     parsed = parsed.withColumn("rule_set", rule_set.withField("version", version))
     shape = F.concat(
         checks.key_errors(checks.extra_keys(F.col("_keys"), C.RULE_SET_FIELDS), "extra"),
         checks.key_errors(checks.missing_keys(F.col("_keys"), required), "missing"),
+        checks.gather(*_type_failures(F.col("_document"), F.col("_rules"))),
     )
     values = F.concat(
         checks.rule_set_errors(rule_set), checks.slug_file_errors(rule_set.slug, F.col("file_name"))
@@ -74,7 +80,34 @@ def rule_sets_from_json(files: DataFrame) -> DataFrame:
     errors = F.when(F.col("_keys").isNull(), checks.malformed()).otherwise(
         F.array_distinct(F.concat(shape, values))
     )
-    return parsed.withColumn("errors", errors).drop("document", "_keys")
+    return parsed.withColumn("errors", errors).drop(
+        "document", "_keys", "_document", "_rules"
+    )
+
+
+def _type_failures(document: Column, rules: Column) -> list[Column]:
+    """`from_json` takes any value for a text, so the JSON types are looked at here."""
+    kinds = {"slug": "STRING", "name": "STRING", "regime": "STRING", "description": "STRING"}
+    kinds["version"] = "BIGINT"
+    fields = [
+        checks.failure(
+            field,
+            "type",
+            F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant")) != kind,
+        )
+        for field, kind in kinds.items()
+    ]
+    known = F.array(F.lit("id"), F.lit("text"))
+    extra = F.exists(rules, lambda r: F.size(F.array_except(F.map_keys(r), known)) > 0)
+    odd = F.exists(
+        rules,
+        lambda r: F.exists(F.map_values(r), lambda v: F.schema_of_variant(v) != "STRING"),
+    )
+    return [
+        *fields,
+        checks.failure("rules", "extra", extra),
+        checks.failure("rules", "type", odd),
+    ]
 
 
 def rule_table(validated: DataFrame) -> DataFrame:
