@@ -16,7 +16,7 @@ ERRORS_TYPE = "array<struct<loc:string,type:string>>"
 
 
 def failure(loc: str, kind: str, broken: Column) -> Column:
-    return F.when(broken, F.struct(F.lit(loc).alias("loc"), F.lit(kind).alias("type")))
+    return F.when(broken, F.expr(f"named_struct('loc', '{loc}', 'type', '{kind}')"))
 
 
 def gather(*failures: Column) -> Column:

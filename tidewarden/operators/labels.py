@@ -189,12 +189,12 @@ def derive_labels(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("rule_id", "feature", "min_score"))).alias("_rules")
     )
 
-    def score_of(feature: Column) -> Column:
-        return F.coalesce(*[F.when(feature == s, scores.score_or_zero(F.col(s))) for s in C.SCORES])
-
+    score = " ".join(
+        f"WHEN '{s}' THEN coalesce(nanvl(CAST({s} AS DOUBLE), 0D), 0D)" for s in C.SCORES
+    )
     joined = pairs.join(rules, F.col("slug") == F.col("_slug"), "left")
-    hit = F.filter("_rules", lambda r: score_of(r.feature) >= r.min_score)
-    ids = F.array_sort(F.array_distinct(F.transform(hit, lambda r: r.rule_id)))
+    hit = f"filter(_rules, r -> CASE r.feature {score} END >= r.min_score)"
+    ids = F.expr(f"array_sort(array_distinct(transform({hit}, r -> r.rule_id)))")
     return (
         joined.withColumn(
             "violated_rules", F.coalesce(ids, F.array().cast("array<string>"))

@@ -15,43 +15,30 @@ from tidewarden.operators.tables import literal_table
 SCORE_BINS = 1 << 20  # fine bins; a thousand of them make a coarse one
 
 
-def _p95_rank(n: Column) -> Column:
-    """Lower of the two 1-based ranks between which the exclusive 95th percentile lies."""
-    below = F.floor(F.lit(19) * (n + 1) / F.lit(20))
-    return F.greatest(F.lit(1), F.least(below, n - 1))
-
-
-def _ranks(n: Column) -> dict[str, Column]:
-    return {
-        "mid_low": F.floor((n + 1) / 2),
-        "mid_high": F.floor(n / 2) + 1,
-        "p95_low": _p95_rank(n),
-        "p95_high": _p95_rank(n) + 1,
-    }
+# Of the two 1-based ranks between which the exclusive 95th percentile lies, the lower one.
+_P95_RANK = "greatest(1, least(floor(19 * (n + 1) / 20), n - 1))"
+_RANKS = {
+    "mid_low": "floor((n + 1) / 2)",
+    "mid_high": "floor(n / 2) + 1",
+    "p95_low": _P95_RANK,
+    "p95_high": f"{_P95_RANK} + 1",
+}
+# Whether a rank lies among the rows of a value, in a histogram with running counts.
+_HELD = {name: f"(upto >= {r} AND upto - n_rows < {r})" for name, r in _RANKS.items()}
+_MEDIAN = "(mid_low + mid_high) / 2D"
+# Linear between the two ranks, beyond the data for few rows.
+_WEIGHT = f"(19 * (n + 1) - 20 * {_P95_RANK})"
+_P95 = f"CASE WHEN n >= 2 THEN (p95_low * (20 - {_WEIGHT}) + p95_high * {_WEIGHT}) / 20D END"
 
 
 def _values_at_ranks() -> list[Column]:
     """The values at the median and p95 ranks of a cumulated histogram, as aggregates."""
     return [
-        F.max(
-            F.when((F.col("upto") >= r) & (F.col("upto") - F.col("n_rows") < r), F.col("value"))
-        ).alias(name)
-        for name, r in _ranks(F.col("n")).items()
+        F.expr(f"max(CASE WHEN {held} THEN value END)").alias(name)
+        for name, held in _HELD.items()
     ]
 
 
-def _median() -> Column:
-    return (F.col("mid_low") + F.col("mid_high")) / F.lit(2.0)
-
-
-def _p95() -> Column:
-    """The exclusive method: linear between two ranks, beyond the data for few rows."""
-    n = F.col("n")
-    weight = F.lit(19) * (n + 1) - F.lit(20) * _p95_rank(n)
-    value = (F.col("p95_low") * (F.lit(20) - weight) + F.col("p95_high") * weight) / F.lit(20.0)
-    return F.when(n >= 2, value)
-
-
 def length_profile(df: DataFrame, column: str) -> DataFrame:
     """Exact length statistics of a text column, all from one histogram of lengths.
 
@@ -80,20 +67,18 @@ def length_profile(df: DataFrame, column: str) -> DataFrame:
     return picked.select(
         F.coalesce("n", F.lit(0)).alias("n_rows"),
         F.col("shortest").alias("min_length"),
-        _median().alias("median_length"),
-        F.floor(_median()).alias("median_shown"),
+        F.expr(_MEDIAN).alias("median_length"),
+        F.floor(F.expr(_MEDIAN)).alias("median_shown"),
         (F.col("chars") / F.col("n")).alias("mean_length"),
-        _p95().alias("p95_length"),
+        F.expr(_P95).alias("p95_length"),
         F.col("longest").alias("max_length"),
     )
 
 
 def _holding_ranks(bins: DataFrame) -> DataFrame:
     """The bins, with their running counts, in which the wanted ranks lie: four at most."""
-    holds = F.lit(False)
-    for r in _ranks(F.col("n")).values():
-        holds = holds | ((F.col("upto") >= r) & (F.col("upto") - F.col("n_rows") < r))
-    return bins.where(holds).withColumn("before", F.col("upto") - F.col("n_rows"))
+    held = bins.where(" OR ".join(_HELD.values()))
+    return held.withColumn("before", F.col("upto") - F.col("n_rows"))
 
 
 def score_profile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -151,8 +136,8 @@ def score_profile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.
     return picked.select(
         F.coalesce("n", F.lit(0)).alias("n_rows"),
         F.col("smallest").alias("min_score"),
-        _median().alias("median_score"),
-        _p95().alias("p95_score"),
+        F.expr(_MEDIAN).alias("median_score"),
+        F.expr(_P95).alias("p95_score"),
     )
 
 
