@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, html, pii
+from tidewarden.llm import bpe, html, pii, quality
 from tidewarden.llm.common import table
 from tidewarden.llm.registry import query
 
@@ -29,3 +30,12 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_neighbours")
+def quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out)
+    scored = quality.score(documents, labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
