@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, html, pii, quality
+from tidewarden.llm import bpe, html, minhash, pii, quality
 from tidewarden.llm.common import table
 from tidewarden.llm.registry import query
 
@@ -39,3 +39,8 @@ def quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out)
     scored = quality.score(documents, labels)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op6_minmax_near_dedup")
+def minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
