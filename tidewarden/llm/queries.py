@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, html, minhash, pii, quality
+from tidewarden.llm import bpe, embedding_dedup, html, minhash, neighbours, pii, quality
 from tidewarden.llm.common import table
 from tidewarden.llm.registry import query
 
@@ -44,3 +44,13 @@ def quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minmax_near_dedup")
 def minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op1_collision_counting")
+def collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op7_multi_index_near_dedup")
+def multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
