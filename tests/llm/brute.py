@@ -43,3 +43,25 @@ def near(rows, words, percent):
     ]
     found = least(sets, links)
     return {d: (len(s), found[d], found[d] == d) for d, s in sets.items()}
+
+
+def repeated_lines(rows, min_words):
+    """(doc_id, place) of the lines in later copies of runs of min_words words."""
+    docs = {}
+    for doc_id, text in sorted(rows):
+        lines = [(i, x.strip()) for i, x in enumerate((text or "").split("\n"))]
+        docs[doc_id] = [(i, x) for i, x in lines if x]
+    first, gone = {}, set()
+    for doc_id, lines in docs.items():
+        for s in range(len(lines)):
+            words = 0
+            for e in range(s, len(lines)):
+                words += len(lines[e][1].split())
+                if words >= 2 * min_words and e > s + 1:
+                    break  # longer runs hold shorter ones that cover their lines
+                if words >= min_words:
+                    key = tuple(x for _, x in lines[s : e + 1])
+                    d, at = first.setdefault(key, (doc_id, s))
+                    if d != doc_id or s > at + (e - s):
+                        gone.update((doc_id, i) for i, _ in lines[s : e + 1])
+    return gone

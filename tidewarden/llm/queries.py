@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, embedding_dedup, html, minhash, neighbours, pii, quality
+from tidewarden.llm import bpe, embedding_dedup, html, licenses, line_dedup, minhash, mixing, neighbours, pii, quality
 from tidewarden.llm.common import table
 from tidewarden.llm.registry import query
 
@@ -54,3 +54,31 @@ def collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_multi_index_near_dedup")
 def multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query("op2_line_dedup")
+def removed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(documents, min_words=50)
+
+
+#: The mix wanted by language, as shares of all tokens.
+WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+
+
+def languages(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The language of the labelled documents."""
+    known = documents.select("doc_id", F.col("lang").alias("domain")).where("domain is not null")
+    return known.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query("op5_soft_mixing")
+def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(documents, languages(documents, table(spark, sf_dir, "labels")), WEIGHTS)
+    return mixed.select("doc_id", "tokens", F.transform("p", lambda x: F.round(x, 6)).alias("p"), F.round("rate", 6).alias("rate"), "taken")
+
+
+@query("op4_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
