@@ -57,7 +57,8 @@ def repeated_lines(rows, min_words):
             words = 0
             for e in range(s, len(lines)):
                 words += len(lines[e][1].split())
-                if words >= 2 * min_words and e > s + 1:
+                ends = [len(lines[i][1].split()) for i in (s, e)]
+                if e > s and words - max(ends) >= min_words:
                     break  # longer runs hold shorter ones that cover their lines
                 if words >= min_words:
                     key = tuple(x for _, x in lines[s : e + 1])
