@@ -25,6 +25,7 @@ ship(__name__)
 FUNCTIONS = 80  # 160 values
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 is missed with probability 3e-6
 BASE = 0x100000001B3
+SENT = 500_000  # ids of 24 bytes that are broadcast; more are joined by a shuffle
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -65,6 +66,10 @@ def bands(values: np.ndarray, functions: int = FUNCTIONS, count: int = BANDS, ro
     return key.view(np.int64)
 
 
+def set_key(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
+
+
 def _sign(words: int):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,20 +80,26 @@ def _sign(words: int):
                     {
                         "doc_id": part["doc_id"].astype("Int64"),
                         "n_shingles": [len(s) for s in sets],
-                        "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                        "shingles": [s.tolist() for s in sets],
+                        "set_key": [set_key(s) for s in sets],
+                        "bands": [bands(s).tolist() if len(s) else None for s in sets],
                     }
                 )
 
     return work
 
 
-def _band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), 256):
-            part = batch[i : i + 256]
-            keys = [bands(np.asarray(s, np.int64)).tolist() for s in part["shingles"]]
-            yield pd.DataFrame({"a": part["a"], "n": part["n"], "bands": keys})
+def _sets(words: int):
+    """The full sets of the documents that stand for a class."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch[i : i + 256]
+                sets = [shingles(t, words) for t in part["text"]]
+                out = pd.DataFrame({"a": part["doc_id"], "shingles": [s.tolist() for s in sets]})
+                yield out[[set_key(s) == k for s, k in zip(sets, part["set_key"], strict=True)]]
+
+    return work
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,21 +121,24 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     apart is compared pair by pair, but only across components, so a large group of copies costs as
     many comparisons as it has members, and no link that joins two components is lost.
     """
-    signed = documents.select("doc_id", "text").mapInPandas(
-        _sign(words), "doc_id bigint, n_shingles bigint, set_key binary, shingles array<bigint>"
-    )
+    rows = documents.select("doc_id", "text")
+    signed = rows.mapInPandas(_sign(words), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
     signed = keep(signed, "signed")
+    # A class is named by its least doc_id. Equal sets have equal bands.
     keyed = signed.where("set_key is not null and doc_id is not null")
-    # A class is named by its least doc_id.
-    least = keep(keyed.groupBy("set_key").agg(F.min("doc_id").alias("a")), "names")
-    first = keyed.join(least, "set_key").where("doc_id = a").dropDuplicates(["set_key"])
-    first = keep(first.select("a", F.col("n_shingles").alias("n"), "shingles"), "classes")
-    banded = first.select("a", "n", "shingles").mapInPandas(_band, "a bigint, n bigint, bands array<bigint>")
-    banded = banded.select("a", "n", F.posexplode("bands").alias("band", "key"))
-    centre = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct("a", "n")).alias("c")).where("size > 1")
-    shared = keep(banded.join(centre, ["band", "key"]).select("band", "key", "a", "n", "c"), "buckets")
+    named = keyed.groupBy("set_key").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    named = keep(named, "classes")
+    banded = named.select("a", "n", F.posexplode("bands").alias("band", "key"))
+    centre = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("a").alias("b"), F.min_by("n", "a").alias("m")).where("size > 1")
+    shared = keep(banded.join(centre.drop("size"), ["band", "key"]), "buckets")
+    least = named.select("set_key", "a")
+    # Texts are read again only for classes that share a bucket.
+    wanted = keep(least.join(shared.select("a").distinct(), "a", "left_semi").withColumnRenamed("a", "doc_id"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    first = rows.join(wanted, "doc_id").mapInPandas(_sets(words), "a bigint, shingles array<bigint>")
+    first = keep(first, "sets")
     ratio = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    star = shared.select("a", "n", F.col("c.a").alias("b"), F.col("c.n").alias("m")).where("a != b").where(ratio)
+    star = shared.where("a != b").where(ratio)
     links = keep(confirm(star.select("a", "b").distinct(), first, percent), "links")
     joined = components(links)
     member = shared.select("band", "key", "a", "n").join(joined.withColumnRenamed("node", "a"), "a", "left")
