@@ -10,6 +10,7 @@ grow with the cosine.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ BUCKETS = 2048
 SHAPES = 64
 WIDTH = BUCKETS + SHAPES
 LATENT = 64
-SAMPLE = 6_000  # labelled rows at most: 6,000 x 2,112 counts of 4 bytes are 51 MB at the driver
+SAMPLE = 6_000  # labelled rows at most; their 2,112 counts each reach the driver compressed
+BLOCK = 500  # rows that are unpacked at a time
 NEIGHBOURS = 25
 SHARPNESS = 30.0
 SCHEMA = "doc_id bigint, score double, predicted int"
@@ -69,16 +71,25 @@ def shape(text: str, data: np.ndarray) -> np.ndarray:
     return out
 
 
-class Space:
-    """The latent space: rarity weights and directions of the labelled sample."""
+def unpacked(sample: list[bytes]) -> Iterator[np.ndarray]:
+    """The rows of counts, a block at a time."""
+    for i in range(0, len(sample), BLOCK):
+        yield np.stack([np.frombuffer(zlib.decompress(x), np.float32) for x in sample[i : i + BLOCK]])
+
 
-    def __init__(self, sample: np.ndarray, latent: int = LATENT) -> None:
-        n = len(sample)
-        present = (sample[:, :BUCKETS] > 0).sum(0)
-        self.rarity = np.log((1 + n) / (1 + present)).astype(np.float32) + 0.1
-        weighted = self.weighted(sample)
-        _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-        self.directions = vectors[:, ::-1][:, :latent].astype(np.float32)
+class Space:
+    """The latent space: rarity weights and directions of the labelled sample. The sample comes as
+    packed rows and is unpacked block by block; only the Gram matrix is held whole."""
+
+    def __init__(self, sample: list[bytes], latent: int = LATENT) -> None:
+        present = sum((rows[:, :BUCKETS] > 0).sum(0) for rows in unpacked(sample))
+        self.rarity = np.log((1 + len(sample)) / (1 + present)).astype(np.float32) + 0.1
+        gram = np.zeros((WIDTH, WIDTH), np.float32)
+        for rows in unpacked(sample):
+            weighted = self.weighted(rows)
+            gram += weighted.T @ weighted
+        _, vectors = np.linalg.eigh(gram)
+        self.directions = vectors[:, ::-1][:, :latent].copy()
 
     def weighted(self, rows: np.ndarray) -> np.ndarray:
         grams = np.log1p(rows[:, :BUCKETS]) * self.rarity
@@ -115,14 +126,15 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tupl
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch[i : i + 500]
-                yield pd.DataFrame({"label": part["label"].astype("int32"), "counts": [r.tobytes() for r in counts(list(part["text"]))]})
+                yield pd.DataFrame({"label": part["label"].astype("int32"), "counts": [zlib.compress(r.tobytes(), 1) for r in counts(list(part["text"]))]})
 
     rows = texts.select("text", "label").limit(sample).repartition(12).mapInPandas(work, "label int, counts binary").collect()
     if not rows:
         return None
-    raw = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows])
-    space = Space(raw)
-    return space, space.vectors(raw), np.array([r["label"] for r in rows], np.float64)
+    packed = [bytes(r["counts"]) for r in rows]
+    space = Space(packed)
+    vectors = np.concatenate([space.vectors(block) for block in unpacked(packed)])
+    return space, vectors, np.array([r["label"] for r in rows], np.float64)
 
 
 def score(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
