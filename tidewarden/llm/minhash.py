@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewarden.llm.common import keep, ship
 from tidewarden.llm.graph import components
@@ -25,6 +26,7 @@ ship(__name__)
 FUNCTIONS = 80  # 160 values
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 is missed with probability 3e-6
 BASE = 0x100000001B3
+CHUNK = 512
 SENT = 500_000  # ids of 24 bytes that are broadcast; more are joined by a shuffle
 
 
@@ -53,12 +55,15 @@ def bands(values: np.ndarray, functions: int = FUNCTIONS, count: int = BANDS, ro
     """A key for each band of the signature; the minimum and the maximum of a function fall into
     different bands, as they are not independent in small sets."""
     seeds = np.random.default_rng(20240607).integers(1, 1 << 63, (functions, 2), np.uint64, endpoint=False)
-    low, high = np.empty(functions, np.uint64), np.empty(functions, np.uint64)
-    for i, (a, b) in enumerate(seeds):
-        hashed = (values.view(np.uint64) ^ b) * (a | np.uint64(1))
+    xor, factor = seeds[:, 1, None], seeds[:, 0, None] | np.uint64(1)
+    low, high = np.full(functions, np.iinfo(np.uint64).max), np.zeros(functions, np.uint64)
+    for i in range(0, len(values), CHUNK):  # all functions at once, over as many shingles as fit the cache
+        hashed = values[None, i : i + CHUNK].view(np.uint64) ^ xor
+        hashed *= factor
         hashed ^= hashed >> np.uint64(29)
         hashed *= np.uint64(0xBF58476D1CE4E5B9)
-        low[i], high[i] = hashed.min(), hashed.max()
+        np.minimum(low, hashed.min(axis=1), out=low)
+        np.maximum(high, hashed.max(axis=1), out=high)
     parts = np.concatenate([low, high])[: count * rows].reshape(count, rows)
     key = np.arange(1, count + 1).astype(np.uint64)
     for i in range(rows):
@@ -110,6 +115,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def rare_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, m) of members (a, n, component) of different components that share one of
+    their rarest shingles.
+
+    With the shingles of all members in one order, rarest first, two sets that reach the similarity
+    share one among the first n - ceil(n * percent / 100) + 1 of each. So no link is lost, and a
+    passage that very many members share brings together only those that hold little else.
+    """
+    each = member.join(sets.select("a", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle")), ["a", "n"])
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("a", "n").orderBy("often", "shingle"))
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    each = each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= head).where("often > 1")
+    apart = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    each = keep(each.select("shingle", "a", "n", "component").join(apart.select("shingle"), "shingle"), "rare")
+    other = each.select("shingle", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
+    return each.join(other, "shingle").where("component < d").select("a", "b", "n", "m")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
@@ -117,9 +141,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     document; if it comes with several texts, classes that share their least doc_id count as one. A null doc_id is never linked; its component_id is null and
     it is kept. An empty table gives no rows; columns besides doc_id and text are not read.
 
-    Links: in each bucket all classes are compared with the least one first. What these links leave
-    apart is compared pair by pair, but only across components, so a large group of copies costs as
-    many comparisons as it has members, and no link that joins two components is lost.
+    Links: in each bucket all classes are compared with the least one first, so a large group of
+    copies costs as many comparisons as it has members. Classes of buckets that these links leave
+    apart are compared across components if they share a rare shingle; no link is lost by that.
     """
     rows = documents.select("doc_id", "text")
     signed = rows.mapInPandas(_sign(words), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
@@ -144,9 +168,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     member = shared.select("band", "key", "a", "n").join(joined.withColumnRenamed("node", "a"), "a", "left")
     member = member.withColumn("component", F.coalesce("component", "a"))
     mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    member = keep(member.join(mixed.select("band", "key"), ["band", "key"]), "mixed")
-    other = member.select("band", "key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    rest = member.join(other, ["band", "key"]).where("component < d").where(ratio).select("a", "b").distinct()
+    member = member.join(mixed.select("band", "key"), ["band", "key"]).select("a", "n", "component").distinct()
+    rest = rare_pairs(keep(member, "mixed"), first, percent).where(ratio).select("a", "b").distinct()
     rest = rest.join(star.select("a", "b").distinct(), ["a", "b"], "left_anti")
     rest = rest.join(star.select(F.col("a").alias("b"), F.col("b").alias("a")).distinct(), ["a", "b"], "left_anti")
     links = links.unionByName(confirm(rest, first, percent))
