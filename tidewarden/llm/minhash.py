@@ -120,8 +120,10 @@ def rare_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     their rarest shingles.
 
     With the shingles of all members in one order, rarest first, two sets that reach the similarity
-    share one among the first n - ceil(n * percent / 100) + 1 of each. So no link is lost, and a
-    passage that very many members share brings together only those that hold little else.
+    share one among the first n - ceil(n * percent / 100) + 1 of each. For two given sizes the links
+    need a larger overlap, so the first shingle that they share must stand even earlier. So no link
+    is lost, and a passage that very many members share brings together only those that hold little
+    else.
     """
     each = member.join(sets.select("a", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle")), ["a", "n"])
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
@@ -129,9 +131,11 @@ def rare_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     each = each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= head).where("often > 1")
     apart = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    each = keep(each.select("shingle", "a", "n", "component").join(apart.select("shingle"), "shingle"), "rare")
-    other = each.select("shingle", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    return each.join(other, "shingle").where("component < d").select("a", "b", "n", "m")
+    each = keep(each.select("shingle", "a", "n", "component", "place").join(apart.select("shingle"), "shingle"), "rare")
+    other = each.select("shingle", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("place").alias("place_b"))
+    overlap = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    early = (F.col("place") <= F.col("n") - overlap + 1) & (F.col("place_b") <= F.col("m") - overlap + 1)
+    return each.join(other, "shingle").where("component < d").where(early).select("a", "b", "n", "m")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
