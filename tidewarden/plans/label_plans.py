@@ -545,12 +545,12 @@ def _(spark, d):
 _STREAM_LABELS = """
     SELECT s.stream_idx, j.* FROM stream s JOIN judged j USING (doc_id)
     WHERE j.violates_policy IS NOT NULL"""
-_STREAM = """
-    SELECT stream_idx, doc_id, bucket FROM stream WHERE stream_idx < 25000"""
 
 
 def _stream(spark, d):
-    seen = ordering.stream(views.corpus(spark, d), C.SAMPLE_SCAN_ROWS, "doc_id", C.SAMPLE_SEED)
+    """The whole corpus with its places in the seeded order."""
+    corpus = views.corpus(spark, d)
+    seen = ordering.stream(corpus, corpus.count(), "doc_id", C.SAMPLE_SEED)
     return seen.withColumn("bucket", scores.bucket())
 
 
@@ -633,8 +633,7 @@ def _audit(spark, d):
               CAST(j.doc_id AS VARCHAR) AS source_hf_id, j.obscene,
               CAST(j.violates_policy AS VARCHAR) AS violates_policy, j.severity,
               j.slug = 'study_hub' AS dev_mode
-       FROM (SELECT s.stream_idx, s.obscene, s.text, j.* FROM stream s JOIN judged j USING (doc_id)
-             WHERE stream_idx < 25000) j JOIN rule_sets r ON j.slug = r.slug""",
+       FROM (SELECT s.stream_idx, s.obscene, s.text, j.* FROM stream s JOIN judged j USING (doc_id)) j JOIN rule_sets r ON j.slug = r.slug""",
     "stream judged rule_sets",
 )
 def _(spark, d):
@@ -704,7 +703,6 @@ def _(spark, d):
                CAST(violates_policy AS VARCHAR) AS violates_policy,
                NULL::VARCHAR AS initial_author
         FROM stream JOIN judged USING (doc_id) JOIN rule_sets USING (slug)
-        WHERE stream_idx < 25000
         UNION ALL
         SELECT 'human_approved', stream_idx, bucket, CAST(violates_policy AS VARCHAR), 'draft'
         FROM ({_APPROVED})""",
