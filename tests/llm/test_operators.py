@@ -130,6 +130,29 @@ def test_html():
     assert html.main_text("") == "" and html.main_text("<p") == "<p"
 
 
+LONG = "A long sentence of the article, with commas, and with many more words than any menu has."
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="hidden-xs"', 'aria-hidden="false"', 'class="content with-sidebar"', 'class="layout no-sidebar"', 'class="side-by-side"', 'data-role="menu"', 'class="widget"', 'role="dialog"'],
+)
+def test_html_keeps_articles_in_odd_containers(attributes):
+    for tag in ("div", "article", "main", "body"):
+        page = f"<{tag} {attributes}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></{tag}><nav><a>Home</a></nav>"
+        assert html.main_text(page) == f"Head\n\n{LONG}\n\n{LONG}"
+
+
+def test_html_furniture_by_whole_names_and_headings_on_body():
+    article = f'<article><div class="entry-header"><h1>Head</h1></div><p>{LONG}</p><p>{LONG}</p></article>'
+    for mark in ("hidden", 'aria-hidden="true"', 'style="visibility: hidden"', 'style="color:red;display:none"', 'class="x site-footer"', 'id="comments"', 'class="post-comments"'):
+        assert html.main_text(f"<div>{article}<div {mark}><p>{LONG}</p></div></div>") == f"Head\n\n{LONG}\n\n{LONG}"
+        assert html.main_text(f"<div {mark}><p>{LONG}</p></div>") == LONG
+    body = f"<html><body><h1>Head</h1><p>{LONG * 4}</p><ul><li>One</li><li>Two</li></ul><p>{LONG * 4}</p></body></html>"
+    assert html.main_text(body) == f"Head\n\n{LONG * 4}\n\nOne\n\nTwo\n\n{LONG * 4}"
+    assert html.main_text(f"<form>{article}</form>") == f"Head\n\n{LONG}\n\n{LONG}"
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = rng.standard_normal((6000, 16)) + 2 * rng.standard_normal((6, 16)).repeat(1000, 0)

@@ -5,7 +5,8 @@ and their punctuation are summed over the page; the sums over the number of its
 path's ratios. A ratio is smoothed with the best one of the containers that hold the path, so that
 a short heading counts as part of its article. Both ratios are fused by their geometric mean, and
 the nodes of paths above a share of the page's mean are content. Elements that a page itself marks
-as furniture (menus, notices, adverts, comments) are not counted.
+as furniture (menus, notices, adverts, comments) or hides are not counted, but for one that holds
+most of the text; if all text is marked, the ratios alone decide.
 """
 
 from __future__ import annotations
@@ -35,22 +36,64 @@ INLINE = {
     "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br",
 }
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
-ROLES = r"""(?i)\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu)"""
-NAMES = (
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|menu|nav\w*|breadcrumb\w*|"
-    r"sidebar|side|widget|footer|foot|header|comment\w*|repl(?:y|ies)|disqus|related|share|social|newsletter|"
-    r"subscribe|signup|popup|modal|gdpr|toolbar|pagination|pager|skip)(?:$|[\s_-])"
+ROLES = {
+    "navigation", "banner", "contentinfo", "complementary", "search", "searchbox", "alert", "alertdialog", "dialog", "menu", "menubar",
+}
+# A class or id names furniture if each of its parts does, or only says of what or where it is.
+NAMES = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|menu|nav\w*|breadcrumb\w*|"
+    r"sidebar|side|widgets?|footer|foot|comment\w*|repl(?:y|ies)|disqus|related|share|sharing|social|newsletter|"
+    r"subscribe|signup|popup|modal|gdpr|toolbar|pagination|pager|skip"
 )
-ATTRIBUTE = r"""(?i)\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+HEADS = re.compile(r"header")  # furniture of the page, but not in an article
+OF = {
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "wrap", "wrapper", "container",
+    "inner", "outer", "area", "box", "bar", "block", "section", "list", "links", "link", "item", "items", "buttons", "form",
+    "thread", "overlay", "text", "message", "policy", "js", "id", "the",
+}
+POST = {"post", "posts", "entry", "article", "story", "blog"}  # not before a header
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"(?i)(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+STATED = {"article", "main"}
+BOXES = {"div", "section", "article", "main", "center", "table", "nav", "header", "footer", "aside", "form"}
+OWN = "/"  # stands for what hangs directly on the body
 MARKS = re.compile(r"[.,;:!?…。、，！？]")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SHARE = 0.2  # of the mean fused ratio
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(tag path, text, in furniture) of each block, in page order."""
-    out, parts, path = [], [], []  # path: (tag, in furniture)
-    at, where = 0, ("", False)
+def furniture(tag: str, attributes: str, inner: bool) -> bool:
+    """Whether an element is marked as furniture or hidden; `inner`: it lies in an article."""
+    if tag in ("html", "body"):
+        return False
+    if tag in FURNITURE and not (tag == "header" and inner):
+        return True
+    if not attributes.strip(" /"):
+        return False
+    values = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(values.get("style", "")):
+        return True
+    if not ROLES.isdisjoint(values.get("role", "").lower().split()):
+        return True
+    if tag in STATED:
+        return False
+    return any(names_furniture(x, inner) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split())
+
+
+def names_furniture(token: str, inner: bool) -> bool:
+    parts = [x for x in re.split(r"[_-]+", token) if x]
+    heads = any(HEADS.fullmatch(x) for x in parts)
+    if heads and inner or not (heads or any(NAMES.fullmatch(x) for x in parts)):
+        return False
+    return all(x in OF or x.isdigit() or x in POST and not heads or NAMES.fullmatch(x) or HEADS.fullmatch(x) for x in parts)
+
+
+def blocks(page: str) -> list[tuple[str, str, tuple[int, ...]]]:
+    """(tag path, text, marked elements around it, outermost first) of each block, in page order."""
+    out, parts, path = [], [], []  # path: (tag, marked elements)
+    at, where, count = 0, ("", ()), 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
@@ -58,8 +101,8 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         if text:
             out.append((where[0], text, where[1]))
 
-    def here() -> tuple[str, bool]:
-        return "/".join(t for t, _ in path if t not in INLINE), bool(path) and path[-1][1]
+    def here() -> tuple[str, tuple[int, ...]]:
+        return "/".join(t for t, _ in path if t not in INLINE), path[-1][1] if path else ()
 
     def add(text: str) -> None:
         nonlocal where
@@ -104,11 +147,11 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 path.pop()
             if path and (path[-1][0] in CLOSES.get(tag, ()) or path[-1][0] == "p"):
                 path.pop()
-        names = " ".join(filter(None, (x for g in re.findall(ATTRIBUTE, m[3]) for x in g)))
-        inner = tag == "header" and any(t in ("article", "main") for t, _ in path)
-        odd = tag in FURNITURE and not inner or re.search(ROLES, m[3]) or tag not in ("body", "html", "article", "main") and re.search(NAMES, names)
-        odd = odd or re.search(r"(?i)\bhidden\b|display\s*:\s*none", m[3])
-        path.append((tag, bool(odd) or bool(path) and path[-1][1]))
+        marked = path[-1][1] if path else ()
+        if furniture(tag, m[3], any(t in STATED for t, _ in path)):
+            count += 1
+            marked += (count,)
+        path.append((tag, marked))
     add(page[at:])
     flush()
     return out
@@ -117,7 +160,8 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
 def main_text(page: str) -> str:
     """The content blocks, joined by empty lines."""
     found = blocks(page)
-    live = [(p, t) for p, t, odd in found if not odd]
+    void = mistaken(found)
+    live = [(p, t) for p, t, marked in found if void.issuperset(marked)] or [(p, t) for p, t, _ in found]
     length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text in live:
         for p in (path, *above(path)):
@@ -135,10 +179,31 @@ def main_text(page: str) -> str:
     return "\n\n".join(t for p, t in live if fused[p] >= SHARE * mean)
 
 
+def mistaken(found: list[tuple[str, str, tuple[int, ...]]]) -> set[int]:
+    """Marked elements that count as content: they hold most of the text, in nodes at least as long
+    as those of the unmarked rest, and the rest has no article or main element."""
+    held, void = defaultdict(int), set()
+    for _, text, marked in found:
+        for e in marked:
+            held[e] += len(text)
+    total = sum(len(t) for _, t, _ in found)
+    for e in sorted(e for e in held if 2 * held[e] > total):
+        nodes = sum(e in marked for _, _, marked in found)
+        rest = [(p, len(t)) for p, t, marked in found if e not in marked and void.issuperset(marked)]
+        stated = any(not STATED.isdisjoint(p.split("/")) for p, _ in rest)
+        if not stated and held[e] * len(rest) >= sum(n for _, n in rest) * nodes:
+            void.add(e)
+    return void
+
+
 def above(path: str) -> list[str]:
-    """The containers of a path, without the page itself. Their sums hold those of all below them."""
+    """The containers of a path, without the page itself. Their sums hold those of all below them.
+    Headings, paragraphs and lists that hang directly on the body have it as their container, with
+    the sums of just these."""
     tags = path.split("/")
-    return [c for c in ("/".join(tags[:n]) + "/" for n in range(1, len(tags))) if c not in ("html/", "html/body/", "body/")]
+    out = [c for c in ("/".join(tags[:n]) + "/" for n in range(1, len(tags))) if c not in ("html/", "html/body/", "body/")]
+    inside = [t for i, t in enumerate(tags) if t and not (t == "html" and i == 0 or t == "body" and i <= 1)]
+    return out if inside and inside[0] in BOXES else [*out, OWN]
 
 
 def extract(pages: DataFrame) -> DataFrame:
