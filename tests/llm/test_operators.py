@@ -73,6 +73,27 @@ def test_near_duplicates(spark, odd):
     assert {(4, 4, True), (5, 4, False), (6, 4, False), (None, None, True), (1, 1, True)} <= by
 
 
+def test_rare_pairs_of_repeated_rows(spark, monkeypatch):
+    """All documents in one bucket whose centre is like none of them, each row four times, and two
+    texts of one size under one id."""
+    monkeypatch.setattr(minhash, "bands", lambda values: np.zeros(1, np.int64))
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 40)) for i in range(12)]
+    for i in range(12, 36):
+        words = rows[1 + i % 11][1].split()
+        words[rng.randrange(40)] = "other"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows * 4, "doc_id long, text string")
+    got = minhash.near_duplicates(df, 4, 80).collect()
+    expected = brute.near(rows, 4, 80)
+    assert len(got) == 4 * len(rows) and {r[0]: tuple(r[1:]) for r in got} == expected
+    assert sum(not kept for _, _, kept in expected.values()) > 10
+    two, one = prose(rng, 40), prose(rng, 40)
+    near = [" ".join([*x.split()[:20], "other", *x.split()[21:]]) for x in (one, two)]
+    df = spark.createDataFrame([rows[0], (100, one), (100, two), (101, near[0]), (102, near[1])], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(df, 4, 80).where("doc_id >= 100").collect()} == {100}
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     passages = [[prose(rng, rng.choice([3, 12, 30, 70])) for _ in range(rng.randint(1, 9))] for _ in range(12)]

@@ -101,7 +101,7 @@ def _sets(words: int):
             for i in range(0, len(batch), 256):
                 part = batch[i : i + 256]
                 sets = [shingles(t, words) for t in part["text"]]
-                out = pd.DataFrame({"a": part["doc_id"], "shingles": [s.tolist() for s in sets]})
+                out = pd.DataFrame({"a": part["doc_id"], "set_key": part["set_key"], "shingles": [s.tolist() for s in sets]})
                 yield out[[set_key(s) == k for s, k in zip(sets, part["set_key"], strict=True)]]
 
     return work
@@ -123,11 +123,12 @@ def rare_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share one among the first n - ceil(n * percent / 100) + 1 of each. For two given sizes the links
     need a larger overlap, so the first shingle that they share must stand even earlier. So no link
     is lost, and a passage that very many members share brings together only those that hold little
-    else.
+    else. `sets` (a, set_key, shingles) holds each set of a member once; places are counted in a set.
     """
-    each = member.join(sets.select("a", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle")), ["a", "n"])
+    each = sets.select("a", "set_key", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
+    each = member.join(each, ["a", "n"])
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("a", "n").orderBy("often", "shingle"))
+    place = F.row_number().over(Window.partitionBy("a", "set_key").orderBy("often", "shingle"))
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     each = each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= head).where("often > 1")
     apart = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
@@ -163,8 +164,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     # Texts are read again only for classes that share a bucket.
     wanted = keep(least.join(shared.select("a").distinct(), "a", "left_semi").withColumnRenamed("a", "doc_id"), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    first = rows.join(wanted, "doc_id").mapInPandas(_sets(words), "a bigint, shingles array<bigint>")
-    first = keep(first, "sets")
+    first = rows.join(wanted, "doc_id").mapInPandas(_sets(words), "a bigint, set_key binary, shingles array<bigint>")
+    first = keep(first.dropDuplicates(["a", "set_key"]), "sets")  # a row may come several times
     ratio = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     star = shared.where("a != b").where(ratio)
     links = keep(confirm(star.select("a", "b").distinct(), first, percent), "links")
