@@ -9,12 +9,26 @@ from tidewarden.llm import bpe, line_dedup, minhash, mixing, quality, queries
 from tidewarden.llm.common import keep, table
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """The documents, each with an id: rows without one take a hash of their text, above 2^62, so
+    that the decisions of a stage reach them. Such rows of equal text share it."""
+    own = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id"), own))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents but for those named in `dropped`; null ids stay null."""
+    rows = named(docs.withColumn("given_id", F.col("doc_id")))
+    return rows.join(dropped, "doc_id", "left_anti").withColumn("doc_id", F.col("given_id")).select(docs.columns)
+
+
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Rows that share a doc_id share the best score."""
+    """Documents that the quality classifier accepts. Rows that share a doc_id share the best score;
+    a row without one is judged by its text."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("good"))
+    scored = quality.score(named(docs), labels).groupBy("doc_id").agg(F.max("predicted").alias("good"))
     rejected = scored.where("good = 0").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+    return without(docs, rejected)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +39,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8)."""
-    copies = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    """One document of each group of near duplicates (five words, similarity 0.8). Rows without a
+    doc_id are documents of their own: of those with equal text one stays, unless it has no words."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    words = F.col("doc_id").isNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    least = docs.where(words).groupBy("text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("least"))
+    one = least.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", *[F.col("least")[c].alias(c) for c in rest])
+    docs = docs.where(~words).unionByName(one.select(docs.columns))
+    copies = minhash.near_duplicates(named(docs), words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return without(docs, copies)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws."""
+    """The documents that the mix draws; those without a doc_id are drawn by their text."""
     labelled = queries.languages(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labelled, queries.WEIGHTS)
+    mixed = mixing.mix(named(docs), labelled, queries.WEIGHTS)
     left_out = mixed.where("not taken").select("doc_id").distinct()
-    return docs.join(left_out, "doc_id", "left_anti")
+    return without(docs, left_out)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import tiktoken
@@ -220,6 +221,35 @@ def test_mixing_meets_targets(spark):
     assert abs(got["a"] / got["b"] - 1) < 0.01 and 0 <= got["lo"] <= got["hi"] <= 1
 
 
+def test_pipeline_decides_on_rows_without_id(spark, tmp_path):
+    rng = random.Random(12)
+    text = {1: lambda: prose(rng, 40), 0: lambda: " ".join(rng.choices(["$$$", "!!!", "WIN", "CASH 99"], k=40))}
+    rows = [(i if i < 80 else None, text[i % 2](), "en", i) for i in range(120)]
+    copy, near = rows[-1][1], rows[-1][1].rsplit(" ", 1)[0]
+    rows += [(None, copy, "en", 200), (None, near, "en", 201), (None, rows[1][1], "en", 202), (None, "", "en", 203), (None, None, "en", 204)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    good = corpus_pipeline.drop_rejected(spark, docs, str(tmp_path))
+    assert good.columns == docs.columns
+    assert {r.n_chars for r in good.where("n_chars < 200").collect()} == set(range(1, 120, 2))
+    left = {(r.doc_id, r.n_chars) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert (1, 1) in left and (None, 202) not in left
+    assert len(left & {(None, 119), (None, 200), (None, 201)}) == 1 and {(None, 203), (None, 204)} <= left
+
+
+def test_pipeline_mixes_rows_without_id(spark, tmp_path):
+    rng = random.Random(13)
+    rows = []
+    for i in range(900):
+        d = "en" if i % 3 else ("de", "fr", "es")[i % 9 // 3]
+        rows.append((i if i < 450 else None, " ".join(rng.choices([f"{d}{k}" for k in "abcdefgh"], k=40)), d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.where("doc_id < 300").select("doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [r for r in corpus_pipeline.mix_languages(spark, docs, str(tmp_path)).where("doc_id is null").collect()]
+    assert 0.45 < sum(r.lang == "en" for r in ids) / len(ids) < 0.65
+
+
 def test_licenses():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     rng = random.Random(8)
