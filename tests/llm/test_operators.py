@@ -221,6 +221,32 @@ def test_mixing_meets_targets(spark):
     assert abs(got["a"] / got["b"] - 1) < 0.01 and 0 <= got["lo"] <= got["hi"] <= 1
 
 
+def test_mixing_with_a_domain_without_labels(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices([f"{('en', 'de', 'es')[i % 3]}{k}" for k in "abcdefgh"], k=40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, ("en", "de", "es")[i % 3]) for i in range(90)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="no labelled rows of fr"):
+        got = mixing.mix(df, known, {"en": 0.5, "de": 0.25, "fr": 0.0, "es": 0.25})
+    for r in got.collect():
+        assert r.p[(0, 1, 3)[r.doc_id % 3]] > 0.9 and r.p[2] == 0
+    sums = got.selectExpr(*[f"sum(tokens * p[{i}] * rate) s{i}" for i in range(4)]).first()
+    assert abs(sums[0] / sums[3] - 2) < 0.01 and abs(sums[1] / sums[3] - 1) < 0.01
+
+
+def test_mixing_goes_on_until_close_or_reports(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 3)
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choices([f"{d}{k}" for k in "abcdefgh"], k=40))) for i, d in enumerate(["en"] * 60 + ["de"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, "en" if i < 60 else "de") for i in range(0, 120, 7)], "doc_id long, domain string")
+    got = mixing.mix(df, known, {"en": 0.9, "de": 0.1}).selectExpr("sum(tokens * p[0] * rate) a", "sum(tokens * p[1] * rate) b").first()
+    assert abs(got["a"] / got["b"] - 9) < 0.03
+    monkeypatch.setattr(mixing, "posteriors", lambda d, *_: d.selectExpr("doc_id", "40L tokens", "array(0.5D, 0.5D) p"))
+    with pytest.warns(UserWarning, match="the rates do not meet the targets; .*en -"):
+        mixing.mix(df, known, {"en": 0.9, "de": 0.1})
+
+
 def test_pipeline_decides_on_rows_without_id(spark, tmp_path):
     rng = random.Random(12)
     text = {1: lambda: prose(rng, 40), 0: lambda: " ".join(rng.choices(["$$$", "!!!", "WIN", "CASH 99"], k=40))}

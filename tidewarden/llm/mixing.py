@@ -3,13 +3,15 @@
 A classifier that is trained on the labelled rows gives each document a posterior over the domains.
 Rates between 0 and 1 are fitted so that the expected tokens of each domain meet its target, by
 projected gradient descent on the squared relative misses. A gradient step needs one sum per
-domain; the rates follow from the misses of all steps and are never stored.
+domain; the rates follow from the misses of the steps and are stored once in STEPS steps.
 
 Only DataFrame and ML functions of Spark are used.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -21,8 +23,9 @@ from tidewarden.llm.common import keep
 
 FEATURES = 4096
 EVIDENCE = 50.0  # words that a text counts as, so that long texts keep soft posteriors
-STEPS = 40
+STEPS = 40  # after so many the rates are written
 CLOSE = 1e-4  # relative miss of every domain at which the steps end
+STILL = 1e-5  # they also end, with a warning, when STEPS of them lower the greatest miss by less
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -45,20 +48,25 @@ def posteriors(documents: DataFrame, labelled: DataFrame, domains: list[str]) ->
     even = F.array_repeat(F.lit(1.0 / len(domains)), len(domains))
     if train.isEmpty():
         return rows.select("doc_id", tokens.alias("tokens"), even.alias("p"))
-    model = NaiveBayes(smoothing=0.1).fit(train)
+    # The model has one class per label that occurs, in order: its labels are numbered without gaps.
+    present = sorted(int(r["label"]) for r in train.select("label").distinct().collect())
+    if lost := [d for i, d in enumerate(domains) if i not in present]:
+        warnings.warn(f"no labelled rows of {', '.join(lost)}: posteriors of 0", stacklevel=2)
+    place = F.array_position(F.array(*[F.lit(float(i)) for i in present]), F.col("label")) - 1
+    model = NaiveBayes(smoothing=0.1).fit(train.withColumn("label", place.cast("double")))
     scored = model.transform(_features(rows.withColumn("tokens", tokens)))
     p = vector_to_array("probability")
-    full = F.concat(p, F.array_repeat(F.lit(0.0), len(domains) - model.numClasses))
+    full = F.array(*[p[present.index(i)] if i in present else F.lit(0.0) for i in range(len(domains))])
     return scored.select("doc_id", "tokens", full.alias("p"))
 
 
-def rate(p: Column, misses: list[list[float]]) -> Column:
-    """The rate after these steps: each moves it against the misses, back into 0..1."""
+def rate(p: Column, misses: list[list[float]], start: Column) -> Column:
+    """The rate after these steps from `start`: each moves it against the misses, back into 0..1."""
     if not misses:
-        return F.lit(1.0)
+        return start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in misses])
     dot = lambda step: F.aggregate(F.zip_with(p, step, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0), lambda w, step: F.least(F.lit(1.0), F.greatest(F.lit(0.0), w - dot(step))))
+    return F.aggregate(steps, start, lambda w, step: F.least(F.lit(1.0), F.greatest(F.lit(0.0), w - dot(step))))
 
 
 def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], seed: int = 17) -> DataFrame:
@@ -67,7 +75,9 @@ def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], se
 
     `labelled` holds doc_id and domain. The targets are the largest totals in the wanted proportion
     that the documents can fill at rates of at most 1; a domain with weight 0 gets rates near 0.
-    A domain without any expected tokens cannot bound the others. Without labelled rows all
+    A domain without any expected tokens cannot bound the others. Steps go on until every domain is
+    CLOSE to its target, or, where soft posteriors admit no such rates or only after very many steps,
+    until the greatest miss no longer falls; then a warning names each miss. Without labelled rows all
     posteriors are even. Null and empty texts have no tokens and do not affect the sums; they get a
     rate like others. Repeated rows get the same rate and draw; a null doc_id draws as one. An empty
     table gives no rows; other columns are not read.
@@ -81,13 +91,22 @@ def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], se
     fill = min((h / s for h, s in zip(have, share, strict=True) if s > 0 and h > 0), default=0.0)
     want = [fill * s for s in share]
     misses: list[list[float]] = []
-    for _ in range(STEPS):
-        got = sums(rate(F.col("p"), misses))
+    start, most = F.lit(1.0), float("inf")
+    while True:
+        got = sums(rate(F.col("p"), misses, start))
         # Scaled by what each domain has, the step length 1 is safe: posteriors sum to one.
         miss = [round(((g or 0.0) - t) / h, 9) if h > 0 else 0.0 for g, t, h in zip(got, want, have, strict=True)]
         if max(map(abs, miss)) < CLOSE:
             break
+        if len(misses) == STEPS:
+            before, most = most, max(map(abs, miss))
+            if most > before - STILL:
+                told = ", ".join(f"{d} {m:+.4f}" for d, m in zip(domains, miss, strict=True))
+                warnings.warn(f"the rates do not meet the targets; misses relative to what is there: {told}", stacklevel=2)
+                break
+            rows = keep(rows.withColumn("start", rate(F.col("p"), misses, start)).select("doc_id", "tokens", "p", "start"), "rates")
+            misses, start = [], F.col("start")
         misses.append(miss)
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.withColumn("rate", rate(F.col("p"), misses))
+    rows = rows.select("doc_id", "tokens", "p", rate(F.col("p"), misses, start).alias("rate"))
     return rows.withColumn("taken", drawn < F.col("rate"))
