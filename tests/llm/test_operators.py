@@ -285,6 +285,26 @@ def test_licenses():
     assert scanner.scan(prose(rng, 500)) == [] and scanner.scan("") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Licensed under a CC BY-NC 4.0 license.", {"CC-BY-NC-4.0"}), ("licensed under CC BY-SA 4.0", {"CC-BY-SA-4.0"}), ("Published under the CC BY 4.0", {"CC-BY-4.0"}),
+        ("Distributed under the MIT licence", {"MIT"}), ("This work is released under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("released under the GNU Lesser General Public License, version 3", {"LGPL-3.0"}), ("licensed under the AGPLv3", {"AGPL-3.0"}),
+        ("subject to the terms of the Mozilla Public License, v. 2.0", {"MPL-2.0"}), ("Available under the Eclipse Public License 2.0", {"EPL-2.0"}),
+        ("SPDX-License-Identifier: ISC", {"ISC"}), ("This is free and unencumbered software released into the public domain", {"Unlicense"}),
+        ("released under CC0 1.0", {"CC0-1.0"}), ("He studied at MIT under the dean", set()), ("Released under the license of its owner", set()),
+    ],
+)
+def test_licenses_in_edited_and_other_wordings(text, names):
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.WORDINGS)
+    rng = random.Random(9)
+    before = prose(rng, 30) + ". "
+    found = scanner.scan(before + text + ". " + prose(rng, 30))
+    assert {n for n, _, _ in found} == names
+    assert all(len(before) <= a < b <= len(before) + len(text) for _, a, b in found)
+
+
 def test_quality_of_held_out_rows(spark):
     got = queries.quality_neighbours(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     right = got.where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]

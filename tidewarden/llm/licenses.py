@@ -5,6 +5,10 @@ so that any copy of a template lies in one window as a whole. A window and a tem
 share half of the window's shingles at least, and 64 bands of one minimum each miss such a pair with
 a probability below 1e-10 (below 1e-6 where a fifth is shared). What shares a band is verified by
 the share of the template's shingles that the window holds.
+
+Statements of a few words are too short for that: they are looked up by the words that name the
+license, which must be there in their order, and verified by the share of their single words around
+them, so an edit of the other words is tolerated.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,6 +30,7 @@ ship(__name__)
 WORDS = 5
 BANDS = 64
 HOLDS = 0.8
+SPELLED = {"licence": "license", "licenced": "licensed"}  # other spellings
 SCHEMA = "doc_id bigint, n_licenses bigint, licenses string, spans string"
 # Usual statements of public licences.
 TEMPLATES = {
@@ -37,6 +43,42 @@ TEMPLATES = {
     "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
 }
+# Names of public licences; each stands in the usual statements.
+PUBLIC = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "MIT": ("MIT License",),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPL v2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPL v3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL v3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL v3"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0", "EPL 2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+} | {
+    f"CC-{kind}-4.0": (f"CC {kind} 4.0", f"CC-{kind} 4.0", f"CC-{kind}-4.0", f"Creative Commons {long} 4.0 International License", f"Creative Commons {long} 4.0 License")
+    for kind, long in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
+}
+VERBS = ("Licensed", "Released", "Distributed", "Available", "Published")
+WORDINGS = {
+    name: [f"{v} under the {x}" for v in VERBS for x in (*names, name)] + [f"{v} under {x}" for v in VERBS for x in (*names, name)] + [f"under the terms of the {x}" for x in names] + [f"SPDX-License-Identifier: {name}"]
+    for name, names in PUBLIC.items()
+}
+WORDINGS["Unlicense"].append("This is free and unencumbered software released into the public domain.")
+WORDINGS["ISC"].append("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")
+WORDINGS["MPL-2.0"].append("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.")
+SHORT = 16  # words of a statement that is looked up by its name
+# Words of a statement that do not name the license.
+PLAIN = set("licensed released distributed available published under the a an license version v terms of this that work works is are file and or later into to in with by".split()) - {"by"}
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -50,24 +92,62 @@ def hashes(words: list[str]) -> np.ndarray:
     return key
 
 
+def holds(words: list[str], run: tuple[str, ...]) -> bool:
+    return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], wordings: dict[str, list[str]] | None = None) -> None:
         self.word = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-        self.templates = {n: np.unique(hashes(self.word.findall(t.lower()))) for n, t in templates.items()}
-        self.templates = {n: t for n, t in self.templates.items() if len(t)}
+        every = [(n, self.words(t)) for n, t in templates.items()]
+        every += [(n, self.words(t)) for n, ts in (wordings or {}).items() for t in ts]
+        self.short, self.templates, self.owner = {}, {}, {}
+        for name, words in every:
+            runs = [tuple(g) for plain, g in groupby(words, PLAIN.__contains__) if not plain]
+            if runs and len(words) <= SHORT:
+                anchor = max(runs, key=len)
+                self.short.setdefault(anchor[0], {})[(name, anchor, tuple(runs), frozenset(words))] = len(words)
+            elif len(t := np.unique(hashes(words))):
+                key = (name, len(self.owner))
+                self.templates[key], self.owner[key] = t, name
         self.seeds = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64)
         self.lengths = {}
         for name, t in self.templates.items():
             self.lengths.setdefault(1 << (len(t) - 1).bit_length(), []).append(name)
         self.least = {n: [(mix(t ^ s)).min() for s in self.seeds] for n, t in self.templates.items()}
 
+    def words(self, text: str) -> list[str]:
+        return [SPELLED.get(w, w) for w in self.word.findall(text.lower())]
+
+    def named(self, words: list[str]) -> Iterator[tuple[str, int, int]]:
+        """(template, first word, last word) of the shortest stretch around each naming run."""
+        for at, word in enumerate(words):
+            for (name, anchor, runs, own), n in self.short.get(word, {}).items():
+                if tuple(words[at : at + len(anchor)]) != anchor:
+                    continue
+                low, end = max(0, at - n), min(len(words), at + len(anchor) + n)
+                whole = words[low:end]
+                if len(own.intersection(whole)) < HOLDS * len(own) or not all(holds(whole, run) for run in runs):
+                    continue
+                ends = []
+                for i in range(at, low - 1, -1):
+                    for j in range(at + len(anchor), end + 1):
+                        part = words[i:j]
+                        if len(own.intersection(part)) >= HOLDS * len(own) and all(holds(part, run) for run in runs):
+                            ends.append((j - i, i, j - 1))
+                            end = j  # a longer start needs no later end
+                            break
+                if ends:
+                    yield name, min(ends)[1], min(ends)[2]
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(template, start, end) of the words that hold it, by start; ends are exclusive."""
         places = [m.span() for m in self.word.finditer(text)]
         if not places:
             return []
-        shingles = hashes([text[a:b].lower() for a, b in places])
-        found = set()
+        words = [SPELLED.get(w, w) for w in (text[a:b].lower() for a, b in places)]
+        shingles = hashes(words)
+        found = {(places[i][0], places[j][1], name) for name, i, j in self.named(words)}
         for length, names in self.lengths.items():
             starts = np.arange(0, max(1, len(shingles) - length + 1), length)
             near = set()
@@ -83,7 +163,7 @@ class Scanner:
                 inside = np.flatnonzero(np.isin(shingles[a:b], self.templates[name]))
                 if len(np.unique(shingles[a:b][inside])) >= HOLDS * len(self.templates[name]):
                     last = min(len(places), a + int(inside[-1]) + WORDS) - 1
-                    found.add((places[a + int(inside[0])][0], places[last][1], name))
+                    found.add((places[a + int(inside[0])][0], places[last][1], self.owner[name]))
         return [(n, a, b) for a, b, n in sorted(found)]
 
 
@@ -93,10 +173,11 @@ def find_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
     Null and empty texts hold none. Repeated rows give repeated rows, an empty table none; other
     columns are not read. Case and punctuation do not count.
     """
+    wordings = WORDINGS if templates is None else None
     templates = TEMPLATES if templates is None else templates
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, wordings)
         for batch in batches:
             found = [scanner.scan(t or "") for t in batch["text"]]
             names = [sorted({n for n, _, _ in f}) for f in found]
