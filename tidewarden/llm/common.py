@@ -6,6 +6,8 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewarden.session import scratch_dir
 
@@ -24,3 +26,17 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """Writes a table with a dense number from 0, in the order of its partitions and their rows.
+
+    The first numbers come from one count per partition, so what is broadcast has one row per task.
+    """
+    place = F.monotonically_increasing_id()
+    kept = keep(df.withColumn("_place", place), label).withColumn("_part", F.shiftright("_place", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_rows"))
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).select(name, *df.columns)
