@@ -32,9 +32,17 @@ def test_spot_check_is_limited_before_the_shuffle(spark):
     assert "row_number(), 4, Partial" in plan(QUERIES["skip_breaches"](spark, SF_DIR))
 
 
-def test_pile_on_shuffles_once(spark):
-    text = plan(signals.pile_on(views.messages(spark, SF_DIR)))
-    assert text.count("Exchange") == 1 and "collect_set" not in text
+@pytest.mark.parametrize("name", ["infer_sessions", "repeat_streak", "off_topic_run"])
+def test_runs_read_the_log_once(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert text.count("FileScan") == 1 and "rangepartitioning" in text and "Broadcast" not in text
+
+
+def test_no_window_is_dealt_by_a_key(spark):
+    for name in ("infer_sessions", "pile_on", "once_per_week", "cooldown_breaches"):
+        text = plan(QUERIES[name](spark, SF_DIR))
+        dealt = [x.split(",")[0] for x in text.split("hashpartitioning(")[1:]]
+        assert dealt and all(x.startswith(("_part", "_lane")) for x in dealt)
 
 
 def test_profiles_read_one_column(spark):

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -67,6 +68,28 @@ def test_cooldown_breaches(spark):
     ]
 
 
+@pytest.mark.parametrize("parts", [1, 9, None])
+def test_rest_counts_from_the_latest_end_of_all(spark, parts):
+    """Long sessions that outlast later ones, open ones, several auditors, ties and ranges."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        start = NOW + timedelta(minutes=rng.randrange(4000))
+        active = start + timedelta(minutes=rng.choice([0, 5, 20, 300]))
+        rows.append({"session_id": f"{i:03}", "rule_set_slug": rng.choice("xxy"), "started_at": start, "last_activity_at": active, "ended_at": rng.choice([None, active]), "dev_mode": rng.random() < 0.1})
+    df = _sessions(spark, rows).withColumn("auditor", F.col("rule_set_slug"))
+    wanted = set()
+    for who in "xy":
+        mine = sorted((r["started_at"], r["session_id"], r["ended_at"] or r["last_activity_at"]) for r in rows if r["rule_set_slug"] == who and not r["dev_mode"])
+        for i, (start, sid, _) in enumerate(mine):
+            if i:
+                end, last = max((e, s) for _, s, e in mine[:i])
+                if (start - end).total_seconds() < 90 * 60:
+                    wanted.add((sid, last, (start - end).total_seconds() / 60))
+    got = sessions.cooldown_breaches(df, ["auditor"], parts).collect()
+    assert wanted and {(r["session_id"], r["previous_session_id"], r["rested_minutes"]) for r in got} == wanted
+
+
 def test_is_resumable(spark):
     rows = [
         {"session_id": "open", "n_completed": 3},
@@ -145,3 +168,75 @@ def test_weeks_without_rest(spark):
 def test_iso_utc(spark):
     df = spark.createDataFrame([(datetime(2026, 1, 5, 9, 8, 7, 999999),)], "t timestamp")
     assert df.select(times.iso_utc(F.col("t"))).first()[0] == "2026-01-05T09:08:07Z"
+
+
+def _played(session, actions, later, cap=30, warn=25):
+    """A session walked through as the tool does it: minutes of each action, in order."""
+    state = {"n_completed": 0, "skips_used": 0, "cursor": 0}
+    active, warned, done = 0.0, False, 0
+
+    def at_top(now):
+        if state["n_completed"] >= session["target_n"]:
+            return "target_reached"
+        if state["cursor"] >= session["n_candidates"]:
+            return "candidates_exhausted"
+        return "time_cap" if now > cap else None
+
+    now, reason = 0.0, at_top(0.0)
+    if reason is None:
+        for now, action in actions:
+            done += 1
+            if action == "quit":
+                reason = "user_quit"
+            elif action == "skip":
+                state["skips_used"] += 1
+                state["cursor"] += 1
+                reason = "skip_limit" if state["skips_used"] > 3 else None
+            elif action in ("judge", "discard"):
+                state["cursor"] += 1
+                state["n_completed"] += action == "judge"
+            if action in ("judge", "skip", "discard", "resume"):
+                active = now
+            reason = reason or at_top(now)
+            if reason:
+                break
+            warned = warned or now > warn
+    if reason:
+        end, active = now, now
+    else:
+        reason, end = ("abandoned", active) if later else (None, None)
+    return (*state.values(), active, end, reason, warned, len(actions) - done)
+
+
+@pytest.mark.parametrize("seed, parts", [(1, 1), (2, 11), (3, None)])
+def test_replay_walks_through_every_session(spark, seed, parts):
+    rng = random.Random(seed)
+    every, log, wanted = [], [], {}
+    for i in range(60):
+        n = rng.choice([0, 1, 4, 9, 30])
+        ticks = sorted(rng.choice([5, 24.9, 25, 25.1, 29, 30, 30.1, 31, 40, rng.randrange(60)]) for _ in range(n))
+        actions = [(t, rng.choice(["judge"] * 4 + ["skip", "skip", "discard", "quit", "resume", "x", None])) for t in ticks]
+        session = {"session_id": f"s{i:02}", "auditor": f"a{i % 7}", "started_at": NOW + timedelta(days=i), "target_n": rng.choice([0, 1, 3, 15]), "n_candidates": rng.choice([0, 3, 8, 50])}
+        every.append(session)
+        log += [(session["session_id"], session["started_at"] + timedelta(minutes=t), k, a) for k, (t, a) in enumerate(actions)]
+        wanted[session["session_id"]] = _played(session, actions, later=i + 7 < 60)
+    sessions_df = spark.createDataFrame(every, "session_id string, auditor string, started_at timestamp, target_n int, n_candidates int")
+    log_df = spark.createDataFrame(log, "session_id string, ts timestamp, event_id int, action string")
+    got = sessions.replay(sessions_df, log_df, ["session_id"], ["auditor"], parts=parts).collect()
+    assert {r["session_id"] for r in got} == set(wanted)
+    assert {w[5] for w in wanted.values()} >= {"target_reached", "candidates_exhausted", "time_cap", "user_quit", "abandoned"}
+    for r in got:
+        minutes = [None if t is None else (t - r["started_at"]).total_seconds() / 60 for t in (r["last_activity_at"], r["ended_at"])]
+        mine = (r["n_completed"], r["skips_used"], r["cursor"], minutes[0], minutes[1], r["ended_reason"], r["warned_25min"], r["n_ignored"])
+        assert mine == pytest.approx(wanted[r["session_id"]]), r["session_id"]
+
+
+def test_an_abandoned_session_starts_the_rest(spark):
+    """The end that replay gives an abandoned session is the one the next session must wait for."""
+    rows = [("a", NOW), ("b", NOW + timedelta(minutes=100))]
+    df = spark.createDataFrame([(s, "x", t, 5, 9) for s, t in rows], "session_id string, auditor string, started_at timestamp, target_n int, n_candidates int")
+    log = spark.createDataFrame([("a", NOW + timedelta(minutes=20), 1, "judge")], "session_id string, ts timestamp, event_id int, action string")
+    played = sessions.replay(df, log, ["session_id"], ["auditor"]).withColumn("dev_mode", F.lit(False))
+    assert {r["session_id"]: r["ended_reason"] for r in played.collect()} == {"a": "abandoned", "b": None}
+    got = sessions.cooldown_breaches(played, ["auditor"]).collect()
+    assert [(r["session_id"], r["rested_minutes"]) for r in got] == [("b", 80.0)]

@@ -1,72 +1,121 @@
-"""Neighbours and runs in time order per key, for keys of any size.
+"""Rows in order: what came before a row, and runs of neighbouring rows, for keys of any size.
 
-Most keys have few rows and are settled by one window over the key. A key may also hold a large
-share of all rows; the windows of such a key run over (key, time span), and what crosses a span
-border is settled among the first and last entries of its spans, of which it has two per span.
+Rows are dealt by ranges of (key, order), so a key with a large share of all rows spreads over as
+many tasks as it needs, and a task works on its own range only. What crosses the border of two
+ranges is settled among one or two rows of each range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SPAN_SECONDS = 3600
-# A key with more rows than this is cut into time spans.
-HOT_ROWS = 1_000_000
+from tidewarden.session import kept
 
 
-def span_of(ts: Column, seconds: int = SPAN_SECONDS) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds))
+def placed(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Deals rows by ranges of the order and adds `_part`, the place of a row's range among all."""
+    count = () if parts is None else (parts,)
+    return df.repartitionByRange(*count, *order).withColumn("_part", F.spark_partition_id())
 
 
-def with_span(
-    df: DataFrame, keys: Sequence[str], ts: str, span_seconds: int, hot_rows: int
+def _folded(fold: str, one: Column, other: Column) -> Column:
+    if fold == "max":
+        return F.greatest(one, other)
+    return F.coalesce(one, F.lit(0)) + F.coalesce(other, F.lit(0))
+
+
+def with_scans(
+    df: DataFrame,
+    order: Sequence[str],
+    values: Mapping[str, Column],
+    fold: str = "max",
+    inclusive: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Adds `_span`: the time span of a row of a hot key, null for the rows of other keys.
+    """Adds a column per value: its maximum or sum over all rows before a row, or up to it.
 
-    There are at most (rows / hot_rows) hot keys, which bounds what is broadcast.
+    The order must tell all rows apart, or rows that it does not must not change the result. The
+    dealt rows are written once, as both the ranges' totals and the rows are read from them; the
+    totals are one row per range. A scan per key needs nothing more: a maximum of structs that
+    begin with the key holds the latest key, and sums that end at zero for each key start anew.
     """
-    sizes = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
-        F.count(F.lit(1)).alias("_rows")
+    places = {f"_value{i}": value for i, value in enumerate(values.values())}
+    rows = kept(placed(df.withColumns(places), order, parts), "ordered")
+    total = F.max if fold == "max" else F.sum
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_part").agg(*[total(v).alias(f"_total{v}") for v in places])
+    carry = ranges.select(
+        "_part", *[total(f"_total{v}").over(earlier).alias(f"_carry{v}") for v in places]
     )
-    hot = sizes.where(F.col("_rows") > hot_rows).withColumn("_hot", F.lit(True)).drop("_rows")
-    same_key = F.lit(True)
+    last = Window.currentRow if inclusive else -1
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    local = rows.join(carry, "_part").withColumns(
+        {f"_local{v}": total(v).over(within) for v in places}
+    )
+    found = [
+        _folded(fold, F.col(f"_local{v}"), F.col(f"_carry{v}")).alias(name)
+        for v, name in zip(places, values, strict=True)
+    ]
+    return local.select(*df.columns, *found)
+
+
+def with_scan(
+    df: DataFrame,
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    fold: str = "max",
+    inclusive: bool = False,
+    parts: int | None = None,
+) -> DataFrame:
+    """`with_scans` of one value."""
+    return with_scans(df, order, {name: value}, fold, inclusive, parts)
+
+
+def same_keys(keys: Sequence[str], other: str) -> Column:
+    """Whether a struct column has the keys of its row; null keys are equal."""
+    same = F.col(other).isNotNull()
     for k in keys:
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    marked = df.join(F.broadcast(hot), same_key, "left")
-    span = F.when(F.col("_hot"), span_of(F.col(ts), span_seconds))
-    return marked.withColumn("_span", span).drop("_hot", *[f"_key_{k}" for k in keys])
+        same = same & F.col(k).eqNullSafe(F.col(other)[k])
+    return same
 
 
-def with_previous(
+def with_greatest_before(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
-    span_seconds: int = SPAN_SECONDS,
-    hot_rows: int = HOT_ROWS,
+    name: str,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Adds `previous`: a struct of columns of the row before, in the order within the key.
+    """Adds a struct of columns: the greatest one among the earlier rows of the key.
 
-    The first of the order columns is the time.
+    Null where there is none. Compared by the first column, then the next ones; a row with a null
+    first column never counts.
     """
-    spanned = with_span(df, keys, order[0], span_seconds, hot_rows)
-    local = Window.partitionBy(*keys, "_span").orderBy(*order)
-    carried = F.struct(*columns)
-    marked = spanned.withColumn("previous", F.lag(carried).over(local)).withColumn(
-        "_is_last", F.lead(F.lit(True)).over(local).isNull()
-    )
-    is_hot, is_first = F.col("_span").isNotNull(), F.col("previous").isNull()
-    across = Window.partitionBy(*keys).orderBy(*order)
-    borders = marked.where(is_hot & (is_first | F.col("_is_last"))).withColumn(
-        "_before", F.lag(carried).over(across)
-    )
-    settled = borders.where(is_first).withColumn("previous", F.col("_before")).drop("_before")
-    inner = marked.where(~(is_hot & is_first))
-    return inner.unionByName(settled).drop("_span", "_is_last")
+    value = F.when(F.col(columns[0]).isNotNull(), F.struct(*keys, F.struct(*columns).alias("_of")))
+    scanned = with_scan(df, [*keys, *order], value, "_before", parts=parts)
+    of_key = F.when(same_keys(keys, "_before"), F.col("_before")["_of"])
+    return scanned.withColumn(name, of_key).drop("_before")
+
+
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    parts: int | None = None,
+) -> DataFrame:
+    """Adds `previous`: a struct of columns of the row before, in the order within the key."""
+    at = F.struct(*order).alias("_at")
+    value = F.struct(*keys, at, F.struct(*columns).alias("_of"))
+    scanned = with_scan(df, [*keys, *order], value, "_before", parts=parts)
+    of_key = F.when(same_keys(keys, "_before"), F.col("_before")["_of"])
+    return scanned.withColumn("previous", of_key).drop("_before")
 
 
 def runs(
@@ -76,13 +125,16 @@ def runs(
     tie: str,
     value: str,
     linked: Callable[[Column, Column, Column, Column], Column],
-    span_seconds: int = SPAN_SECONDS,
-    hot_rows: int = HOT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Maximal runs of neighbouring rows: keys, value, started_at, ended_at, n_rows.
 
     `linked(earlier_ts, earlier_value, ts, value)` tells whether a row continues the run of the
     row before it. All rows of a run must have the same value.
+
+    Each range finds its own runs. The first and the last run of all ranges meet in one lane, two
+    rows per range, where a run that goes on in later ranges is put together; the other runs stay
+    in the lane of their range.
     """
     rows = df.select(
         *keys,
@@ -90,55 +142,45 @@ def runs(
         F.col(tie).alias("_tie"),
         F.col(value).alias("_value"),
     )
-    spanned = with_span(rows, keys, "_ts", span_seconds, hot_rows)
-    local = Window.partitionBy(*keys, "_span").orderBy("_ts", "_tie")
-    goes_on = linked(
-        F.lag("_ts").over(local), F.lag("_value").over(local), F.col("_ts"), F.col("_value")
-    )
+    rows = placed(rows, [*keys, "_ts", "_tie"], parts)
+    part = Window.partitionBy("_part")
+    local = part.orderBy(*keys, "_ts", "_tie")
     so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.struct(*keys, "_ts", "_value")
+    goes_on = same_keys(keys, "_before") & linked(
+        F.col("_before._ts"), F.col("_before._value"), F.col("_ts"), F.col("_value")
+    )
     pieces = (
-        spanned.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+        rows.withColumn("_before", F.lag(before).over(local))
+        .withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(so_far))
-        .groupBy(*keys, "_span", "_run", "_value")
+        .groupBy("_part", "_run", *keys, "_value")
         .agg(
             F.min("_ts").alias("_start"),
             F.max("_ts").alias("_end"),
             F.count(F.lit(1)).alias("_n"),
         )
+        .withColumn("_border", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(part)))
+        .withColumn("_lane", F.when(F.col("_border"), -1).otherwise(F.col("_part")))
     )
-    is_hot = F.col("_span").isNotNull()
-    cold = pieces.where(~is_hot)
-    last = F.max("_run").over(Window.partitionBy(*keys, "_span"))
-    hot = pieces.where(is_hot).withColumn("_last", last)
-    at_border = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
-
-    across = Window.partitionBy(*keys).orderBy("_span", "_run")
-    other_span = F.lag("_span").over(across) < F.col("_span")
-    joins = other_span & linked(
-        F.lag("_end").over(across), F.lag("_value").over(across), F.col("_start"), F.col("_value")
+    lane = Window.partitionBy("_lane").orderBy("_part", "_run")
+    ends = F.struct(*keys, "_end", "_value", "_part")
+    joins = (
+        F.col("_border")
+        & same_keys(keys, "_before")
+        & (F.col("_before._part") < F.col("_part"))
+        & linked(F.col("_before._end"), F.col("_before._value"), F.col("_start"), F.col("_value"))
     )
-    all_before = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = (
-        hot.where(at_border)
+    up_to = lane.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        pieces.withColumn("_before", F.lag(ends).over(lane))
         .withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-        .withColumn("_group", F.sum("_new").over(all_before))
-        .groupBy(*keys, "_group", "_value")
+        .withColumn("_group", F.sum("_new").over(up_to))
+        .groupBy("_lane", "_group", *keys, "_value")
         .agg(
-            F.min("_start").alias("_start"),
-            F.max("_end").alias("_end"),
-            F.sum("_n").alias("_n"),
+            F.min("_start").alias("started_at"),
+            F.max("_end").alias("ended_at"),
+            F.sum("_n").alias("n_rows"),
         )
-    )
-    shown = [*keys, "_value", "_start", "_end", "_n"]
-    found = (
-        cold.select(*shown)
-        .unionByName(hot.where(~at_border).select(*shown))
-        .unionByName(merged.select(*shown))
-    )
-    return found.select(
-        *keys,
-        F.col("_value").alias(value),
-        F.col("_start").alias("started_at"),
-        F.col("_end").alias("ended_at"),
-        F.col("_n").alias("n_rows"),
+        .select(*keys, F.col("_value").alias(value), "started_at", "ended_at", "n_rows")
     )

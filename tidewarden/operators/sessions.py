@@ -35,17 +35,29 @@ def drop_dev_rows(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("dev_mode"))
 
 
-def cooldown_breaches(sessions: DataFrame, auditor: Sequence[str]) -> DataFrame:
-    """Real sessions begun before the rest after the auditor's last one was over."""
-    chained = ordered.with_previous(
-        drop_dev_rows(sessions), auditor, ["started_at", "session_id"], ["session_id", "ended_at"]
+def cooldown_breaches(
+    sessions: DataFrame, auditor: Sequence[str], parts: int | None = None
+) -> DataFrame:
+    """Real sessions begun before the rest after the auditor's last end was over.
+
+    What counts is the latest end among all sessions begun before, not the one begun last. A
+    session still open when the next one begins was given up: it ended at its last activity.
+    """
+    ended = F.coalesce("ended_at", "last_activity_at")
+    chained = ordered.with_greatest_before(
+        drop_dev_rows(sessions).withColumn("_ended", ended),
+        auditor,
+        ["started_at", "session_id"],
+        ["_ended", "session_id"],
+        "previous",
+        parts,
     )
-    rested = times.minutes_between(F.col("previous.ended_at"), F.col("started_at"))
+    rested = times.minutes_between(F.col("previous._ended"), F.col("started_at"))
     return (
         chained.withColumn("previous_session_id", F.col("previous.session_id"))
         .withColumn("rested_minutes", rested)
         .where(F.col("rested_minutes") < C.COOLDOWN_MINUTES)
-        .drop("previous")
+        .drop("previous", "_ended")
     )
 
 
@@ -119,6 +131,113 @@ def session_progress(log: DataFrame, session: Sequence[str], target_n: int) -> D
     )
 
 
+ACTIONS = ("judge", "skip", "discard", "quit", "resume")
+_COUNTED = ("n_completed", "skips_used", "cursor")
+
+
+def replay(
+    sessions: DataFrame,
+    log: DataFrame,
+    session: Sequence[str],
+    auditor: Sequence[str],
+    cap_minutes: float = C.SESSION_CAP_MINUTES,
+    warn_minutes: float = C.SESSION_WARN_MINUTES,
+    parts: int | None = None,
+) -> DataFrame:
+    """The final state of each session, from what was done in it.
+
+    `sessions` has the session columns, `auditor`, started_at, target_n and n_candidates; `log` has
+    the session columns, ts, event_id and an action: judge, skip, discard, quit or resume. Other
+    actions are no answer, but time passes. After every action, and at the start, a session ends
+    for the first of these reasons that holds: a quit, a skip too many, the target reached, the
+    candidates used up, the time cap passed. What the log has after the end is counted in
+    `n_ignored` and changes nothing. A session still open when a later one of its auditor has
+    begun was abandoned: it ended at its last activity.
+
+    The counts are sums over ranges of the log, so a session may have any number of actions.
+    """
+    action, start = F.col("action"), F.col("_at_start")
+    moves = {
+        "n_completed": action == "judge",
+        "skips_used": action == "skip",
+        "cursor": action.isin("judge", "skip", "discard"),
+    }
+    steps = log.where(F.col("ts").isNotNull()).select(
+        *session,
+        F.lit(1).alias("_kind"),
+        F.col("ts").cast("timestamp").alias("_ts"),
+        "event_id",
+        "action",
+        *[F.coalesce(m, F.lit(False)).cast("bigint").alias(f"_{c}") for c, m in moves.items()],
+    )
+    # A first row per session, before its actions, and a last one that takes its sums back to zero.
+    facts = sessions.select(
+        *session,
+        F.col("started_at").cast("timestamp").alias("_start"),
+        F.col("target_n").alias("_target"),
+        F.col("n_candidates").alias("_candidates"),
+    )
+    first = facts.select(*session, F.lit(0).alias("_kind"), F.col("_start").alias("_ts"))
+    last = steps.groupBy(*session).agg(
+        F.lit(2).alias("_kind"), *[(-F.sum(f"_{c}")).alias(f"_{c}") for c in _COUNTED]
+    )
+    line = steps.unionByName(first, allowMissingColumns=True)
+    line = line.unionByName(last, allowMissingColumns=True)
+    order = [*session, "_kind", "_ts", "event_id"]
+    sums = {c: F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in _COUNTED}
+    counted = ordered.with_scans(line, order, sums, "sum", inclusive=True, parts=parts)
+    seen = counted.where("_kind < 2").drop(*[f"_{c}" for c in _COUNTED])
+    seen = seen.join(facts, list(session)).withColumn("_at_start", F.col("_kind") == 0)
+    elapsed = times.elapsed_minutes(F.col("_start"), F.col("_ts"))
+    reason = (
+        F.when(~start & (action == "quit"), "user_quit")
+        .when(~start & (action == "skip") & (F.col("skips_used") > C.MAX_SKIPS), "skip_limit")
+        .when(F.col("n_completed") >= F.col("_target"), "target_reached")
+        .when(F.col("cursor") >= F.col("_candidates"), "candidates_exhausted")
+        .when(elapsed > cap_minutes, "time_cap")
+    )
+    seen = seen.withColumn("_reason", reason).withColumn("_warn", elapsed > warn_minutes)
+    place = F.struct("_kind", "_ts", "event_id")
+    # The state after an action, or before the first one.
+    state = F.struct(*[F.col(c).cast("int").alias(c) for c in _COUNTED], F.col("_ts").alias("at"))
+    ended = F.when(F.col("_reason").isNotNull(), place)
+    ends = seen.groupBy(*session).agg(
+        F.min(ended).alias("_end"),
+        F.min_by(F.struct("_reason", state.alias("state")), ended).alias("_ended"),
+    )
+    inside = seen.join(ends, list(session)).withColumn("_place", place)
+    inside = inside.withColumn("_counts", F.col("_end").isNull() | (F.col("_place") <= F.col("_end")))
+    moved = F.col("_counts") & (F.col("_at_start") | action.isin("judge", "skip", "discard", "resume"))
+    before_end = F.col("_counts") & (F.col("_end").isNull() | (F.col("_place") < F.col("_end")))
+    final = inside.groupBy(*session).agg(
+        F.first("_ended", ignorenulls=True).alias("_ended"),
+        F.max_by(state, F.when(F.col("_counts"), F.col("_place"))).alias("_state"),
+        F.max(F.when(moved, F.col("_ts"))).alias("_active"),
+        F.max(F.coalesce(before_end & F.col("_warn"), F.lit(False))).alias("warned_25min"),
+        F.count_if(~F.col("_counts")).alias("n_ignored"),
+    )
+    latest = sessions.groupBy(*[F.col(c).alias(f"_of_{c}") for c in auditor]).agg(
+        F.max(F.struct(F.col("started_at"), *session)).alias("_latest")
+    )
+    same = F.lit(True)
+    for c in auditor:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    superseded = F.struct(F.col("started_at"), *session) < F.col("_latest")
+    whole = sessions.join(final, list(session)).join(latest, same)
+    closed = F.when(F.col("_ended").isNotNull(), F.col("_ended.state.at")).when(
+        superseded, F.col("_active")
+    )
+    return whole.select(
+        *[c for c in sessions.columns if c not in _COUNTED],
+        *[F.col("_state")[c].alias(c) for c in _COUNTED],
+        F.coalesce("_ended.state.at", "_active").alias("last_activity_at"),
+        closed.alias("ended_at"),
+        F.coalesce("_ended._reason", F.when(superseded, "abandoned")).alias("ended_reason"),
+        "warned_25min",
+        "n_ignored",
+    )
+
+
 def latest_session(sessions: DataFrame, by: Sequence[str], modified: str) -> DataFrame:
     """The session written last, per auditor."""
     row = F.struct(*[F.col(c) for c in sessions.columns if c not in by])

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewarden.functions import text, times
 from tidewarden.operators import ordered
@@ -17,76 +16,62 @@ WEEK_MINUTES = 7 * 24 * 60
 def pile_on(
     messages: DataFrame,
     target: str = "target_id",
+    user: str = "user_id",
     min_users: int = 3,
     minutes: int = 10,
-    span_seconds: int = 3600,
+    parts: int | None = None,
 ) -> DataFrame:
     """Messages by which at least `min_users` users hit one target in the closed window before.
 
-    A user counts from a message on until `minutes` later or the user's next message, so the
-    number of users is a running sum of +1 and -1. It runs per (target, time span): messages of
-    the last minutes of a span go to the next one as context too, and a busy target spreads
-    over its spans. One shuffle; no set of users is built.
+    A user's messages with no gap longer than the window form a run, and the user counts from its
+    start until the window's length after its end. Starts, messages and ends of a target in order
+    make the number of users a running sum, which is zero again after the last end. Both the runs
+    and the sum go over ranges of rows, so one target, user, hour or instant with a large share of
+    the log spreads over many tasks. Messages without a target never count; those without a user
+    are judged but count as nobody.
     """
-    if span_seconds < minutes * 60:
-        raise ValueError("a span must be at least as long as the window")
-    reach = F.expr(f"INTERVAL {minutes} MINUTES")
-    ts = F.col("ts").cast("timestamp")
-    own = ordered.span_of(ts, span_seconds)
-    spread = (
-        messages.withColumn("ts", ts)
-        .withColumn("_own", own)
-        .withColumn(
-            "_span",
-            F.explode(F.array_distinct(F.array(own, ordered.span_of(ts + reach, span_seconds)))),
-        )
-        .repartition(target, "_span")
-    )
-    of_user = Window.partitionBy(target, "_span", "user_id").orderBy("ts", "event_id")
-    following = F.lead("ts").over(of_user)
-    kept = [c for c in messages.columns if c not in ("ts", target)]
-    taken_over = F.col("_next").isNotNull() & (F.col("_next") <= F.col("ts") + reach)
-    # At one instant: messages and take-overs (0) first, then expiries (1): the window is closed.
+    aimed = messages.where(F.col(target).isNotNull())
+    log = aimed.where(F.col(user).isNotNull()).withColumn("_one", F.lit(1))
+
+    def linked(earlier: Column, _, later: Column, __) -> Column:
+        return times.minutes_between(earlier, later) <= minutes
+
+    active = ordered.runs(log, [target, user], "ts", "event_id", "_one", linked, parts)
+    over = F.col("ended_at") + F.expr(f"INTERVAL {minutes} MINUTES")
+    # At one instant: starts (0), then messages (1), then ends (2), as the window is closed.
     steps = F.array(
-        F.struct(
-            F.col("ts").alias("at"),
-            F.lit(0).alias("kind"),
-            F.lit(1).alias("delta"),
-            (F.col("_own") == F.col("_span")).alias("is_message"),
-        ),
-        F.struct(
-            F.when(taken_over, F.col("_next")).otherwise(F.col("ts") + reach).alias("at"),
-            F.when(taken_over, 0).otherwise(1).alias("kind"),
-            F.lit(-1).alias("delta"),
-            F.lit(False).alias("is_message"),
-        ),
+        F.struct(F.col("started_at").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta")),
+        F.struct(over.alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_delta")),
     )
-    whole_span = Window.partitionBy(target, "_span")
-    line = whole_span.orderBy("at", "kind")
-    # Spans with too few users at all go before the second sort; their users are counted in the
-    # order the rows already have.
-    is_first = (F.row_number().over(of_user) == 1).cast("int")
-    return (
-        spread.withColumns({"_next": following, "_first": is_first})
-        .withColumn("_users", F.sum("_first").over(whole_span))
-        .where(F.col("_users") >= min_users)
-        .select(target, "_span", "ts", *kept, F.inline(steps))
-        .withColumn("n_users", F.sum("delta").over(line))
-        .where(F.col("is_message") & (F.col("n_users") >= min_users))
-        .select(target, "ts", *kept, F.col("n_users").cast("int").alias("n_users"))
+    said = aimed.withColumns(
+        {"_at": F.col("ts").cast("timestamp"), "_kind": F.lit(1), "_delta": F.lit(0)}
+    )
+    line = active.select(target, F.inline(steps)).unionByName(said, allowMissingColumns=True)
+    counted = ordered.with_scan(
+        line, [target, "_at", "_kind", "event_id"], F.col("_delta"), "n_users", "sum", parts=parts
+    )
+    kept = [c for c in messages.columns if c not in ("ts", target)]
+    return counted.where((F.col("_kind") == 1) & (F.col("n_users") >= min_users)).select(
+        target, F.col("_at").alias("ts"), *kept, F.col("n_users").cast("int").alias("n_users")
     )
 
 
 def continued_after_stop(
     messages: DataFrame, user: str = "user_id", target: str = "target_id"
 ) -> DataFrame:
-    """Messages to a target after it first asked the user to stop."""
-    stops = (
-        messages.where("is_stop").groupBy(user, target).agg(F.min("ts").alias("stopped_at"))
-    )
-    return messages.where(~F.col("is_stop")).join(stops, [user, target]).where(
-        F.col("ts") > F.col("stopped_at")
+    """Messages to somebody who has asked their author to stop, from that instant on.
+
+    The request goes the other way: its author is the target of the messages, and its target is
+    their author. Requests to stop are no messages of this kind themselves.
+    """
+    asked = (
+        messages.where("is_stop")
+        .groupBy(F.col(user).alias("_asking"), F.col(target).alias("_asked"))
+        .agg(F.min("ts").alias("stopped_at"))
     )
+    told = (F.col(target) == F.col("_asking")) & (F.col(user) == F.col("_asked"))
+    later = F.col("ts") > F.col("stopped_at")
+    return messages.where(~F.col("is_stop")).join(asked, told & later).drop("_asking", "_asked")
 
 
 def repeat_streak(
@@ -119,19 +104,21 @@ def repeat_in_message(df: DataFrame, column: str, at_least: int = 3) -> DataFram
 def repeat_across_threads(
     df: DataFrame, column: str, thread: str, at_least: int = 3
 ) -> DataFrame:
-    """Texts posted several times, with the number of threads they appear in."""
+    """Texts posted several times and in more than one thread, with both numbers.
+
+    Rows without a text or with an empty one say nothing and are left out; a null thread is none.
+    """
+    said = df.where(F.col(column) != "")
     return (
-        df.groupBy(F.sha2(column, 256).alias("text_hash"))
+        said.groupBy(F.sha2(column, 256).alias("text_hash"))
         .agg(F.count(F.lit(1)).alias("n_posts"), F.count_distinct(thread).alias("n_threads"))
-        .where(F.col("n_posts") >= at_least)
+        .where((F.col("n_posts") >= at_least) & (F.col("n_threads") > 1))
     )
 
 
 def once_per_week(messages: DataFrame, user: Sequence[str], promo: Column) -> DataFrame:
     """Promotions less than seven days after the user's last one."""
-    chained = ordered.with_previous(
-        messages.where(promo), user, ["ts", "event_id"], ["ts"], span_seconds=24 * 3600
-    )
+    chained = ordered.with_previous(messages.where(promo), user, ["ts", "event_id"], ["ts"])
     since = times.minutes_between(F.col("previous.ts"), F.col("ts"))
     return (
         chained.withColumn("minutes_since", since)

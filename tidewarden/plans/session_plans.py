@@ -64,12 +64,14 @@ def _(spark, d):
 
 @query(
     "cooldown_breaches",
-    f"""SELECT session_id, auditor, previous_session_id, rested_minutes
-        FROM (SELECT session_id, auditor,
-                     lag(session_id) OVER w AS previous_session_id,
-                     {minutes('lag(ended_at) OVER w', 'started_at')} AS rested_minutes
-              FROM sessions WHERE NOT dev_mode
-              WINDOW w AS (PARTITION BY auditor ORDER BY started_at, session_id))
+    f"""SELECT session_id, auditor, last_one.id AS previous_session_id, rested_minutes
+        FROM (SELECT session_id, auditor, last_one,
+                     {minutes('last_one.ended', 'started_at')} AS rested_minutes
+              FROM (SELECT session_id, auditor, started_at,
+                           max({{'ended': coalesce(ended_at, last_activity_at), 'id': session_id}})
+                               OVER (PARTITION BY auditor ORDER BY started_at, session_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_one
+                    FROM sessions WHERE NOT dev_mode))
         WHERE rested_minutes < 90""",
     "sessions",
 )
@@ -163,6 +165,79 @@ def _(spark, d):
     return progress.withColumns({"day": F.col("day").cast("string"), **shown})
 
 
+# A day of an auditor is a session of three judgments out of nine candidates, with eight hours.
+_DAY_ACTION = """CASE WHEN k % 13 = 0 THEN 'quit' WHEN text IN ('purchase', 'click') THEN 'judge'
+                      WHEN text = 'error' OR k % 3 = 0 THEN 'skip' WHEN k % 3 = 1 THEN 'discard'
+                      ELSE 'resume' END"""
+
+
+@query(
+    "replay_sessions",
+    f"""SELECT * FROM (WITH told AS (
+            SELECT user_id AS auditor, CAST(ts AS DATE) AS day, ts, event_id, {_DAY_ACTION} AS action
+            FROM messages WHERE user_id IS NOT NULL),
+        began AS (SELECT *, min(ts) OVER (PARTITION BY auditor, day) AS started_at FROM told),
+        counted AS (
+            SELECT *, {minutes('started_at', 'ts')} AS elapsed, row_number() OVER w AS n_done,
+                   count(*) FILTER (WHERE action = 'judge') OVER w AS n_completed,
+                   count(*) FILTER (WHERE action = 'skip') OVER w AS skips_used,
+                   count(*) FILTER (WHERE action IN ('judge', 'skip', 'discard')) OVER w AS cursor
+            FROM began WINDOW w AS (PARTITION BY auditor, day ORDER BY ts, event_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        judged_by AS (
+            SELECT *, CASE WHEN action = 'quit' THEN 'user_quit'
+                           WHEN action = 'skip' AND skips_used > 3 THEN 'skip_limit'
+                           WHEN n_completed >= 3 THEN 'target_reached'
+                           WHEN cursor >= 9 THEN 'candidates_exhausted'
+                           WHEN elapsed > 480 THEN 'time_cap' END AS reason FROM counted),
+        marked AS (
+            SELECT *, min(CASE WHEN reason IS NOT NULL THEN n_done END)
+                          OVER (PARTITION BY auditor, day) AS ends_at,
+                   max(day) OVER (PARTITION BY auditor) AS last_day FROM judged_by),
+        lived AS (SELECT *, n_done <= coalesce(ends_at, n_done) AS counts FROM marked),
+        ended AS (
+            SELECT auditor, day, any_value(last_day) AS last_day, min(started_at) AS started_at,
+                   max(n_completed) FILTER (WHERE counts) AS n_completed,
+                   max(skips_used) FILTER (WHERE counts) AS skips_used,
+                   max(cursor) FILTER (WHERE counts) AS cursor,
+                   max(ts) FILTER (WHERE counts AND (action <> 'quit')) AS active,
+                   max(reason) FILTER (WHERE n_done = ends_at) AS reason,
+                   max(ts) FILTER (WHERE n_done = ends_at) AS closed_at,
+                   coalesce(bool_or(elapsed > 400)
+                                FILTER (WHERE counts AND n_done < coalesce(ends_at, n_done + 1)),
+                            false) AS warned,
+                   count(*) FILTER (WHERE NOT counts) AS n_ignored
+            FROM lived GROUP BY auditor, day)
+        SELECT auditor, CAST(day AS VARCHAR) AS day, CAST(n_completed AS INTEGER) AS n_completed,
+               CAST(skips_used AS INTEGER) AS skips_used, CAST(cursor AS INTEGER) AS cursor,
+               {iso('coalesce(closed_at, active, started_at)')} AS last_activity_at,
+               CASE WHEN reason IS NOT NULL THEN {iso('closed_at')}
+                    WHEN day < last_day THEN {iso('coalesce(active, started_at)')} END AS ended_at,
+               coalesce(reason, CASE WHEN day < last_day THEN 'abandoned' END) AS ended_reason,
+               warned AS warned_25min, n_ignored
+        FROM ended)""",
+    "messages",
+)
+def _(spark, d):
+    log = views.messages(spark, d).where(F.col("user_id").isNotNull())
+    log = log.select(
+        F.col("user_id").alias("auditor"),
+        F.to_date("ts").alias("day"),
+        "ts",
+        "event_id",
+        F.expr(_DAY_ACTION).alias("action"),
+    )
+    days = log.groupBy("auditor", "day").agg(F.min("ts").alias("started_at"))
+    days = days.withColumns({"target_n": F.lit(3), "n_candidates": F.lit(9)})
+    played = sessions.replay(
+        days, log, ["auditor", "day"], ["auditor"], cap_minutes=480, warn_minutes=400
+    )
+    shown = {c: times.iso_utc(F.col(c)) for c in ("last_activity_at", "ended_at")}
+    return played.withColumns({"day": F.col("day").cast("string"), **shown}).drop(
+        "started_at", "target_n", "n_candidates"
+    )
+
+
 @query(
     "drop_dev_rows", "SELECT session_id, auditor FROM sessions WHERE NOT dev_mode", "sessions"
 )
@@ -259,7 +334,7 @@ def _(spark, d):
     """SELECT m.event_id, m.user_id, m.target_id
        FROM messages m JOIN (SELECT user_id, target_id, min(ts) AS at FROM messages WHERE is_stop
                              GROUP BY ALL) s
-         ON m.user_id = s.user_id AND m.target_id = s.target_id AND m.ts > s.at
+         ON m.target_id = s.user_id AND m.user_id = s.target_id AND m.ts > s.at
        WHERE NOT m.is_stop""",
     "messages",
 )
@@ -311,17 +386,18 @@ def _(spark, d):
                            FROM documents)
                      WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''))
            GROUP BY ALL)
-       GROUP BY doc_id HAVING max(n) >= 2""",
+       GROUP BY doc_id HAVING max(n) >= 3""",
 )
 def _(spark, d):
-    found = signals.repeat_in_message(views.table(spark, d, "documents"), "text", at_least=2)
+    found = signals.repeat_in_message(views.table(spark, d, "documents"), "text")
     return found.select("doc_id", "line_run")
 
 
 @query(
     "repeat_across_threads",
     """SELECT sha256(text) AS text_hash, count(*) AS n_posts, count(DISTINCT source) AS n_threads
-       FROM documents GROUP BY text HAVING count(*) >= 3""",
+       FROM documents WHERE text <> '' GROUP BY text
+       HAVING count(*) >= 3 AND count(DISTINCT source) > 1""",
 )
 def _(spark, d):
     return signals.repeat_across_threads(views.table(spark, d, "documents"), "text", "source")

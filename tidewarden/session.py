@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,6 +37,18 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@cache
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Writes a table below the shared folder and reads it again, so that all that is derived from
+    it sees the same rows in the same places, even where executors are lost."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_LOCAL: list[tempfile.TemporaryDirectory] = []  # removed when Python ends
+
+
 def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="tidewarden-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="tidewarden-", ignore_cleanup_errors=True))
+    return _LOCAL[0].name

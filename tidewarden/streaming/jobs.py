@@ -12,12 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewarden.operators import ordered, validation
+from tidewarden.operators import validation
 
 # The state function travels to the executors with the job, which need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -124,6 +124,10 @@ def _crowded(ts: np.ndarray, user: np.ndarray, reach: int, min_users: int) -> np
     return started - replaced - expired >= min_users
 
 
+def _span_of(ts: Column, seconds: int) -> Column:
+    return F.floor(F.unix_seconds(ts) / F.lit(seconds))
+
+
 def pile_on_state(min_users: int, minutes: int, span_seconds: int):
     """State function of `stream_pile_on`, for one (target, time span)."""
     reach = minutes * 60 * 1_000_000
@@ -180,8 +184,8 @@ def stream_pile_on(
     message can turn earlier ones of the span into pile-on messages, which are then written.
     """
     reach = F.expr(f"INTERVAL {minutes} MINUTES")
-    own = ordered.span_of(F.col("ts"), span_seconds)
-    following = ordered.span_of(F.col("ts") + reach, span_seconds)
+    own = _span_of(F.col("ts"), span_seconds)
+    following = _span_of(F.col("ts") + reach, span_seconds)
     spread = messages.withWatermark("ts", late).select(
         "ts",
         F.col("target_id").cast("bigint").alias("target_id"),
