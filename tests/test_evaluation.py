@@ -58,14 +58,31 @@ def test_ece_of_known_bins(spark):
     assert evaluation.ece(df, "c", "ok").first()["ece"] == pytest.approx(0.5 * 0.0 + 0.5 * 0.7, abs=1e-6)
 
 
-def test_identity_slices_count_a_row_for_each_attribute(spark):
-    df = spark.createDataFrame(
-        [(True, True, 0.9, True, True, True), (False, True, 0.8, False, True, False)],
-        "gold boolean, pred boolean, c double, ok boolean, x boolean, y boolean",
-    )
-    got = {r["attribute"]: r["n_rows"] for r in
-           evaluation.identity_slices(df, ["x", "y"], "gold", "pred", "c", "ok").collect()}
-    assert got == {"x": 2, "y": 1}
+def test_identity_slices_of_every_grain_from_one_pass(spark):
+    """A row counts for each attribute and once for each rule of its list; one Expand in the plan."""
+    rows = [
+        (True, True, 0.9, True, True, True, ["R1", "R2", "R1"], "R1:a"),
+        (False, True, 0.8, False, True, False, [], None),
+        (True, False, 0.85, False, True, False, None, "R1:a"),
+        (True, True, 0.2, True, False, False, ["R9"], "R9:z"),
+    ]
+    df = spark.createDataFrame(rows, "gold boolean, pred boolean, c double, ok boolean, x boolean, y boolean, rules array<string>, edge string")
+    found = evaluation.identity_slices(df, ["x", "y"], "gold", "pred", "c", "ok", "rules", "edge")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Expand") == 1
+    got = {(r["attribute"], r["grain"], r["value"]): (r["n_rows"], r["precision"], r["recall"]) for r in found.collect()}
+    assert got == {
+        ("x", "all", "all"): (3, 0.5, 0.5),
+        ("y", "all", "all"): (1, 1.0, 1.0),
+        ("x", "rule", "R1"): (1, 1.0, 1.0),
+        ("x", "rule", "R2"): (1, 1.0, 1.0),
+        ("y", "rule", "R1"): (1, 1.0, 1.0),
+        ("y", "rule", "R2"): (1, 1.0, 1.0),
+        ("x", "edge", "R1:a"): (2, 1.0, 0.5),
+        ("y", "edge", "R1:a"): (1, 1.0, 1.0),
+        ("x", "bin", "9"): (1, 1.0, 1.0),
+        ("x", "bin", "8"): (2, 0.0, 0.0),
+        ("y", "bin", "9"): (1, 1.0, 1.0),
+    }
 
 
 def _pool(points):
@@ -92,10 +109,31 @@ def test_isotonic_calibration(spark):
     assert [r["calibrated"] for r in got] == pytest.approx(wanted, abs=1e-6)
 
 
-def test_compare_scorers_leaves_out_missing_scores(spark):
-    df = spark.createDataFrame([(True, 0.9, None), (False, 0.2, 0.6)], "gold boolean, a double, b double")
-    got = {r["scorer"]: r["n_rows"] for r in evaluation.compare_scorers(df, {"A": "a", "B": "b"}, "gold", 0.5).collect()}
-    assert got == {"A": 2, "B": 1}
+@pytest.mark.parametrize("parts, merge", [(1, 32), (12, 32), (40, 3), (None, 2)])
+def test_isotonic_calibration_without_a_grid(spark, monkeypatch, parts, merge):
+    """Six decimals, many ranges and several rounds of merging; falling, rising and flat stretches."""
+    monkeypatch.setattr(evaluation, "MERGE", merge)
+    rng = random.Random(8)
+    rows = [(rng.randrange(10**6) / 10**6, rng.random()) for _ in range(3000)]
+    rows = [(c, u < (1 - c if c < 0.3 else c if c < 0.8 else 0.5)) for c, u in rows]
+    rows += [(0.5, True), (0.5, False), (None, True), (float("nan"), True), (1.5, True), (-0.1, False)]
+    df = spark.createDataFrame(rows, "c double, ok boolean")
+    got = evaluation.isotonic_calibration(df, "c", "ok", parts).orderBy("confidence").collect()
+    groups = {}
+    for c, ok in rows:
+        if c is not None and 0 <= c <= 1:
+            groups.setdefault(c, []).append(ok)
+    wanted = _pool([(c, sum(v) / len(v), len(v)) for c, v in sorted(groups.items())])
+    assert [r["confidence"] for r in got] == sorted(groups)
+    assert [r["calibrated"] for r in got] == pytest.approx(wanted, abs=1e-6)
+    assert evaluation.isotonic_calibration(df.where("false"), "c", "ok").count() == 0
+
+
+def test_scorers_are_compared_on_the_same_rows(spark):
+    rows = [(True, 0.9, None), (False, 0.2, 0.6), (True, 0.7, 1.2), (None, 0.7, 0.2), (True, float("nan"), 0.3), (True, 0.4, 0.8)]
+    df = spark.createDataFrame(rows, "gold boolean, a double, b double")
+    got = {r["scorer"]: (r["n_rows"], r["recall"]) for r in evaluation.compare_scorers(df, {"A": "a", "B": "b"}, "gold", 0.5).collect()}
+    assert got == {"A": (2, 0.0), "B": (2, 1.0)}
 
 
 def test_disagreements_and_polarity(spark):

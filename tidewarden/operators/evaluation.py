@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-from pyspark.ml.regression import IsotonicRegression
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden import contracts as C
+from tidewarden.operators import ordered
+from tidewarden.session import kept
+
+# The pooling functions travel to the executors with the job, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 6
 BINS = 10
@@ -170,27 +177,27 @@ def ece(
     )
 
 
-def sliced_quality(
-    df: DataFrame, by: str, gold: str, pred: str, confidence: str, correct: str, k: int = BINS
-) -> DataFrame:
-    """Confusion counts, F1, macro F1 and calibration error per slice, in one pass."""
-    c = F.col(confidence)
-    bins = df.groupBy(by, _bin(c, k).alias("bin")).agg(
-        *confusion(gold, pred),
-        F.abs(F.count_if(F.col(correct)) - F.sum(c)).alias("gap"),
-    )
-    counts = ("tp", "fp", "fn", "tn")
-    total = bins.groupBy(by).agg(*[F.sum(x).alias(x) for x in counts], F.sum("gap").alias("gap"))
+_CELLS = ("tp", "fp", "fn", "tn")
+
+
+def _quality(bins: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Confusion counts and gaps per bin -> F1, macro F1 and calibration error per slice."""
+    total = bins.groupBy(*by).agg(*[F.sum(x).alias(x) for x in _CELLS], F.sum("gap").alias("gap"))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+
+    def f1(tp: str) -> Column:
+        whole = 2 * F.col(tp) + F.col("fp") + F.col("fn")
+        return F.when(whole > 0, 2 * F.col(tp) / whole)
+
     return (
-        total.withColumn("f1_yes", _f1())
-        .withColumn("f1_no", _f1("tn"))
+        total.withColumn("f1_yes", f1("tp"))
+        .withColumn("f1_no", f1("tn"))
         .select(
-            by,
+            *by,
             n.alias("n_rows"),
             _precision(),
             _recall(),
-            F.col("f1_yes").alias("f1"),
+            F.round("f1_yes", DIGITS).alias("f1"),
             F.round(
                 (F.coalesce("f1_yes", F.lit(0.0)) + F.coalesce("f1_no", F.lit(0.0))) / 2, DIGITS
             ).alias("macro_f1"),
@@ -199,49 +206,195 @@ def sliced_quality(
     )
 
 
+def sliced_quality(
+    df: DataFrame, by: str, gold: str, pred: str, confidence: str, correct: str, k: int = BINS
+) -> DataFrame:
+    """Confusion counts, F1, macro F1 and calibration error per slice, in one pass."""
+    c = F.col(confidence)
+    bins = df.groupBy(by, _bin(c, k).alias("bin")).agg(
+        *confusion(gold, pred),
+        F.abs(F.count_if(F.col(correct)) - F.sum(c)).alias("gap"),
+    )
+    return _quality(bins, [by])
+
+
 def identity_slices(
-    df: DataFrame, attributes: Sequence[str], gold: str, pred: str, confidence: str, correct: str
+    df: DataFrame,
+    attributes: Sequence[str],
+    gold: str,
+    pred: str,
+    confidence: str,
+    correct: str,
+    rules: str,
+    edge: str,
+    k: int = BINS,
 ) -> DataFrame:
-    """The quality report of each identity attribute; a row counts for all it carries."""
+    """The quality report of each identity attribute, as a whole and by rule, edge and bin.
+
+    attribute, grain (all, rule, edge or bin), value, n_rows and the measures. A row counts for
+    every attribute it carries, and by rule once for each rule of its list; rows without a rule or
+    an edge have no slice there. All grains come from one pass: the rows of a list are marked, so
+    that the grains without rules count the first one only.
+    """
     carried = F.filter(
         F.array(*[F.when(F.col(a), F.lit(a)) for a in attributes]), lambda a: a.isNotNull()
     )
-    rows = df.select(gold, pred, confidence, correct, F.explode(carried).alias("attribute"))
-    return sliced_quality(rows, "attribute", gold, pred, confidence, correct)
+    c = F.col(confidence)
+    rows = (
+        df.select(
+            *[F.col(x).alias(y) for x, y in ((gold, "_g"), (pred, "_p"), (correct, "_ok"))],
+            c.alias("_c"),
+            _bin(F.when(c.between(0.0, 1.0), c), k).alias("bin"),
+            F.col(edge).alias("edge"),
+            F.array_distinct(rules).alias("_rules"),
+            F.explode(carried).alias("attribute"),
+        )
+        .select("*", F.posexplode_outer("_rules").alias("_at", "rule"))
+        .withColumn("_first", F.coalesce("_at", F.lit(0)) == 0)
+    )
+
+    def sums(counts: Column, tag: str) -> list[Column]:
+        g, p = F.col("_g"), F.col("_p")
+        cells = {"tp": g & p, "fp": ~g & p, "fn": g & ~p, "tn": ~g & ~p, "ok": F.col("_ok")}
+        return [
+            *[F.count_if(counts & cell).alias(f"{name}{tag}") for name, cell in cells.items()],
+            F.sum(F.when(counts, F.col("_c"))).alias(f"conf{tag}"),
+        ]
+
+    sets = [["attribute", "bin"], ["attribute", "rule", "bin"], ["attribute", "edge", "bin"]]
+    grouped = rows.groupingSets(sets, "attribute", "rule", "edge", "bin").agg(
+        *sums(F.lit(True), "_all"),
+        *sums(F.col("_first"), "_once"),
+        F.grouping("rule").alias("_no_rule"),
+        F.grouping("edge").alias("_no_edge"),
+    )
+    by_rule, by_edge = F.col("_no_rule") == 0, F.col("_no_edge") == 0
+
+    def pick(name: str) -> Column:
+        return F.when(by_rule, F.col(f"{name}_all")).otherwise(F.col(f"{name}_once"))
+
+    def slice_of(grain: str, value: Column) -> Column:
+        return F.struct(F.lit(grain).alias("grain"), value.cast("string").alias("value"))
+
+    slices = (
+        F.when(by_rule, F.array(slice_of("rule", F.col("rule"))))
+        .when(by_edge, F.array(slice_of("edge", F.col("edge"))))
+        .otherwise(F.array(slice_of("all", F.lit("all")), slice_of("bin", F.col("bin"))))
+    )
+    bins = grouped.select(
+        "attribute",
+        *[pick(x).alias(x) for x in _CELLS],
+        F.abs(pick("ok") - pick("conf")).alias("gap"),
+        F.inline(slices),
+    )
+    return _quality(bins.where(F.col("value").isNotNull()), ["attribute", "grain", "value"])
 
 
 def compare_scorers(
     df: DataFrame, scorers: Mapping[str, str], gold: str, threshold: float
 ) -> DataFrame:
-    """Calibration error and macro F1 of several score columns on the same rows."""
+    """Calibration error and macro F1 of several score columns on the same rows.
+
+    The rows are those that have a label and a score between 0 and 1 from every scorer.
+    """
     each = F.array(
         *[F.struct(F.lit(n).alias("scorer"), F.col(c).alias("score")) for n, c in scorers.items()]
     )
-    rows = df.select(gold, F.inline(each)).where(F.col("score").between(0.0, 1.0))
+    whole = F.col(gold).isNotNull()
+    for c in scorers.values():
+        whole = whole & F.col(c).between(0.0, 1.0)
+    rows = df.where(whole).select(gold, F.inline(each))
     rows = rows.withColumn("_pred", F.col("score") >= threshold)
     return sliced_quality(rows, "scorer", gold, "_pred", "score", gold)
 
 
+Block = tuple[float, float, int, int]  # lowest and highest confidence, rows, correct rows
+
+
+def _pool(blocks: list[Block], more: Iterable[Block]) -> None:
+    """Pools adjacent violators: a block whose rate is not above the one before joins it.
+
+    Rates are compared as products of whole numbers, so nothing is rounded.
+    """
+    for low, high, n, k in more:
+        while blocks and blocks[-1][3] * n >= k * blocks[-1][2]:
+            low, _, n0, k0 = blocks.pop()
+            n, k = n + n0, k + k0
+        blocks.append((low, high, n, k))
+
+
+_BLOCK = "part int, low double, high double, n_rows bigint, n_correct bigint"
+_FIELDS = ["low", "high", "n_rows", "n_correct"]
+
+
+def _blocks_of_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pooled blocks of one range of confidences, which come in order."""
+    blocks, part = [], 0
+    for batch in batches:
+        part = batch["part"].iloc[0] if len(batch) else part
+        _pool(blocks, zip(*[batch[c].tolist() for c in _FIELDS], strict=True))
+    if blocks:
+        yield pd.DataFrame(blocks, columns=_FIELDS).assign(part=part)[["part", *_FIELDS]]
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pooled blocks of neighbouring ranges."""
+    blocks: list[Block] = []
+    rows = rows.sort_values("low")
+    _pool(blocks, zip(*[rows[c].tolist() for c in _FIELDS], strict=True))
+    return pd.DataFrame(blocks, columns=_FIELDS).assign(part=rows["part"].iloc[0] // MERGE)
+
+
+MERGE = 32  # neighbouring lists of blocks that one task merges
+
+
+def isotonic_blocks(points: DataFrame, parts: int | None = None) -> DataFrame:
+    """Blocks of equal calibrated rate: low, high, n_rows, n_correct, by rising rate.
+
+    Takes one row per confidence with n_rows and n_correct. Confidences are dealt by ranges and
+    pooled within each; then the lists of neighbouring ranges are merged, MERGE at a time, until
+    one is left. Pooling in any order gives the same blocks. Their rates differ and are ratios of
+    counts, so of N rows there are at most about N^(2/3) blocks, whatever the confidences are.
+    """
+    count = () if parts is None else (parts,)
+    ranges = points.repartitionByRange(*count, "confidence").sortWithinPartitions("confidence")
+    c = F.col("confidence")
+    rows = ranges.select(
+        F.spark_partition_id().alias("part"), c.alias("low"), c.alias("high"), "n_rows", "n_correct"
+    )
+    blocks = kept(rows.mapInPandas(_blocks_of_range, _BLOCK), "blocks")
+    lists = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    while lists > 1:
+        group = F.floor(F.col("part") / MERGE)
+        blocks = kept(blocks.groupBy(group).applyInPandas(_merged, _BLOCK), "blocks")
+        lists = -(-lists // MERGE)
+    return blocks.select(*_FIELDS)
+
+
 def isotonic_calibration(
-    df: DataFrame, confidence: str, correct: str, grid: int = 1000
+    df: DataFrame, confidence: str, correct: str, parts: int | None = None
 ) -> DataFrame:
-    """Monotone map from confidence, on a grid, to the share that is correct.
+    """Monotone map from each confidence to the share that is correct: the least-squares fit.
 
-    Rows are counted per grid point first, so the fit sees at most grid + 1 weighted points.
+    Every distinct confidence between 0 and 1 is a point of the fit; rows without one take no part.
     """
     c = F.col(confidence)
     points = (
         df.where(c.between(0.0, 1.0))
-        .groupBy((F.round(c * grid) / F.lit(float(grid))).alias("confidence"))
+        .groupBy(c.cast("double").alias("confidence"))
         .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(correct)).alias("n_correct"))
-        .withColumn("rate", F.col("n_correct") / F.col("n_rows"))
-        .withColumn("weight", F.col("n_rows").cast("double"))
     )
-    model = IsotonicRegression(
-        featuresCol="confidence", labelCol="rate", weightCol="weight", predictionCol="calibrated"
-    ).fit(points)
-    return model.transform(points).select(
-        "confidence", "n_rows", "n_correct", F.round("calibrated", DIGITS).alias("calibrated")
+    points = kept(points, "points")
+    rate = F.round(F.col("n_correct") / F.col("n_rows"), DIGITS).alias("rate")
+    starts = isotonic_blocks(points, parts).select(
+        F.col("low").alias("confidence"),
+        F.lit(0).alias("kind"),
+        F.struct(F.col("low"), rate).alias("block"),
+    )
+    line = points.withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    found = ordered.with_scan(line, ["confidence", "kind"], F.col("block"), "last", parts=parts)
+    return found.where("kind = 1").select(
+        "confidence", "n_rows", "n_correct", F.col("last.rate").alias("calibrated")
     )
 
 

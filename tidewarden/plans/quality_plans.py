@@ -181,7 +181,9 @@ def _(spark, d):
     "points",
 )
 def _(spark, d):
-    return evaluation.isotonic_calibration(views.scored(spark, d), "confidence", "correct")
+    fine = ((F.col("doc_id") * 271129 + 5) % 1000000).cast("double") / 1000000
+    rows = views.scored(spark, d).withColumn("confidence", fine)
+    return evaluation.isotonic_calibration(rows, "confidence", "correct")
 
 
 @query(
@@ -231,11 +233,12 @@ def _(spark, d):
     return evaluation.category_polarity(views.judged(spark, d).select("judgment.*"))
 
 
+_WHOLE_F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END"
 _QUALITY = f"""
-    SELECT {{by}}, tp + fp + fn + tn AS n_rows, {_PRECISION}, {_RECALL}, f1_yes AS f1,
+    SELECT {{by}}, tp + fp + fn + tn AS n_rows, {_PRECISION}, {_RECALL}, round(f1_yes, 6) AS f1,
            round((coalesce(f1_yes, 0) + coalesce(f1_no, 0)) / 2, 6) AS macro_f1,
            round(gap / (tp + fp + fn + tn), 6) AS ece
-    FROM (SELECT *, {_F1} AS f1_yes, {_F1.replace('tp', 'tn')} AS f1_no
+    FROM (SELECT *, {_WHOLE_F1} AS f1_yes, {_WHOLE_F1.replace('tp', 'tn')} AS f1_no
           FROM (SELECT {{by}}, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
                        CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn,
                        sum(gap) AS gap
@@ -244,18 +247,30 @@ _QUALITY = f"""
                              abs(count(*) FILTER (WHERE correct) - sum(confidence)) AS gap
                       FROM ({{rel}}) GROUP BY ALL)
                 GROUP BY {{by}}))"""
+_EDGE = """CASE WHEN doc_id % 5 > 0
+                THEN 'R' || CAST(doc_id % 4 + 1 AS {string}) || ':' || lang END"""
+_NAMED = """CASE WHEN gold THEN {list}('R' || CAST(doc_id % 9 + 1 AS {string}),
+                                       'R' || CAST(doc_id % 4 + 1 AS {string})) END"""
 
 
 @query(
     "identity_slices",
     _QUALITY.format(
-        by="attribute",
-        rel="""SELECT gold, pred, correct, confidence, 'english' AS attribute FROM scored
-               WHERE lang = 'en'
-               UNION ALL SELECT gold, pred, correct, confidence, 'long' FROM scored
-               WHERE length(text) > 1000
-               UNION ALL SELECT gold, pred, correct, confidence, 'early' FROM scored
-               WHERE source < 'src15'""",
+        by="attribute, grain, value",
+        rel=f"""
+            WITH base AS (
+                SELECT gold, pred, correct, confidence, attribute, {_BIN} AS bin,
+                       {_EDGE.format(string='VARCHAR')} AS edge,
+                       {_NAMED.format(string='VARCHAR', list='list_value')} AS rules
+                FROM (SELECT *, 'english' AS attribute FROM scored WHERE lang = 'en'
+                      UNION ALL SELECT *, 'long' FROM scored WHERE length(text) > 1000
+                      UNION ALL SELECT *, 'early' FROM scored WHERE source < 'src15'))
+            SELECT * EXCLUDE (edge, rules, bin), 'all' AS grain, 'all' AS value FROM base
+            UNION ALL SELECT * EXCLUDE (edge, rules, bin), 'bin', CAST(bin AS VARCHAR) FROM base
+            UNION ALL SELECT * EXCLUDE (edge, rules, bin), 'edge', edge FROM base
+                      WHERE edge IS NOT NULL
+            UNION ALL SELECT * EXCLUDE (edge, rules, bin), 'rule', unnest(list_distinct(rules))
+                      FROM base""",
     ),
     "scored",
 )
@@ -265,10 +280,12 @@ def _(spark, d):
             "english": F.col("lang") == "en",
             "long": F.length("text") > 1000,
             "early": F.col("source") < "src15",
+            "edge": F.expr(_EDGE.format(string="STRING")),
+            "rules": F.expr(_NAMED.format(string="STRING", list="array")),
         }
     )
     return evaluation.identity_slices(
-        rows, ["english", "long", "early"], "gold", "pred", "confidence", "correct"
+        rows, ["english", "long", "early"], "gold", "pred", "confidence", "correct", "rules", "edge"
     )
 
 
@@ -277,9 +294,10 @@ def _(spark, d):
     _QUALITY.format(
         by="scorer",
         rel="""SELECT gold, score >= 0.5 AS pred, gold AS correct, score AS confidence, scorer
-               FROM (SELECT gold, toxicity AS score, 'toxicity' AS scorer FROM scored
-                     UNION ALL SELECT gold, insult, 'insult' FROM scored
-                     UNION ALL SELECT gold, confidence, 'model' FROM scored)""",
+               FROM (SELECT gold, unnest([toxicity, insult, confidence]) AS score,
+                            unnest(['toxicity', 'insult', 'model']) AS scorer
+                     FROM scored WHERE gold IS NOT NULL AND toxicity BETWEEN 0 AND 1
+                       AND insult BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1)""",
     ),
     "scored",
 )

@@ -172,9 +172,9 @@ CTES = {
         SELECT *, row_number() OVER (ORDER BY confidence) AS place,
                sum(n_rows) OVER (ORDER BY confidence) AS n,
                sum(n_correct) OVER (ORDER BY confidence) AS hits
-        FROM (SELECT confidence, count(*) AS n_rows,
-                     count(*) FILTER (WHERE correct) AS n_correct
-              FROM scored GROUP BY confidence)""",
+        FROM (SELECT CAST((doc_id * 271129 + 5) % 1000000 AS DOUBLE) / 1000000 AS confidence,
+                     count(*) AS n_rows, count(*) FILTER (WHERE correct) AS n_correct
+              FROM scored GROUP BY 1)""",
     "messages": """
         SELECT event_id, ts, user_id,
                CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
