@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,6 @@ HASH = "_order_hash"
 _HEX_DIGITS = 12
 _SPACE = float(16**_HEX_DIGITS)
 _ALL = "g"  # sorts after every hex digit
-# Up to this many rows one task sorts and numbers a prefix; a longer one is ranked in bins.
-DIRECT_ROWS = 100_000
 
 
 def order_hash(seed: int, key: Column) -> Column:
@@ -76,48 +74,69 @@ def thin(
     return df.where(keep)
 
 
-def ranked(
-    df: DataFrame, quotas: Mapping[str, int | Column], key: str, group: Column | None = None
+def _placed(
+    df: DataFrame, group: Sequence[str], key: str, quota: Column | None, bounded: bool
 ) -> DataFrame:
-    """The first `quota` rows of each group in hash order with their `rank`, for large quotas.
+    """Adds `rank`, the place in hash order within the group, and keeps those up to the quota.
 
-    The thinned rows are counted per group and hash bin, and ranked inside their bin only, on top
-    of the rows in the bins before. There are 65,536 bins per group, which bounds the counts.
+    Rows are counted per group and hash bin, and numbered inside their bin only, on top of the
+    rows in the bins before, so that a large group is numbered by many tasks. There are 65,536
+    bins per group; `bounded` says that there are few groups, so that the counts can be sent.
     """
-    named = df.withColumn("_group", F.lit("") if group is None else group)
-    few = thin(named, quotas, F.col("_group")).withColumn("_bin", F.substring(HASH, 1, 4))
-    before = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+    rows = df.withColumn("_bin", F.substring(HASH, 1, 4))
+    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
-        few.groupBy("_group", "_bin")
+        rows.groupBy(*group, "_bin")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .where(F.col("_before") < F.element_at(quota, F.col("_group")))
         .drop("_rows")
     )
-    within = F.row_number().over(Window.partitionBy("_group", "_bin").orderBy(HASH, key))
-    return (
-        few.join(F.broadcast(bins), ["_group", "_bin"])
-        .withColumn("rank", F.col("_before") + within)
-        .where(F.col("rank") <= F.element_at(quota, F.col("_group")))
-        .drop("_group", "_bin", "_before")
+    if quota is not None:
+        bins = bins.where(F.col("_before") < quota)
+    named = {name: f"_of_{name}" for name in (*group, "_bin")}
+    same = F.lit(True)
+    for mine, other in named.items():
+        same = same & F.col(mine).eqNullSafe(F.col(other))
+    bins = bins.withColumnsRenamed(named)
+    within = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(HASH, key))
+    placed = rows.join(F.broadcast(bins) if bounded else bins, same).withColumn(
+        "rank", F.col("_before") + within
     )
+    if quota is not None:
+        placed = placed.where(F.col("rank") <= quota)
+    return placed.drop("_bin", "_before", *named.values())
+
+
+def ranked(
+    df: DataFrame, quotas: Mapping[str, int | Column], key: str, group: Column | None = None
+) -> DataFrame:
+    """The first `quota` rows of each group in hash order with their `rank`, for any quotas."""
+    named = df.withColumn("_group", F.lit("") if group is None else group)
+    few = thin(named, quotas, F.col("_group"))
+    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+    wanted = F.element_at(quota, F.col("_group"))
+    return _placed(few, ["_group"], key, wanted, bounded=True).drop("_group")
+
+
+def ranked_each(df: DataFrame, group: str, quota: int, key: str) -> DataFrame:
+    """The first `quota` rows of every group in hash order with their `rank`, for any groups."""
+    return _placed(df, [group], key, F.lit(quota), bounded=False)
+
+
+def _prefix(df: DataFrame, n: int | None, key: str, seed: int) -> DataFrame:
+    hashed = df.withColumn(HASH, order_hash(seed, F.col(key)))
+    if n is None:
+        return _placed(hashed, [], key, None, bounded=True)
+    return ranked(hashed, {"": n}, key)
 
 
 def scan_prefix(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """The first n rows in the order of the seed, before any filter. Carries the order hash."""
-    hashed = df.withColumn(HASH, order_hash(seed, F.col(key)))
-    if n > DIRECT_ROWS:
-        return ranked(hashed, {"": n}, key).drop("rank").orderBy(HASH, key)
-    return thin(hashed, {"": n}).orderBy(HASH, key).limit(n)
-
-
-def stream(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """The first n rows of the seeded stream with `stream_idx`, their 0-based positions in it."""
-    if n > DIRECT_ROWS:
-        hashed = df.withColumn(HASH, order_hash(seed, F.col(key)))
-        place = ranked(hashed, {"": n}, key).withColumn("stream_idx", F.col("rank") - 1)
-        return place.drop("rank", HASH)
-    place = F.row_number().over(Window.orderBy(HASH, key)) - 1
-    prefix = scan_prefix(df, n, key, seed)
-    return prefix.withColumn("stream_idx", place.cast("bigint")).drop(HASH)
+    return _prefix(df, n, key, seed).drop("rank").orderBy(HASH, key)
+
+
+def stream(df: DataFrame, n: int | None, key: str, seed: int) -> DataFrame:
+    """The first n rows of the seeded stream with `stream_idx`, their 0-based positions in it; all
+    rows where n is None."""
+    place = (F.col("rank") - 1).cast("bigint")
+    return _prefix(df, n, key, seed).withColumn("stream_idx", place).drop("rank", HASH)

@@ -222,16 +222,17 @@ def yield_estimate(df: DataFrame, column: str, at_most: int) -> DataFrame:
 
 
 def slice_quota(rows: DataFrame, group: str, quotas: Mapping[str, int]) -> DataFrame:
-    """Rows per slice beside the planned number, and how many are missing."""
+    """Rows per slice beside the planned number, and how many are missing; slices that the plan
+    lacks are shown with a planned number of zero."""
     got = rows.groupBy(F.col(group).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-    n_rows = F.coalesce("n", F.lit(0))
+    n_rows, planned = F.coalesce("n", F.lit(0)), F.coalesce("planned", F.lit(0))
     return (
         literal_table(rows.sparkSession, quotas, "slice", "planned")
-        .join(got, "slice", "left")
+        .join(got, "slice", "full_outer")
         .select(
             "slice",
             n_rows.alias("n_rows"),
-            "planned",
-            F.greatest(F.lit(0), F.col("planned") - n_rows).alias("missing"),
+            planned.alias("planned"),
+            F.greatest(F.lit(0), planned - n_rows).alias("missing"),
         )
     )

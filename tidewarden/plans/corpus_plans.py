@@ -480,7 +480,9 @@ def _(spark, d):
     candidates = sampling.uniform_candidates(
         views.corpus(spark, d), "doc_id", C.SAMPLE_SEED, "comment"
     )
-    return sampling.resume_slice(candidates, 7).select("doc_id", "stream_idx", "place")
+    return sampling.resume_slice(candidates, 7).select(
+        "doc_id", "stream_idx", F.col("place").cast("int")
+    )
 
 
 @query(
@@ -524,22 +526,75 @@ def _(spark, d):
     return views.corpus(spark, d).select("doc_id", scores.band().alias("band"))
 
 
+def dealt(supply: str, n: int) -> str:
+    """SQL for quotas that add up to n: name, quota. `supply` gives name, pct, place, supply.
+
+    Each round deals what is left by largest remainder over the names that have rows left.
+    """
+    return f"""
+        SELECT name, got AS quota FROM (
+            WITH RECURSIVE deal AS (
+                SELECT 0 AS round, name, pct, place, supply, CAST(0 AS BIGINT) AS got
+                FROM ({supply})
+                UNION ALL
+                SELECT round + 1, name, pct, place, supply,
+                       CASE WHEN got < supply
+                            THEN least(supply, got + base
+                                       + CASE WHEN by_rest <= rest - total THEN 1 ELSE 0 END)
+                            ELSE got END
+                FROM (SELECT *, sum(base) OVER () AS total,
+                             row_number() OVER (ORDER BY over DESC, place) AS by_rest
+                      FROM (SELECT *, CASE WHEN got < supply THEN (rest * pct) // open ELSE 0 END
+                                          AS base,
+                                   CASE WHEN got < supply THEN (rest * pct) % open ELSE -1 END
+                                          AS over
+                            FROM (SELECT *, {n} - sum(got) OVER () AS rest,
+                                         sum(CASE WHEN got < supply THEN pct ELSE 0 END) OVER ()
+                                             AS open
+                                  FROM deal)
+                            WHERE rest > 0 AND open > 0)))
+            SELECT name, CAST(arg_max(got, round) AS BIGINT) AS got FROM deal GROUP BY name)"""
+
+
+_BANDS = f"""
+    SELECT p.name, p.pct, p.place, coalesce(b.n, 0) AS supply
+    FROM (VALUES ('high', 35, 1), ('mid', 25, 2), ('category', 25, 3), ('clean', 15, 4))
+             AS p(name, pct, place)
+    LEFT JOIN (SELECT {_BAND} AS name, count(*) AS n FROM corpus GROUP BY 1) b USING (name)"""
+
+
 @query(
     "band_sample",
     f"""SELECT doc_id, band, CAST(rn AS INTEGER) AS rank FROM (
             SELECT *, row_number() OVER (PARTITION BY band
                        ORDER BY sha256('17:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
             FROM (SELECT *, {_BAND} AS band FROM corpus))
-        WHERE rn <= CASE band WHEN 'high' THEN 140 WHEN 'mid' THEN 100 WHEN 'category' THEN 100
-                              WHEN 'clean' THEN 60 ELSE 0 END""",
+        JOIN ({dealt(_BANDS, 601)}) q ON band = q.name WHERE rn <= quota""",
     "corpus",
 )
 def _(spark, d):
-    return sampling.band_sample(views.corpus(spark, d), "doc_id", 17, 400).select(
-        "doc_id", "band", "rank"
+    return sampling.band_sample(views.corpus(spark, d), "doc_id", 17, 601).select(
+        "doc_id", "band", F.col("rank").cast("int")
     )
 
 
+@query(
+    "band_quotas",
+    f"""SELECT coalesce(p.name, b.name) AS band, coalesce(p.planned, 0) AS planned,
+               coalesce(b.n, 0) AS n_rows, coalesce(q.quota, 0) AS taken,
+               greatest(0, coalesce(p.planned, 0) - coalesce(b.n, 0)) AS short
+        FROM (SELECT name, CAST(quota AS BIGINT) AS planned FROM (
+                  {dealt("SELECT name, pct, place, 1000000 AS supply FROM (" + _BANDS + ")", 601)})) p
+        FULL JOIN (SELECT {_BAND} AS name, count(*) AS n FROM corpus GROUP BY 1) b
+             ON p.name = b.name
+        LEFT JOIN ({dealt(_BANDS, 601)}) q ON p.name = q.name""",
+    "corpus",
+)
+def _(spark, d):
+    banded = views.corpus(spark, d).select(scores.band().alias("band"))
+    return sampling.quota_report(banded, "band", 601, C.BAND_SHARES)[1]
+
+
 @query(
     "golden_sample",
     """SELECT doc_id, bucket, CAST(rn AS INTEGER) AS rank FROM (
@@ -552,23 +607,33 @@ def _(spark, d):
 )
 def _(spark, d):
     return sampling.golden_sample(views.corpus(spark, d), "doc_id", 23).select(
-        "doc_id", "bucket", "rank"
+        "doc_id", "bucket", F.col("rank").cast("int")
     )
 
 
-_MIX = """SELECT * FROM (SELECT '{name}' AS source, {key} AS row_id, {column} AS text FROM {rel}
-          ORDER BY sha256('31:' || CAST({key} AS VARCHAR)), {key} LIMIT {n})"""
+_MIX = """SELECT source, row_id, text FROM (
+              SELECT '{name}' AS source, {key} AS row_id, {column} AS text,
+                     row_number() OVER (ORDER BY sha256('31:' || CAST({key} AS VARCHAR)), {key}) AS rn
+              FROM {rel})
+          JOIN quotas ON source = name WHERE rn <= quota"""
+_MIXED = """
+    SELECT 'chat' AS name, 50 AS pct, 1 AS place, (SELECT count(*) FROM chat) AS supply
+    UNION ALL SELECT 'comments', 35, 2, (SELECT count(*) FROM documents)
+    UNION ALL SELECT 'pages', 15, 3, (SELECT count(*) FROM pages)"""
 
 
+# More than the smallest source can give.
 @query(
     "source_mix",
-    " UNION ALL ".join(
+    f"SELECT * FROM (WITH quotas AS ({dealt(_MIXED, 2001)}) "
+    + " UNION ALL ".join(
         [
-            _MIX.format(name="chat", key="row_id", column="user_input", rel="chat", n=100),
-            _MIX.format(name="comments", key="doc_id", column="text", rel="documents", n=70),
-            _MIX.format(name="pages", key="page_id", column="html", rel="pages", n=30),
+            _MIX.format(name="chat", key="row_id", column="user_input", rel="chat"),
+            _MIX.format(name="comments", key="doc_id", column="text", rel="documents"),
+            _MIX.format(name="pages", key="page_id", column="html", rel="pages"),
         ]
-    ),
+    )
+    + ")",
     "chat",
 )
 def _(spark, d):
@@ -578,7 +643,7 @@ def _(spark, d):
         F.col("page_id").alias("row_id"), F.col("html").alias("text")
     )
     parts = {"chat": (chat, 0.50), "comments": (docs, 0.35), "pages": (pages, 0.15)}
-    return sampling.source_mix(parts, 200, "row_id", 31)
+    return sampling.source_mix(parts, 2001, "row_id", 31)
 
 
 @query(
@@ -610,17 +675,19 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = views.judged(spark, d).select("doc_id", "slug")
-    return sampling.spot_check(rows, "slug", 20, "doc_id", 41)
+    return sampling.spot_check(rows, "slug", 20, "doc_id", 41).withColumn(
+        "rank", F.col("rank").cast("int")
+    )
 
 
 @query(
     "generator_mix_check",
-    f"""SELECT p.kind, coalesce(k.n, 0) AS n_rows,
+    f"""SELECT coalesce(p.kind, k.kind) AS kind, coalesce(k.n, 0) AS n_rows,
                CAST(coalesce(k.n, 0) AS DOUBLE) / (SELECT count(*) FROM corpus) AS share,
-               p.planned
+               coalesce(p.planned, 0) AS planned
         FROM (VALUES ('clean', CAST(0.4 AS DOUBLE)), ('borderline', 0.3), ('violation', 0.2),
                      ('obfuscated', 0.1)) AS p(kind, planned)
-        LEFT JOIN (SELECT CASE {_BAND} WHEN 'clean' THEN 'clean' WHEN 'mid' THEN 'borderline'
+        FULL JOIN (SELECT CASE {_BAND} WHEN 'clean' THEN 'clean' WHEN 'mid' THEN 'borderline'
                                WHEN 'high' THEN 'violation' ELSE 'other' END AS kind, count(*) AS n
                    FROM corpus GROUP BY 1) k ON p.kind = k.kind""",
     "corpus",
@@ -660,20 +727,57 @@ def _(spark, d):
 
 @query(
     "slice_quota",
-    """SELECT q.slice, coalesce(n.n, 0) AS n_rows, q.planned,
-              greatest(0, q.planned - coalesce(n.n, 0)) AS missing
+    """SELECT slice, coalesce(n.n, 0) AS n_rows, coalesce(q.planned, 0) AS planned,
+              greatest(0, coalesce(q.planned, 0) - coalesce(n.n, 0)) AS missing
        FROM (VALUES ('R1', 12), ('R2', 15), ('R3', 10), ('R4', 12), ('R5', 10), ('R6', 10),
                     ('R7', 8), ('R8', 8), ('clean', 10), ('foil', 5)) AS q(slice, planned)
-       LEFT JOIN (SELECT CASE WHEN len(violated_rules) = 0 THEN 'clean'
-                              ELSE violated_rules[1] END AS slice, count(*) AS n
-                  FROM judged WHERE violated_rules IS NOT NULL GROUP BY 1) n USING (slice)""",
+       FULL JOIN (SELECT slice, count(*) AS n
+                  FROM (SELECT unnest(CASE WHEN len(violated_rules) = 0 THEN ['clean']
+                                           ELSE list_distinct(violated_rules) END) AS slice
+                        FROM judged WHERE violated_rules IS NOT NULL)
+                  GROUP BY 1) n USING (slice)""",
     "judged",
 )
 def _(spark, d):
     rules = F.col("judgment.violated_rules")
     rows = views.judged(spark, d).where(rules.isNotNull())
+    slices = F.when(F.size(rules) == 0, F.array(F.lit("clean"))).otherwise(F.array_distinct(rules))
     return profile.slice_quota(
-        rows.select(F.when(F.size(rules) == 0, "clean").otherwise(F.get(rules, 0)).alias("slice")),
-        "slice",
-        C.SLICE_QUOTAS,
+        rows.select(F.explode(slices).alias("slice")), "slice", C.SLICE_QUOTAS
+    )
+
+
+_CALL = """CASE WHEN confidence >= 0.7 THEN 'clear_violation' WHEN confidence >= 0.4 THEN 'lookalike'
+                WHEN confidence >= 0.1 THEN 'borderline' ELSE 'unread' END"""
+
+
+@query(
+    "mix_by_rule",
+    f"""SELECT coalesce(p.rule_id, k.rule_id) AS rule_id, coalesce(p.kind, k.kind) AS kind,
+               coalesce(k.n, 0) AS n_rows, CAST(coalesce(k.n, 0) AS DOUBLE) / whole AS share,
+               coalesce(p.planned, 0) AS planned
+        FROM (SELECT * FROM (VALUES ('R1'), ('R2'), ('R3'), ('R4'), ('R5'), ('R6'), ('R7'), ('R8'))
+                                AS r(rule_id),
+                       (VALUES (NULL, CAST(1 AS DOUBLE)), ('clear_violation', 0.4),
+                               ('lookalike', 0.3), ('borderline', 0.3)) AS c(kind, planned)) p
+        FULL JOIN (SELECT rule_id, kind, count(*) AS n
+                   FROM (SELECT unnest(list_distinct(violated_rules)) AS rule_id, {_CALL} AS kind
+                         FROM judged)
+                   GROUP BY GROUPING SETS ((rule_id, kind), (rule_id))) k
+             ON p.rule_id = k.rule_id AND p.kind IS NOT DISTINCT FROM k.kind
+        LEFT JOIN (SELECT rule_id AS of_rule, count(*) AS whole
+                   FROM (SELECT unnest(list_distinct(violated_rules)) AS rule_id FROM judged)
+                   GROUP BY 1) w ON coalesce(p.rule_id, k.rule_id) = of_rule""",
+    "judged",
+)
+def _(spark, d):
+    c = F.col("judgment.confidence")
+    call = (
+        F.when(c >= 0.7, "clear_violation")
+        .when(c >= 0.4, "lookalike")
+        .when(c >= 0.1, "borderline")
+        .otherwise("unread")
     )
+    rows = views.judged(spark, d).select(F.col("judgment.violated_rules").alias("rules"), call.alias("call"))
+    planned = [s for s in C.SLICE_QUOTAS if s.startswith("R")]
+    return sampling.mix_by_rule(rows, "rules", "call", C.CALL_SHARES, planned)
