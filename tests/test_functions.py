@@ -44,8 +44,8 @@ def test_normalise_flag(column):
 
 
 def test_normalise_enum(column):
-    values = ["1", " 4 ", "04", "0", "5", "-1", "+1", "LOW", "critical\t", "lo", "", None, "9" * 12]
-    wanted = ["low", "critical", "critical", None, None, None, None, "low", "critical"] + [None] * 4
+    values = ["1", " 4 ", "04", "0", "5", "-1", "+1", "LOW", "critical\t", "lo", "", None, "9" * 12, "0" * 20 + "2", "0" * 12, "10000000001"]
+    wanted = ["low", "critical", "critical", None, None, None, None, "low", "critical"] + [None] * 4 + ["moderate", None, None]
     assert column(values, "string", lambda x: text.normalise_enum(x, C.SEVERITIES)) == wanted
 
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,12 +143,35 @@ def _verdicts(spark, rows):
 
 def test_foils_and_matrix(spark):
     df = _verdicts(spark, [(1, "a", True), (1, "b", False), (2, "a", True), (2, "b", True), (1, "a", True)])
-    got = labels.foils(df, ["doc"], ["a", "b", "c"]).collect()
+    got = labels.foils(df, ["doc"]).collect()
     assert [(r["doc"], r["violating"], r["allowing"]) for r in got] == [(1, ["a"], ["b"])]
     matrix = {r["doc"]: (r["a"], r["b"], r["c"]) for r in labels.foil_matrix(df, ["doc"], ["a", "b", "c"]).collect()}
     assert matrix == {1: (True, False, None), 2: (True, True, None)}
 
 
+def test_foils_over_a_thousand_rule_sets(spark):
+    """None is listed by the caller; the slugs of both sides come back whole and in order."""
+    rng = random.Random(5)
+    rows = [(doc, f"set_{i:04}", rng.random() < 0.5) for doc in range(4) for i in rng.sample(range(1000), 700)]
+    rows += [(9, f"set_{i:04}", True) for i in range(1000)]
+    rows += [(8, "set_0062", True), (8, "set_0063", False), (8, None, True), (8, "set_0999", None)]
+    got = {r["doc"]: (r["violating"], r["allowing"]) for r in labels.foils(_verdicts(spark, rows * 2), ["doc"]).collect()}
+    wanted = {}
+    for doc in (0, 1, 2, 3, 8):
+        mine = [r for r in rows if r[0] == doc and r[1] is not None]
+        wanted[doc] = tuple(sorted(s for _, s, v in mine if v is side) for side in (True, False))
+    assert got == wanted
+
+
+def test_foil_matrix_has_a_column_for_every_rule_set(spark):
+    rows = [(1, f"s{i}", i % 2 == 0) for i in range(70)] + [(2, "s3", None), (2, None, True)]
+    matrix = labels.foil_matrix(_verdicts(spark, rows), ["doc"], ["s1", "unseen"])
+    assert set(matrix.columns) == {"doc", "unseen", *(f"s{i}" for i in range(70))}
+    first = {r["doc"]: r for r in matrix.collect()}
+    assert first[1]["s68"] is True and first[1]["s69"] is False and first[1]["unseen"] is None
+    assert first[2]["s3"] is None
+
+
 def test_join_raters_counts_what_a_join_would(spark):
     a = [(1, "s", True), (1, "s", False), (1, "s", True), (2, "s", True), (3, "s", False)]
     b = [(1, "s", True), (1, "s", True), (2, "s", False), (4, "s", True)]

@@ -205,6 +205,35 @@ def test_split_and_gate(spark):
     assert validation.gate_all_or_nothing(rest).count() == 2
 
 
+def _checked(spark, rows):
+    """(file, row, words): rows with an error for each word."""
+    df = spark.createDataFrame(rows, "file string, i int, words array<string>")
+    wrong = F.transform("words", lambda w: F.struct(w.alias("loc"), F.lit("odd").alias("type")))
+    return df.withColumn("errors", wrong).drop("words")
+
+
+def test_the_gate_reports_every_failure(spark):
+    """More kinds than a message names, and every failing row in the error's table."""
+    checked = _checked(spark, [("a", i, [f"w{i}", "all"]) for i in range(120)] + [("b", 500, [])])
+    with pytest.raises(validation.ContractError, match="240 failures of 121 kinds: all:odd x120") as raised:
+        validation.gate_all_or_nothing(checked)
+    assert raised.value.failures.count() == 240
+    assert raised.value.failures.where("loc = 'w77'").first()["i"] == 77
+
+
+def test_one_invalid_row_holds_back_its_batch(spark):
+    rows = [("a", 1, []), ("a", 2, ["x", "y"]), ("a", 3, ["x"]), ("b", 4, []), (None, 5, []), (None, 6, ["z"]), ("c", 7, [])]
+    checked = _checked(spark, rows)
+    assert sorted(r["i"] for r in validation.gate_each(checked, ["file"]).collect()) == [4, 7]
+    got = {r["file"]: tuple(r)[1:] for r in validation.gate_report(checked, ["file"]).collect()}
+    assert got == {
+        "a": (3, 2, False, "x:odd:2,y:odd:1"),
+        "b": (1, 0, True, ""),
+        "c": (1, 0, True, ""),
+        None: (2, 1, False, "z:odd:1"),
+    }
+
+
 def test_rule_membership_keeps_rows_of_unknown_sets(spark):
     df = spark.createDataFrame(
         [(1, "a", ["R1", "R9"]), (2, "a", []), (3, "zzz", ["R1"])],

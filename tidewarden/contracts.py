@@ -101,8 +101,6 @@ SESSION_WARN_MINUTES, SESSION_CAP_MINUTES, COOLDOWN_MINUTES, MAX_SKIPS = 25, 30,
 TRUE_WORDS = ("y", "yes", "true", "1")
 FALSE_WORDS = ("n", "no", "false", "0")
 
-# --- end of fixed values ---
-
 JUDGMENT_FIELDS = (
     "violates_policy",
     "violated_rules",
@@ -117,6 +115,10 @@ JUDGMENT_DEFAULTED = ("violated_rules", "evidence_spans")
 JUDGMENT_REQUIRED = tuple(f for f in JUDGMENT_FIELDS if f not in JUDGMENT_DEFAULTED)
 RULE_SET_FIELDS = ("slug", "name", "regime", "description", "rules", "version", "created")
 CONTENT_FIELDS = ("text", "regime", "article_title", "language")
+ADVERSARIAL_AUDITOR, ADVERSARIAL_SOURCE = "adversarial", "handcrafted"
+EDGE_PATTERN = r"^R\p{Nd}{1,3}:\S"
+
+# --- end of fixed values ---
 
 _STR, _DBL, _LONG, _INT, _BOOL, _TS = (
     T.StringType(),
@@ -151,7 +153,7 @@ RULE_SET = _struct(
     version=_INT,
     created=T.DateType(),
 )
-CONTENT = _struct(text=_STR, regime=_STR, article_title=_STR, language=_STR)
+CONTENT = _struct(**dict.fromkeys(CONTENT_FIELDS, _STR))
 CORPUS_SCORES = _struct(id=_STR, text=_STR, **dict.fromkeys(SCORES, _DBL))
 CORPUS_FLAGS = _struct(id=_STR, user_input=_STR, toxicity=_INT, jailbreaking=_INT)
 FEATURE_STRUCT = _struct(**dict.fromkeys(FEATURES, _DBL))
@@ -225,6 +227,22 @@ SESSION = _struct(
     warned_25min=_BOOL,
     dev_mode=_BOOL,
 )
+# What may be left out of a JSON document, and what may be null in it, by path.
+_FEATURES_NULL = tuple(f"content.source_features.{f}" for f in FEATURES)
+CONTENT_OPTIONAL, CONTENT_NULLABLE = ("article_title", "language"), ("article_title",)
+AUDIT_OPTIONAL = tuple(f"judgment.{f}" for f in JUDGMENT_DEFAULTED)
+AUDIT_NULLABLE = ("content.source_stream_idx", "content.source_hf_id", *_FEATURES_NULL)
+ADVERSARIAL_OPTIONAL = (
+    *AUDIT_OPTIONAL,
+    "content.source_hf_id",
+    "content.source_features",
+    "content.prior_context",
+    "content.rule_set_foil",
+    "expected_classifier_disagreement",
+)
+ADVERSARIAL_NULLABLE = (
+    *AUDIT_NULLABLE, "content.source_features", "content.rule_set_foil", "content.prior_context"
+)
 HELD_OUT = _struct(source_id=_STR)
 RATINGS = _struct(
     content_id=_STR, slug=_STR, rater=_STR, violates_policy=_BOOL, confidence=_DBL

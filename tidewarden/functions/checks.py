@@ -23,7 +23,7 @@ def gather(*failures: Column) -> Column:
     return F.array_compact(F.array(*failures))
 
 
-def _length_failures(loc: str, text: Column, shortest: int, longest: int) -> list[Column]:
+def length_failures(loc: str, text: Column, shortest: int, longest: int) -> list[Column]:
     return [
         failure(loc, "missing", text.isNull()),
         failure(loc, "too_short", F.length(text) < shortest),
@@ -31,7 +31,7 @@ def _length_failures(loc: str, text: Column, shortest: int, longest: int) -> lis
     ]
 
 
-def _enum_failures(loc: str, value: Column, allowed: Sequence[str]) -> list[Column]:
+def enum_failures(loc: str, value: Column, allowed: Sequence[str]) -> list[Column]:
     return [
         failure(loc, "missing", value.isNull()),
         failure(loc, "enum", ~value.isin(*allowed)),
@@ -53,8 +53,8 @@ def judgment_errors(judgment: Column) -> Column:
             "duplicate",
             (F.size(F.array_distinct(rules)) < F.size(rules)) & ~many_rules & ~odd_rule,
         ),
-        *_enum_failures("severity", judgment.severity, C.SEVERITIES),
-        *_enum_failures("primary_category", judgment.primary_category, C.CATEGORIES),
+        *enum_failures("severity", judgment.severity, C.SEVERITIES),
+        *enum_failures("primary_category", judgment.primary_category, C.CATEGORIES),
         failure("evidence_spans", "missing", spans.isNull()),
         failure("evidence_spans", "too_many", F.size(spans) > C.MAX_SPANS),
         failure(
@@ -62,10 +62,10 @@ def judgment_errors(judgment: Column) -> Column:
             "span_length",
             F.exists(spans, lambda s: s.isNull() | ~F.length(s).between(1, C.MAX_SPAN_CHARS)),
         ),
-        *_enum_failures("suggested_action", judgment.suggested_action, C.ACTIONS),
+        *enum_failures("suggested_action", judgment.suggested_action, C.ACTIONS),
         failure("confidence", "missing", judgment.confidence.isNull()),
         failure("confidence", "range", ~judgment.confidence.between(0.0, 1.0)),
-        *_length_failures("reasoning", judgment.reasoning, 1, C.MAX_REASONING_CHARS),
+        *length_failures("reasoning", judgment.reasoning, 1, C.MAX_REASONING_CHARS),
     )
 
 
@@ -78,9 +78,9 @@ def rule_set_errors(rule_set: Column) -> Column:
         failure("slug", "missing", rule_set.slug.isNull()),
         failure("slug", "pattern", ~rule_set.slug.rlike(C.SLUG_PATTERN)),
         failure("slug", "too_long", F.length(rule_set.slug) > C.MAX_SLUG_CHARS),
-        *_length_failures("name", rule_set["name"], 1, C.MAX_NAME_CHARS),
-        *_enum_failures("regime", rule_set.regime, C.REGIMES),
-        *_length_failures(
+        *length_failures("name", rule_set["name"], 1, C.MAX_NAME_CHARS),
+        *enum_failures("regime", rule_set.regime, C.REGIMES),
+        *length_failures(
             "description",
             rule_set.description,
             C.MIN_DESCRIPTION_CHARS,
@@ -108,8 +108,8 @@ def content_errors(content: Column) -> Column:
     """Errors of a content struct, with the rule that ties the title to the regime."""
     title, regime = content.article_title, content.regime
     return gather(
-        *_length_failures("text", content.text, 1, C.MAX_CONTENT_CHARS),
-        *_enum_failures("regime", regime, C.CONTENT_REGIMES),
+        *length_failures("text", content.text, 1, C.MAX_CONTENT_CHARS),
+        *enum_failures("regime", regime, C.CONTENT_REGIMES),
         failure(
             "article_title", "title_length", ~F.length(title).between(1, C.MAX_TITLE_CHARS)
         ),

@@ -86,7 +86,8 @@ def normalise_flag(answer: Column) -> Column:
 def normalise_enum(answer: Column, values: Sequence[str]) -> Column:
     """An option by its 1-based number or by its name."""
     word = F.lower(strip(answer))
-    number = F.when(word.rlike(r"^[0-9]{1,9}\z"), word.cast("int"))
+    digits = F.regexp_extract(word, r"^0*([0-9]+)\z", 1)  # however many zeros lead
+    number = F.when(F.length(digits).between(1, 9), digits.cast("int"))
     options = F.array(*[F.lit(v) for v in values])
     return F.when(number.between(1, len(values)), F.get(options, number - 1)).when(
         word.isin(*values), word

@@ -125,33 +125,70 @@ def rank_pairings(
     )
 
 
-def foils(judgments: DataFrame, content: Sequence[str], slugs: Sequence[str]) -> DataFrame:
+WORD = 63  # rule sets of one word of a verdict bitmap
+
+
+def foils(judgments: DataFrame, content: Sequence[str]) -> DataFrame:
     """Content judged differently under different rule sets, with the slugs on each side.
 
-    One pair of flags per rule set is aggregated before the shuffle, so copies of a content row
-    add nothing, and no set is built.
+    Rule sets are numbered in the order of their slugs, whatever and however many they are. The
+    verdicts on a content row become two bitmaps, a word of each for every 63 rule sets, which sum
+    up before the shuffle, so copies of a content row add nothing. Verdicts without a slug or
+    without an answer are no verdicts.
     """
-    violates = F.col("violates_policy")
-
-    def sides(verdict: Column, tag: str) -> list[Column]:
-        return [
-            F.max((F.col("slug") == s) & verdict).alias(f"_{tag}{i}") for i, s in enumerate(slugs)
-        ]
+    stated = judgments.where(F.col("slug").isNotNull() & F.col("violates_policy").isNotNull())
+    place = F.row_number().over(Window.orderBy("slug")) - 1
+    catalog = stated.select("slug").distinct().withColumn("_place", place)
+    bit = F.expr(f"shiftleft(1L, _place % {WORD})")
+
+    def bits(side: Column, name: str) -> Column:
+        return F.bit_or(F.when(side, bit).otherwise(F.lit(0).cast("bigint"))).alias(name)
+
+    violates, no = F.col("violates_policy"), F.lit(0)
+    words = (
+        stated.join(catalog, "slug")
+        .groupBy(*content, F.floor(F.col("_place") / WORD).cast("int").alias("_word"))
+        .agg(bits(violates, "_v"), bits(~violates, "_a"))
+    )
+    both = (
+        words.groupBy(*content)
+        .agg(
+            F.collect_list(F.struct("_word", "_v", "_a")).alias("_words"),
+            F.max(F.col("_v") != no).alias("_violating"),
+            F.max(F.col("_a") != no).alias("_allowing"),
+        )
+        .where(F.col("_violating") & F.col("_allowing"))
+    )
+    slugs = catalog.agg(F.array_sort(F.collect_set("slug")).alias("s")).scalar()
+
+    def named(side: str) -> Column:
+        each = F.transform(
+            "_words",
+            lambda w: F.transform(
+                F.filter(
+                    F.sequence(F.lit(0), F.lit(WORD - 1)),
+                    lambda i: F.getbit(w[side], i) == 1,
+                ),
+                lambda i: F.get(F.col("_slugs"), w["_word"] * WORD + i),
+            ),
+        )
+        return F.array_sort(F.flatten(each))
 
-    def named(tag: str) -> Column:
-        each = [F.when(F.col(f"_{tag}{i}"), F.lit(s)) for i, s in enumerate(slugs)]
-        return F.array_sort(F.array_compact(F.array(*each)))
+    return both.withColumn("_slugs", slugs).select(
+        *content, named("_v").alias("violating"), named("_a").alias("allowing")
+    )
 
-    flags = judgments.groupBy(*content).agg(*sides(violates, "v"), *sides(~violates, "a"))
-    both = flags.select(*content, named("v").alias("violating"), named("a").alias("allowing"))
-    return both.where((F.size("violating") > 0) & (F.size("allowing") > 0))
 
+def foil_matrix(
+    judgments: DataFrame, content: Sequence[str], catalog: Sequence[str] = ()
+) -> DataFrame:
+    """One verdict column per rule set; a violation wins where verdicts conflict.
 
-def foil_matrix(judgments: DataFrame, content: Sequence[str], slugs: Sequence[str]) -> DataFrame:
-    """One verdict column per rule set; a violation wins where verdicts conflict."""
-    return judgments.groupBy(*content).agg(
-        *[F.max(F.when(F.col("slug") == s, F.col("violates_policy"))).alias(s) for s in slugs]
-    )
+    There is a column for every rule set with a verdict, and for those of the catalog without one.
+    """
+    found = judgments.where(F.col("slug").isNotNull()).select("slug").distinct().collect()
+    slugs = sorted({*catalog, *(r["slug"] for r in found)})
+    return judgments.groupBy(*content).pivot("slug", slugs).agg(F.max("violates_policy"))
 
 
 def join_raters(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

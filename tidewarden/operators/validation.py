@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarden import contracts as C
-from tidewarden.functions import checks, text
+from tidewarden.functions import checks, documents, text
 
 
 class ContractError(ValueError):
-    """A table that must be clean or complete is not."""
+    """A table that must be clean or complete is not; `failures` has every failure, if it is known."""
+
+    def __init__(self, message: str, failures: DataFrame | None = None):
+        super().__init__(message)
+        self.failures = failures
 
 
 def validate_judgment(df: DataFrame, judgment: str = "judgment") -> DataFrame:
@@ -146,22 +152,175 @@ def parse_judgment(
     )
 
 
+def _contract(kind: T.StructType, optional: Sequence[str], nullable: Sequence[str]):
+    return documents.Contract(kind, frozenset(optional), frozenset(nullable))
+
+
+CONTENT_CONTRACT = _contract(C.CONTENT, C.CONTENT_OPTIONAL, C.CONTENT_NULLABLE)
+AUDIT_CONTRACT = _contract(C.AUDIT_ROW, C.AUDIT_OPTIONAL, C.AUDIT_NULLABLE)
+ADVERSARIAL_CONTRACT = _contract(C.ADVERSARIAL_ROW, C.ADVERSARIAL_OPTIONAL, C.ADVERSARIAL_NULLABLE)
+
+
+def _parse_document(
+    df: DataFrame, json_column: str, into: str, contract: documents.Contract, values
+) -> DataFrame:
+    """JSON text -> struct and `errors`. Values are checked where the shape is right; a document of
+    another shape has a null struct."""
+    document, shape = F.col("_document"), F.col("_shape")
+    # As the only element of a list, a document that goes on after its end is no JSON.
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(json_column), F.lit("]")))
+    only = F.try_variant_get("_listed", "$[1]", "variant").isNull()
+    parsed = (
+        df.withColumn("_listed", listed)
+        .withColumn("_document", F.when(only, F.try_variant_get("_listed", "$[0]", "variant")))
+        .drop("_listed")
+        .withColumn("_shape", documents.shape_errors(document, contract))
+        .withColumn("_parsed", F.try_variant_get(document, "$", contract.kind.simpleString()))
+    )
+    right = F.size("_shape") == 0
+    return (
+        parsed.withColumn(into, F.when(right, values(F.col("_parsed"))[0]))
+        .withColumn("errors", F.when(right, values(F.col(into))[1]).otherwise(shape))
+        .drop("_document", "_shape", "_parsed")
+    )
+
+
+def _with_lists(judgment: Column) -> Column:
+    """A judgment in which absent lists are empty."""
+    for name in C.JUDGMENT_DEFAULTED:
+        filled = F.coalesce(judgment[name], F.array().cast("array<string>"))
+        judgment = judgment.withField(name, filled)
+    return judgment
+
+
+def parse_content(df: DataFrame, json_column: str, into: str = "content") -> DataFrame:
+    """JSON text -> content struct and `errors`; the language is English where none is given."""
+
+    def values(content: Column) -> tuple[Column, Column]:
+        filled = content.withField("language", F.coalesce(content.language, F.lit("en")))
+        return filled, checks.content_errors(filled)
+
+    return _parse_document(df, json_column, into, CONTENT_CONTRACT, values)
+
+
+def _row_errors(row: Column) -> Column:
+    content = row.content
+    return F.concat(
+        checks.gather(
+            *checks.length_failures("content.text", content.text, 1, C.MAX_CONTENT_CHARS),
+            *checks.enum_failures("content.regime", content.regime, C.CONTENT_REGIMES),
+        ),
+        documents.below(checks.judgment_errors(row.judgment), "judgment"),
+    )
+
+
+def parse_audit_row(df: DataFrame, json_column: str, into: str = "row") -> DataFrame:
+    """JSON text of an audit row -> struct and `errors`, those of content and judgment included."""
+
+    def values(row: Column) -> tuple[Column, Column]:
+        return row.withField("judgment", _with_lists(row.judgment)), _row_errors(row)
+
+    return _parse_document(df, json_column, into, AUDIT_CONTRACT, values)
+
+
+def parse_adversarial_row(df: DataFrame, json_column: str, into: str = "row") -> DataFrame:
+    """JSON text of a hand-written test row -> struct and `errors`.
+
+    An audit row with the earlier messages, a rule set that judges otherwise, and the edge tested;
+    it has no place in a stream.
+    """
+
+    def values(row: Column) -> tuple[Column, Column]:
+        content = row.content
+        own = checks.gather(
+            checks.failure("audited_by", "enum", row.audited_by != C.ADVERSARIAL_AUDITOR),
+            checks.failure("content.source", "enum", content.source != C.ADVERSARIAL_SOURCE),
+            checks.failure(
+                "content.source_stream_idx", "forbidden", content.source_stream_idx.isNotNull()
+            ),
+            checks.failure(
+                "content.edge_tested", "pattern", ~content.edge_tested.rlike(C.EDGE_PATTERN)
+            ),
+            checks.failure(
+                "content.rule_set_foil", "same", content.rule_set_foil == row.rule_set_slug
+            ),
+        )
+        filled = row.withField("judgment", _with_lists(row.judgment))
+        return filled, F.concat(own, _row_errors(row))
+
+    return _parse_document(df, json_column, into, ADVERSARIAL_CONTRACT, values)
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows without the errors column, and the quarantined rows with it."""
     bad = F.size("errors") > 0
     return validated.where(~bad).drop("errors"), validated.where(bad)
 
 
+SHOWN = 20  # kinds of failure named in a message; the report has all of them
+
+
+def failures(validated: DataFrame) -> DataFrame:
+    """Every failure of every row: the row's columns, loc, type."""
+    columns = [c for c in validated.columns if c != "errors"]
+    return validated.select(*columns, F.inline("errors"))
+
+
 def gate_all_or_nothing(validated: DataFrame) -> DataFrame:
-    """The rows, if every one is valid. Otherwise raises, with the commonest errors."""
-    commonest = error_report(validated).orderBy(F.desc("n_rows"), "loc", "type").limit(50)
-    kinds = commonest.collect()
+    """The rows, if every one is valid. Otherwise raises and nothing can be written.
+
+    The message counts the failures and names the commonest kinds; the error's `failures` is the
+    table of all of them.
+    """
+    report = error_report(validated).orderBy(F.desc("n_rows"), "loc", "type")
+    kinds = report.limit(SHOWN).collect()
     if kinds:
+        totals = report.agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_rows").alias("n")).first()
         seen = ", ".join(f"{k['loc']}:{k['type']} x{k['n_rows']}" for k in kinds)
-        raise ContractError(f"nothing written, invalid rows: {seen}")
+        message = f"nothing written, {totals['n']} failures of {totals['kinds']} kinds: {seen}"
+        raise ContractError(message, failures(validated))
     return validated.drop("errors")
 
 
+def gate_each(validated: DataFrame, batch: Sequence[str]) -> DataFrame:
+    """The rows of the batches in which every row is valid: one invalid row holds back its batch."""
+    held = validated.where(F.size("errors") > 0).select(*batch).distinct()
+    same = F.lit(True)
+    for c in batch:
+        same = same & validated[c].eqNullSafe(held[c])
+    return validated.join(held, same, "left_anti").drop("errors")
+
+
+def gate_report(validated: DataFrame, batch: Sequence[str]) -> DataFrame:
+    """Per batch: rows, failing rows, whether it passes, and every kind of failure with its count.
+
+    Rows are counted by kind before they meet, so a batch of any size sends a few counts.
+    """
+    bad = F.size("errors") > 0
+    totals = validated.groupBy(*batch).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_failing")
+    )
+    kinds = (
+        validated.where(bad)
+        .select(*[F.col(c).alias(f"_{c}") for c in batch], F.inline("errors"))
+        .groupBy(*[f"_{c}" for c in batch], "loc", "type")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("said", F.concat_ws(":", "loc", "type", F.col("n").cast("string")))
+        .groupBy(*[f"_{c}" for c in batch])
+        .agg(F.array_join(F.array_sort(F.collect_list("said")), ",").alias("failures"))
+    )
+    same = F.lit(True)
+    for c in batch:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return totals.join(kinds, same, "left").select(
+        *batch,
+        "n_rows",
+        "n_failing",
+        (F.col("n_failing") == 0).alias("passes"),
+        F.coalesce("failures", F.lit("")).alias("failures"),
+    )
+
+
 def error_report(validated: DataFrame) -> DataFrame:
     """How many rows fail in each way."""
     return (

@@ -109,15 +109,15 @@ def _(spark, d):
 
 @query(
     "rule_id_uniqueness",
-    """SELECT doc_id, violated_rules[1] = violated_rules[2] AS repeated FROM judged
-       WHERE len(violated_rules) = 2""",
+    """SELECT doc_id, len(list_distinct(violated_rules)) < len(violated_rules) AS repeated
+       FROM judged WHERE violated_rules IS NOT NULL""",
     "judged",
 )
 def _(spark, d):
     ids = F.col("judgment.violated_rules")
     return (
         views.judged(spark, d)
-        .where(F.size(ids) == 2)
+        .where(ids.isNotNull())
         .select("doc_id", (F.size(F.array_distinct(ids)) < F.size(ids)).alias("repeated"))
     )
 
@@ -134,23 +134,23 @@ _CONTENT_ERRORS = _joined(
 )
 
 
-@query(
-    "validate_content",
-    f"""SELECT doc_id, {_CONTENT_ERRORS} AS errors
-        FROM (SELECT doc_id, text,
-                     CASE WHEN length(text) < 150 THEN 'chat' WHEN lang = 'zh' THEN 'hybrid'
-                          ELSE 'comment' END AS regime,
-                     CASE WHEN lang = 'en' THEN source WHEN lang = 'fr' THEN '' END AS title
-              FROM documents)""",
-)
-def _(spark, d):
+_CONTENT_CHECKED = f"""
+    SELECT doc_id, {_CONTENT_ERRORS} AS errors
+    FROM (SELECT doc_id, text,
+                 CASE WHEN length(text) < 150 THEN 'chat' WHEN lang = 'zh' THEN 'hybrid'
+                      ELSE 'comment' END AS regime,
+                 CASE WHEN lang = 'en' THEN source WHEN lang = 'fr' THEN '' END AS title
+          FROM documents)"""
+
+
+def _content_rows(spark, d):
     regime = (
         F.when(F.length("text") < 150, "chat")
         .when(F.col("lang") == "zh", "hybrid")
         .otherwise("comment")
     )
     title = F.when(F.col("lang") == "en", F.col("source")).when(F.col("lang") == "fr", "")
-    rows = views.table(spark, d, "documents").select(
+    return views.table(spark, d, "documents").select(
         "doc_id",
         F.struct(
             "text",
@@ -159,7 +159,11 @@ def _(spark, d):
             F.col("lang").alias("language"),
         ).alias("content"),
     )
-    return validation.validate_content(rows).select(
+
+
+@query("validate_content", _CONTENT_CHECKED)
+def _(spark, d):
+    return validation.validate_content(_content_rows(spark, d)).select(
         "doc_id", checks.error_text(F.col("errors")).alias("errors")
     )
 
@@ -341,14 +345,36 @@ def _(spark, d):
     )
 
 
+# Three documents make a content file; one invalid document holds back its file.
 @query(
     "gate_all_or_nothing",
-    f"SELECT doc_id FROM judged WHERE {JUDGMENT_ERRORS} = ''",
-    "judged",
+    f"""SELECT doc_id, doc_id // 3 AS file_no FROM documents
+        WHERE doc_id // 3 NOT IN (SELECT doc_id // 3 FROM ({_CONTENT_CHECKED}) WHERE errors <> '')""",
+)
+def _(spark, d):
+    files = validation.validate_content(_content_rows(spark, d))
+    files = files.select("doc_id", "errors", F.expr("doc_id div 3").alias("file_no"))
+    return validation.gate_each(files, ["file_no"])
+
+
+@query(
+    "gate_report",
+    f"""SELECT file_no, n_rows, n_failing, n_failing = 0 AS passes,
+               coalesce(failures, '') AS failures
+        FROM (SELECT doc_id // 3 AS file_no, count(*) AS n_rows,
+                     count(*) FILTER (WHERE errors <> '') AS n_failing
+              FROM ({_CONTENT_CHECKED}) GROUP BY 1)
+        LEFT JOIN (SELECT file_no, string_agg(e || ':' || n, ',' ORDER BY e || ':' || n) AS failures
+                   FROM (SELECT file_no, e, count(*) AS n
+                         FROM (SELECT doc_id // 3 AS file_no,
+                                      unnest(string_split(errors, ',')) AS e
+                               FROM ({_CONTENT_CHECKED}))
+                         WHERE e <> '' GROUP BY ALL) GROUP BY 1) USING (file_no)""",
 )
 def _(spark, d):
-    valid, _ = validation.split_valid(checked(spark, d))
-    return validation.gate_all_or_nothing(validation.validate_judgment(valid)).select("doc_id")
+    files = validation.validate_content(_content_rows(spark, d))
+    files = files.select("doc_id", "errors", F.expr("doc_id div 3").alias("file_no"))
+    return validation.gate_report(files, ["file_no"])
 
 
 @query(
@@ -549,8 +575,7 @@ _STREAM_LABELS = """
 
 def _stream(spark, d):
     """The whole corpus with its places in the seeded order."""
-    corpus = views.corpus(spark, d)
-    seen = ordering.stream(corpus, corpus.count(), "doc_id", C.SAMPLE_SEED)
+    seen = ordering.stream(views.corpus(spark, d), None, "doc_id", C.SAMPLE_SEED)
     return seen.withColumn("bucket", scores.bucket())
 
 
@@ -891,7 +916,7 @@ def _(spark, d):
     "verdicts",
 )
 def _(spark, d):
-    found = labels.foils(verdicts(spark, d), ["doc_id"], views.SLUGS)
+    found = labels.foils(verdicts(spark, d), ["doc_id"])
     return found.select(
         "doc_id",
         F.array_join("violating", ",").alias("violating"),
