@@ -472,9 +472,8 @@ def _(spark, d):
 
 @query(
     "stream_pile_on",
-    f"SELECT target_id, event_id, user_id FROM ({_PILE_ON})".replace(
-        "SELECT target_id,", "SELECT CAST(target_id AS BIGINT) AS target_id,", 1
-    ),
+    f"""SELECT CAST(target_id AS VARCHAR) AS target_id, CAST(event_id AS VARCHAR) AS event_id,
+               CAST(user_id AS VARCHAR) AS user_id FROM ({_PILE_ON})""",
     "messages",
 )
 def _(spark, d):

@@ -45,6 +45,13 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more, in whichever store it lies."""
+    jvm, context = spark._jvm, spark.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
+
+
 _LOCAL: list[tempfile.TemporaryDirectory] = []  # removed when Python ends
 
 
