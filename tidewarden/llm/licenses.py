@@ -1,20 +1,21 @@
 """License statements in documents.
 
-For each length of template a text is cut into windows of twice that length that overlap by half,
-so that any copy of a template lies in one window as a whole. A window and a template that it holds
-share half of the window's shingles at least, and 64 bands of one minimum each miss such a pair with
-a probability below 1e-10 (below 1e-6 where a fifth is shared). What shares a band is verified by
-the share of the template's shingles that the window holds.
-
-Statements of a few words are too short for that: they are looked up by the words that name the
-license, which must be there in their order, and verified by the share of their single words around
-them, so an edit of the other words is tolerated.
+A statement is a set of shingles: runs of five words, or, for statements of a few words, its single
+words and the runs of words that name the license. Shingles that no statement has cannot match, so
+a text is reduced to those that one has; most texts have none that tells.
+
+For each length of statement a text is cut into windows of twice that length that overlap by half,
+so that any copy of a statement lies in one window as a whole. A window with a telling shingle gets a
+MinHash signature of 64 bands of one minimum. A window that holds a statement shares a fifth of
+the shingles of both at least, so all bands miss such a pair with a probability below 1e-6. What
+shares a band is verified by the share of the statement's shingles that the window holds, compared
+word by word. Of a short statement all names must be there.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -76,95 +77,116 @@ WORDINGS = {
 WORDINGS["Unlicense"].append("This is free and unencumbered software released into the public domain.")
 WORDINGS["ISC"].append("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")
 WORDINGS["MPL-2.0"].append("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.")
-SHORT = 16  # words of a statement that is looked up by its name
+SHORT = 16  # words of a statement whose shingles are single words and names
 # Words of a statement that do not name the license.
 PLAIN = set("licensed released distributed available published under the a an license version v terms of this that work works is are file and or later into to in with by".split()) - {"by"}
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    """A hash for each shingle, by the place of its first word."""
-    ids = {}
-    one = np.array([ids.get(w) or ids.setdefault(w, zlib.crc32(w.encode()) << 32 | zlib.adler32(w.encode()[::-1])) for w in words], np.uint64)
-    width = min(WORDS, len(one))
-    key = np.full(max(0, len(one) - width + 1), width, np.uint64)
-    for i in range(width):
-        key = mix((key * np.uint64(0x100000001B3)) ^ one[i : len(one) - width + 1 + i])
-    return key
+class Statement:
+    """A wording of a license: its shingles with their weights in words, and those that must be there."""
 
-
-def holds(words: list[str], run: tuple[str, ...]) -> bool:
-    return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
+    def __init__(self, name: str, words: list[str]) -> None:
+        self.name, self.length = name, 1 << max(0, len(words) - 1).bit_length()
+        if len(words) > SHORT:
+            self.telling = {tuple(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)}
+            self.weights, self.must = dict.fromkeys(self.telling, 1), set()
+        else:
+            self.telling = {tuple(g) for plain, g in groupby(words, PLAIN.__contains__) if not plain}
+            single = {(w,) for w in words if w in PLAIN}
+            self.weights, self.must = dict.fromkeys(single, 1) | {s: len(s) for s in self.telling}, self.telling
+        self.total = sum(self.weights.values())
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], wordings: dict[str, list[str]] | None = None) -> None:
         self.word = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-        every = [(n, self.words(t)) for n, t in templates.items()]
-        every += [(n, self.words(t)) for n, ts in (wordings or {}).items() for t in ts]
-        self.short, self.templates, self.owner = {}, {}, {}
-        for name, words in every:
-            runs = [tuple(g) for plain, g in groupby(words, PLAIN.__contains__) if not plain]
-            if runs and len(words) <= SHORT:
-                anchor = max(runs, key=len)
-                self.short.setdefault(anchor[0], {})[(name, anchor, tuple(runs), frozenset(words))] = len(words)
-            elif len(t := np.unique(hashes(words))):
-                key = (name, len(self.owner))
-                self.templates[key], self.owner[key] = t, name
-        self.seeds = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64)
-        self.lengths = {}
-        for name, t in self.templates.items():
-            self.lengths.setdefault(1 << (len(t) - 1).bit_length(), []).append(name)
-        self.least = {n: [(mix(t ^ s)).min() for s in self.seeds] for n, t in self.templates.items()}
+        every = [(n, t) for n, t in templates.items()] + [(n, t) for n, ts in (wordings or {}).items() for t in ts]
+        self.statements = [x for x in (Statement(n, self.words(t)) for n, t in every) if x.telling]
+        self.by_length: dict[int, list[Statement]] = {}
+        for x in self.statements:
+            self.by_length.setdefault(x.length, []).append(x)
+        shingles = sorted({s for x in self.statements for s in x.weights})
+        number = {s: i for i, s in enumerate(shingles)}
+        seeds = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64)
+        values = mix(np.arange(1, len(shingles) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.bands = np.stack([mix(values ^ s) for s in seeds], 1) if shingles else np.zeros((0, BANDS), np.uint64)
+        for x in self.statements:
+            x.weight_of, x.names = {number[s]: w for s, w in x.weights.items()}, {number[s] for s in x.must}
+        self.signed = {length: np.stack([self.bands[list(x.weight_of)].min(0) for x in xs]) for length, xs in self.by_length.items()}
+        # Telling shingles by their first word; single words that tell nothing by themselves.
+        self.tells: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+        for s in {s for x in self.statements for s in x.telling}:
+            self.tells.setdefault(s[0], []).append((s, number[s]))
+        self.single = {s[0]: i for s, i in number.items() if len(s) == 1 and s[0] in PLAIN}
 
     def words(self, text: str) -> list[str]:
-        return [SPELLED.get(w, w) for w in self.word.findall(text.lower())]
-
-    def named(self, words: list[str]) -> Iterator[tuple[str, int, int]]:
-        """(template, first word, last word) of the shortest stretch around each naming run."""
-        for at, word in enumerate(words):
-            for (name, anchor, runs, own), n in self.short.get(word, {}).items():
-                if tuple(words[at : at + len(anchor)]) != anchor:
-                    continue
-                low, end = max(0, at - n), min(len(words), at + len(anchor) + n)
-                whole = words[low:end]
-                if len(own.intersection(whole)) < HOLDS * len(own) or not all(holds(whole, run) for run in runs):
-                    continue
-                ends = []
-                for i in range(at, low - 1, -1):
-                    for j in range(at + len(anchor), end + 1):
-                        part = words[i:j]
-                        if len(own.intersection(part)) >= HOLDS * len(own) and all(holds(part, run) for run in runs):
-                            ends.append((j - i, i, j - 1))
-                            end = j  # a longer start needs no later end
-                            break
-                if ends:
-                    yield name, min(ends)[1], min(ends)[2]
+        words = list(map(str.lower, self.word.findall(text)))
+        return words if SPELLED.keys().isdisjoint(words) else [SPELLED.get(w, w) for w in words]
+
+    def telling(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(first word, words, shingle) of each telling shingle of the text."""
+        found, first = [], self.tells.keys() & words
+        for at, word in enumerate(words) if first else ():
+            if word in first:
+                for shingle, i in self.tells[word]:
+                    if len(shingle) == 1 or tuple(words[at : at + len(shingle)]) == shingle:
+                        found.append((at, len(shingle), i))
+        return found
+
+    def stretches(self, x: Statement, events: list[tuple[int, int, int]]) -> Iterator[tuple[float, int, int]]:
+        """(share, first word, end) of the shortest stretches of the window that hold the statement
+        as well as any, one after the other without overlap."""
+        mine = [e for e in events if e[2] in x.weight_of]
+        while True:
+            present = {e[2] for e in mine}
+            held = sum(x.weight_of[i] for i in present)
+            if held < HOLDS * x.total or not x.names <= present:
+                return
+            counts: dict[int, int] = {}
+            inside, left, best = 0, 0, None
+            for at, n, i in mine:
+                counts[i] = counts.get(i, 0) + 1
+                inside += x.weight_of[i] if counts[i] == 1 else 0
+                while inside == held:
+                    low = mine[left]
+                    if best is None or at + n - low[0] < best[1] - best[0]:
+                        best = (low[0], at + n)
+                    counts[low[2]] -= 1
+                    inside -= 0 if counts[low[2]] else x.weight_of[low[2]]
+                    left += 1
+            yield held / x.total, *best
+            mine = [e for e in mine if e[0] >= best[1] or e[0] + e[1] <= best[0]]
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
-        """(template, start, end) of the words that hold it, by start; ends are exclusive."""
-        places = [m.span() for m in self.word.finditer(text)]
-        if not places:
+        """(license, start, end) of the words that hold it, by start; ends are exclusive. Spans of
+        one license do not overlap; of those that would the best held and largest statement stays."""
+        words = self.words(text)
+        telling = self.telling(words)
+        if not telling:
             return []
-        words = [SPELLED.get(w, w) for w in (text[a:b].lower() for a, b in places)]
-        shingles = hashes(words)
-        found = {(places[i][0], places[j][1], name) for name, i, j in self.named(words)}
-        for length, names in self.lengths.items():
-            starts = np.arange(0, max(1, len(shingles) - length + 1), length)
-            near = set()
-            for i, s in enumerate(self.seeds):
-                values = mix(shingles ^ s)
-                one = np.minimum.reduceat(values, starts)
-                two = np.minimum(one, np.append(one[1:], one[-1]))
-                for name in names:
-                    near.update((name, w) for w in np.flatnonzero(two == self.least[name][i]).tolist())
-            for name, w in near:
-                a = int(starts[w])
-                b = int(starts[w + 2]) if w + 2 < len(starts) else len(shingles)
-                inside = np.flatnonzero(np.isin(shingles[a:b], self.templates[name]))
-                if len(np.unique(shingles[a:b][inside])) >= HOLDS * len(self.templates[name]):
-                    last = min(len(places), a + int(inside[-1]) + WORDS) - 1
-                    found.add((places[a + int(inside[0])][0], places[last][1], self.owner[name]))
-        return [(n, a, b) for a, b, n in sorted(found)]
+        found = []
+        singles = [(at, 1, self.single[w]) for at, w in enumerate(words) if w in self.single]
+        places_of_singles = [e[0] for e in singles]
+        for length, statements in self.by_length.items():
+            windows: dict[int, list[tuple[int, int, int]]] = {}
+            for event in telling:
+                start = event[0] // length * length
+                windows.setdefault(start, []).append(event)
+                if start:
+                    windows.setdefault(start - length, []).append(event)
+            for start, events in windows.items():
+                near = slice(bisect_left(places_of_singles, start), bisect_left(places_of_singles, start + 2 * length))
+                held = sorted(events + singles[near])
+                band = self.bands[list({e[2] for e in held})].min(0)
+                for i in np.flatnonzero((self.signed[length] == band).any(1)).tolist():
+                    x = statements[i]
+                    found += [(-share, -x.total, end - first, first, end, x.name) for share, first, end in self.stretches(x, held)]
+        places, kept = [m.span() for m in self.word.finditer(text)], {}
+        for *_, first, end, name in sorted(set(found)):
+            spans = kept.setdefault(name, [])
+            if all(end <= a or first >= b for a, b in spans):
+                spans.append((first, end))
+        return sorted(((n, places[a][0], places[b - 1][1]) for n, spans in kept.items() for a, b in spans), key=lambda f: (f[1], f[2], f[0]))
 
 
 def find_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
