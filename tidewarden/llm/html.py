@@ -1,12 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node belongs to the path of open tags from the root. Per path the lengths of its texts
-and their punctuation are summed over the page; the sums over the number of its nodes are the
-path's ratios. A ratio is smoothed with the best one of the containers that hold the path, so that
-a short heading counts as part of its article. Both ratios are fused by their geometric mean, and
-the nodes of paths above a share of the page's mean are content. Elements that a page itself marks
-as furniture (menus, notices, adverts, comments) or hides are not counted, but for one that holds
-most of the text; if all text is marked, the ratios alone decide.
+Every text node belongs to the path of open tags from the root. Per path the lengths of its texts,
+their punctuation and their length in links are summed over the page; the sums over the number of
+its nodes are the path's ratios. They are fused by their geometric mean and smoothed with the best
+path below the same parent, so that a short heading counts as part of its article. Blocks whose
+ratio reaches a share of the page's own mean are content. What a page says of its elements (menus,
+notices, adverts, comments, its article) is a factor of the ratio and no more; an element that holds
+most of the text is never counted as furniture.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,11 +26,11 @@ ship(__name__)
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 # Names of the HTML standard, and words that name page furniture.
-TOKEN = (
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
-    r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-)
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button")
+OPEN = re.compile(r"<(?:(/?)([A-Za-z][^\s/><]*)|(!--)|[!?])")
+STOP = re.compile("[\"'>]")
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}  # up to their end tag, whatever is in them
+CUT = {"script", "style"}  # without one they take the rest of the page
+HIDDEN = {"template", "svg", "select", "button", "datalist", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
@@ -55,11 +56,13 @@ POST = {"post", "posts", "entry", "article", "story", "blog"}  # not before a he
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 UNSEEN = re.compile(r"(?i)(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 STATED = {"article", "main"}
-BOXES = {"div", "section", "article", "main", "center", "table", "nav", "header", "footer", "aside", "form"}
-OWN = "/"  # stands for what hangs directly on the body
+BOXES = {"", "html", "body", "div", "section", "article", "main", "center", "nav", "header", "footer", "aside", "form"}
+LISTS = {"ul", "ol", "dl", "table", "thead", "tbody", "tr", "blockquote", "figure"}
 MARKS = re.compile(r"[.,;:!?…。、，！？]")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SHARE = 0.2  # of the mean fused ratio
+DEEP = 200  # open tags that are kept apart
+SHARE = 0.4  # of the mean ratio
+BOXED, MARKED, INSIDE = 0.3, 0.05, 3.0  # factors of a ratio: directly on a box, in furniture, in an article
 
 
 def furniture(tag: str, attributes: str, inner: bool) -> bool:
@@ -90,41 +93,97 @@ def names_furniture(token: str, inner: bool) -> bool:
     return all(x in OF or x.isdigit() or x in POST and not heads or NAMES.fullmatch(x) or HEADS.fullmatch(x) for x in parts)
 
 
-def blocks(page: str) -> list[tuple[str, str, tuple[int, ...]]]:
-    """(tag path, text, marked elements around it, outermost first) of each block, in page order."""
+class Tags:
+    """The markup of a page from left to right, each character looked at a fixed number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.low, self.last, self.loose = page, page.lower(), {c: page.rfind(c) for c in "\"'>"}, False
+        if len(self.low) != len(page):  # letters that grow: ASCII alone is lowered
+            self.low = "".join(c.lower() if c.isascii() else c for c in page)
+        self.ends: dict[str, int] = {}
+
+    def end_of(self, at: int) -> int:
+        """The place of the `>` that ends the tag at `at`: the first outside quotes, or, where there is
+        none up to the end of the page, the first of all; -1 without one."""
+        if at > self.last[">"]:
+            return -1
+        here = at
+        while not self.loose:
+            m = STOP.search(self.page, here)
+            if m is None:
+                self.loose = True
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() >= self.last[m[0]]:
+                self.loose = True
+            else:
+                here = self.page.index(m[0], m.end()) + 1
+        return self.page.index(">", at)
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """Where the content of a raw element and its end tag are over; None without an end tag."""
+        if tag not in self.ends:
+            self.ends[tag] = self.low.rfind(f"</{tag}")
+        if self.ends[tag] < at:
+            return None
+        end = self.page.find(">", self.low.index(f"</{tag}", at))
+        return end + 1 if end >= 0 else len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        """(text before, slash, tag, attributes); tag is empty for comments and declarations."""
+        page, at = self.page, 0
+        while m := OPEN.search(page, at):
+            before = page[at : m.start()]
+            if m[3]:
+                end = page.find("-->", m.end())
+                at = end + 3 if end >= 0 else len(page)
+                yield before, "", "", ""
+                continue
+            end = self.end_of(m.end())
+            if end < 0:
+                yield page[at:], "", "", ""
+                return
+            at = end + 1
+            tag = (m[2] or "").lower()
+            if tag in RAW and not m[1]:
+                over = self.raw_end(tag, at)
+                at = over if over is not None else len(page) if tag in CUT else at
+                yield before, "", "" if tag in INLINE else tag, "/"
+                continue
+            yield before, m[1] or "", tag, page[m.end() : end]
+        yield page[at:], "", "", ""
+
+
+class Block(NamedTuple):
+    path: str
+    text: str
+    links: int  # characters of it in links
+    marked: tuple[int, ...]  # elements around it that the page marks as furniture, outermost first
+
+
+def blocks(page: str) -> list[Block]:
+    """The text nodes between block tags, in page order."""
     out, parts, path = [], [], []  # path: (tag, marked elements)
-    at, where, count = 0, ("", ()), 0
+    where, count, links, open_links = None, 0, 0, 0
 
     def flush() -> None:
+        nonlocal where, links
         text = " ".join(unescape("".join(parts)).split())
-        parts.clear()
         if text:
-            out.append((where[0], text, where[1]))
-
-    def here() -> tuple[str, tuple[int, ...]]:
-        return "/".join(t for t, _ in path if t not in INLINE), path[-1][1] if path else ()
-
-    def add(text: str) -> None:
-        nonlocal where
-        if not text:
-            return
-        if not parts or not "".join(parts).strip():
-            where = here()
-        parts.append(text)
-
-    token = re.compile(TOKEN, re.S)
-    while m := token.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            out.append(Block(*(where or ("", ()))[:1], text, min(links, len(text)), (where or ("", ()))[1]))
+        parts.clear()
+        where, links = None, 0
+
+    for before, slash, tag, attributes in Tags(page):
+        if before:
+            if where is None and not before.isspace():
+                where = "/".join(t for t, _ in path if t not in INLINE), path[-1][1] if path else ()
+            parts.append(before)
+            links += len(before) if open_links else 0
+        if not tag:
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            if tag not in INLINE:
-                flush()
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if tag in RAW:
+            flush()
             continue
         if tag in INLINE:
             if tag == "br":
@@ -132,80 +191,103 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...]]]:
                 continue
         else:
             flush()
-        if m[1]:
-            for i in range(len(path) - 1, -1, -1):
+        if slash:
+            for i in range(len(path) - 1, max(-1, len(path) - 1 - DEEP), -1):
                 if path[i][0] == tag:
                     if tag in INLINE and any(t not in INLINE for t, _ in path[i:]):
                         break
+                    open_links -= sum(t == "a" for t, _ in path[i:])
                     del path[i:]
                     break
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in ("p", "div"):
+        if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in ("p", "div"):
             continue
         if tag not in INLINE:
             while path and path[-1][0] in INLINE:  # an inline tag left open ends with its block
-                path.pop()
+                open_links -= path.pop()[0] == "a"
             if path and (path[-1][0] in CLOSES.get(tag, ()) or path[-1][0] == "p"):
                 path.pop()
+        if len(path) >= DEEP:  # no page nests so deep: tags that are never closed
+            continue
         marked = path[-1][1] if path else ()
-        if furniture(tag, m[3], any(t in STATED for t, _ in path)):
+        if tag in HIDDEN or furniture(tag, attributes, any(t in STATED for t, _ in path)):
             count += 1
             marked += (count,)
         path.append((tag, marked))
-    add(page[at:])
+        open_links += tag == "a"
     flush()
     return out
 
 
+def ratios(found: list[Block]) -> list[float]:
+    """The fused and smoothed ratio of each block's path.
+
+    Per path the length of its texts, their punctuation and their length in links are summed over
+    the page. Length and punctuation outside links over the number of nodes are fused by their
+    geometric mean; text that hangs directly on a box, as no paragraph or heading does, counts less.
+    A path takes half of the best ratio among the paths in its container, so that a short heading
+    counts with the article it stands in.
+    """
+    length, marks, nodes = defaultdict(float), defaultdict(float), defaultdict(int)
+    for b in found:
+        free = 1 - b.links / len(b.text)
+        length[b.path] += len(b.text) * free
+        marks[b.path] += len(MARKS.findall(b.text)) * free
+        nodes[b.path] += 1
+    fused = {p: (length[p] / nodes[p] * (1 + marks[p] / nodes[p])) ** 0.5 for p in nodes}
+    best: dict[str, float] = {}
+    for p, value in fused.items():
+        best[container(p)] = max(best.get(container(p), 0.0), value)
+    smooth = {p: (value + best[container(p)]) / 2 if value else 0.0 for p, value in fused.items()}  # all links: a menu
+    return [smooth[b.path] * (BOXED if b.path.rpartition("/")[2] in BOXES else 1) for b in found]
+
+
+def container(path: str) -> str:
+    """The article or main element that the path lies in, or else its parent; a list or a table has
+    the container that it stands in itself."""
+    tags = path.split("/")[:-1]
+    stated = [i for i, t in enumerate(tags) if t in STATED]
+    while tags and tags[-1] in LISTS:
+        tags.pop()
+    return "/".join(tags[: stated[-1] + 1] if stated else tags)
+
+
+def content(found: list[Block]) -> list[bool]:
+    """Which blocks are content: those whose ratio reaches a share of the page's mean, each block
+    weighed by its text outside links. What the page says of an element, as furniture or as its
+    article, is a factor of the ratio."""
+    void, values = mistaken(found), ratios(found)
+    for i, b in enumerate(found):
+        values[i] *= 1 if void.issuperset(b.marked) else MARKED
+        values[i] *= 1 if STATED.isdisjoint(b.path.split("/")) else INSIDE
+    weights = [len(b.text) - b.links for b in found]
+    mean = sum(v * w for v, w in zip(values, weights, strict=True)) / max(1, sum(weights))
+    return [v > 0 and v >= SHARE * mean for v in values]
+
+
 def main_text(page: str) -> str:
     """The content blocks, joined by empty lines."""
     found = blocks(page)
-    void = mistaken(found)
-    live = [(p, t) for p, t, marked in found if void.issuperset(marked)] or [(p, t) for p, t, _ in found]
-    length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in live:
-        for p in (path, *above(path)):
-            length[p] += len(text)
-            marks[p] += len(MARKS.findall(text))
-            nodes[p] += 1
-    fused = {}
-    for path in {p for p, _ in live}:
-        best = max((path, *above(path)), key=lambda p: length[p] / nodes[p])
-        ratios = [(length[path] / nodes[path] + length[best] / nodes[best]) / 2]
-        best = max((path, *above(path)), key=lambda p: marks[p] / nodes[p])
-        ratios.append((marks[path] / nodes[path] + marks[best] / nodes[best] + 1) / 2)
-        fused[path] = (ratios[0] * ratios[1]) ** 0.5
-    mean = sum(fused[p] for p, _ in live) / max(1, len(live))
-    return "\n\n".join(t for p, t in live if fused[p] >= SHARE * mean)
-
-
-def mistaken(found: list[tuple[str, str, tuple[int, ...]]]) -> set[int]:
+    return "\n\n".join(b.text for b, k in zip(found, content(found), strict=True) if k)
+
+
+def mistaken(found: list[Block]) -> set[int]:
     """Marked elements that count as content: they hold most of the text, in nodes at least as long
     as those of the unmarked rest, and the rest has no article or main element."""
     held, void = defaultdict(int), set()
-    for _, text, marked in found:
-        for e in marked:
-            held[e] += len(text)
-    total = sum(len(t) for _, t, _ in found)
+    for b in found:
+        for e in b.marked:
+            held[e] += len(b.text)
+    total = sum(len(b.text) for b in found)
     for e in sorted(e for e in held if 2 * held[e] > total):
-        nodes = sum(e in marked for _, _, marked in found)
-        rest = [(p, len(t)) for p, t, marked in found if e not in marked and void.issuperset(marked)]
+        nodes = sum(e in b.marked for b in found)
+        rest = [(b.path, len(b.text)) for b in found if e not in b.marked and void.issuperset(b.marked)]
         stated = any(not STATED.isdisjoint(p.split("/")) for p, _ in rest)
         if not stated and held[e] * len(rest) >= sum(n for _, n in rest) * nodes:
             void.add(e)
     return void
 
 
-def above(path: str) -> list[str]:
-    """The containers of a path, without the page itself. Their sums hold those of all below them.
-    Headings, paragraphs and lists that hang directly on the body have it as their container, with
-    the sums of just these."""
-    tags = path.split("/")
-    out = [c for c in ("/".join(tags[:n]) + "/" for n in range(1, len(tags))) if c not in ("html/", "html/body/", "body/")]
-    inside = [t for i, t in enumerate(tags) if t and not (t == "html" and i == 0 or t == "body" and i <= 1)]
-    return out if inside and inside[0] in BOXES else [*out, OWN]
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, the main text and its number of code points.
 
