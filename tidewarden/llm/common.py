@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewarden.session import scratch_dir
+from tidewarden.session import remove, scratch_dir
 
 
 def ship(module: str) -> None:
@@ -25,7 +25,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Writes a table below the shared folder and reads it again: cuts lineage, survives executors."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that `keep` wrote, once all that was made of them is written itself."""
+    for table in tables:
+        remove(table.sparkSession, table.kept_at)
 
 
 def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
