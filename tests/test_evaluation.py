@@ -50,7 +50,7 @@ def test_reliability_edges(spark):
     rows = [(0.0, True), (0.1, True), (0.95, False), (1.0, True), (None, True), (float("nan"), True)]
     df = spark.createDataFrame(rows, "c double, ok boolean")
     bins = {r["bin"]: r["n_rows"] for r in evaluation.reliability_bins(df, "c", "ok").collect()}
-    assert bins == {0: 1, 1: 1, 9: 2}
+    assert bins == {0: 1, 1: 1, 9: 2, None: 2}
 
 
 def test_ece_of_known_bins(spark):
@@ -58,6 +58,13 @@ def test_ece_of_known_bins(spark):
     assert evaluation.ece(df, "c", "ok").first()["ece"] == pytest.approx(0.5 * 0.0 + 0.5 * 0.7, abs=1e-6)
 
 
+def test_rows_without_a_confidence_are_counted(spark):
+    rows = [("a", 0.8, True), ("a", 0.8, False), ("a", None, True), ("a", 1.5, False), ("b", float("nan"), True)]
+    df = spark.createDataFrame(rows, "g string, c double, ok boolean")
+    got = {r["g"]: (r["n_rows"], r["n_left_out"], r["ece"]) for r in evaluation.ece(df, "c", "ok", by=["g"]).collect()}
+    assert got == {"a": (2, 2, 0.3), "b": (0, 1, None)}
+
+
 def test_identity_slices_of_every_grain_from_one_pass(spark):
     """A row counts for each attribute and once for each rule of its list; one Expand in the plan."""
     rows = [

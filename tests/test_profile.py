@@ -49,6 +49,18 @@ def test_score_profile_outside_the_expected_range(spark):
     assert row["p95_score"] == pytest.approx(statistics.quantiles(values, n=20)[-1])
 
 
+def test_score_profile_of_many_values_outside(spark):
+    """Nearly all values lie in one outer bin, which many tasks count up."""
+    rng = random.Random(2)
+    values = [rng.uniform(50, 90) for _ in range(3000)] + [0.5, -1.0]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    found = profile.score_profile(df, "s")
+    row = found.first()
+    assert (row["n_rows"], row["min_score"]) == (3002, -1.0)
+    assert row["median_score"] == pytest.approx(statistics.median(values))
+    assert row["p95_score"] == pytest.approx(statistics.quantiles(values, n=20)[-1])
+
+
 def test_profiles_of_nothing(spark):
     empty = spark.createDataFrame([], "t string, s double")
     assert profile.length_profile(empty, "t").first()["n_rows"] == 0

@@ -27,6 +27,15 @@ rules:
 """
 
 
+def test_yaml_files_without_a_reader_are_not_called_malformed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rule_sets, "yaml", None)
+    (tmp_path / "good.yaml").write_text(YAML.format(slug="good"))
+    (tmp_path / "short.json").write_text(json.dumps({"slug": "short", "rules": []}))
+    loaded = rule_sets.load_rule_sets(spark, str(tmp_path))
+    errors = {r["file_name"]: r["e"] for r in loaded.select("file_name", checks.error_text(F.col("errors")).alias("e")).collect()}
+    assert errors["good.yaml"] == ":unread" and "rules:too_few" in errors["short.json"]
+
+
 @pytest.mark.skipif(rule_sets.yaml is None, reason="needs the yaml package")
 def test_load_rule_sets(spark, tmp_path):
     files = {
@@ -38,6 +47,8 @@ def test_load_rule_sets(spark, tmp_path):
         "unnamed.yaml": YAML.format(slug="unnamed").replace("Quiet corner", "5"),
         "broken.yaml": "slug: [",
         "list.yaml": "- a\n- b\n",
+        "date.yaml": YAML.format(slug="date").replace("2026-01-05", "2026-13-45"),
+        "keys.yaml": YAML.format(slug="keys") + "? [1, 2]\n: x\n",
         "short.json": json.dumps({"slug": "short", "rules": []}),
     }
     for name, body in files.items():
@@ -50,6 +61,7 @@ def test_load_rule_sets(spark, tmp_path):
     assert errors["inner.yaml"] == "rules:extra" and errors["number.yaml"] == "rules:type"
     assert errors["unnamed.yaml"] == "name:type"
     assert errors["broken.yaml"] == ":malformed" and errors["list.yaml"] == ":malformed"
+    assert errors["date.yaml"] == ":malformed" and errors["keys.yaml"] == ":malformed"
     assert "rules:too_few" in errors["short.json"] and "created:missing" in errors["short.json"]
     good = loaded.where("file_name = 'quiet_corner.yaml'").first()["rule_set"]
     assert good["version"] == 1 and str(good["created"]) == "2026-01-05"

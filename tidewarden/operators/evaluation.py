@@ -135,18 +135,24 @@ def _bin(confidence: Column, k: int) -> Column:
     return F.least(F.floor(confidence * k), F.lit(k - 1)).cast("int")
 
 
+def _known(confidence: Column) -> Column:
+    return F.coalesce(confidence.between(0.0, 1.0), F.lit(False))
+
+
 def reliability_bins(
     df: DataFrame, confidence: str, correct: str, k: int = BINS, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean confidence and accuracy in k equal confidence bins."""
+    """Mean confidence and accuracy in k equal confidence bins.
+
+    Rows without a confidence between 0 and 1 are counted under the null bin.
+    """
     c = F.col(confidence)
     return (
-        df.where(c.between(0.0, 1.0))
-        .groupBy(*by, _bin(c, k).alias("bin"))
+        df.groupBy(*by, F.when(_known(c), _bin(c, k)).alias("bin"))
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(F.col(correct)).alias("n_correct"),
-            F.sum(c).alias("_sum"),
+            F.sum(F.when(_known(c), c)).alias("_sum"),
         )
         .select(
             *by,
@@ -162,18 +168,20 @@ def reliability_bins(
 def ece(
     df: DataFrame, confidence: str, correct: str, k: int = BINS, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Expected calibration error, optionally per group."""
+    """Expected calibration error, optionally per group, of the rows with a confidence between 0
+    and 1; `n_left_out` counts the others."""
     c = F.col(confidence)
-    bins = (
-        df.where(c.between(0.0, 1.0))
-        .groupBy(*by, _bin(c, k).alias("bin"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.abs(F.count_if(F.col(correct)) - F.sum(c)).alias("gap"),
-        )
+    bins = df.groupBy(*by, F.when(_known(c), _bin(c, k)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.abs(F.count_if(F.col(correct)) - F.sum(F.when(_known(c), c))).alias("gap"),
     )
+    inside = F.col("bin").isNotNull()
+    n_rows = F.sum(F.when(inside, F.col("n")).otherwise(0))
+    gap = F.sum(F.when(inside, F.col("gap")))
     return bins.groupBy(*by).agg(
-        F.sum("n").alias("n_rows"), F.round(F.sum("gap") / F.sum("n"), DIGITS).alias("ece")
+        n_rows.alias("n_rows"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_left_out"),
+        F.round(gap / F.sum(F.when(inside, F.col("n"))), DIGITS).alias("ece"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidewarden import contracts as C
 from tidewarden.functions import scores
+from tidewarden.operators import ordered
 from tidewarden.operators.tables import literal_table
 
 SCORE_BINS = 1 << 20  # fine bins; a thousand of them make a coarse one
@@ -87,7 +88,8 @@ def score_profile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.
     The wanted ranks are looked up in a thousand coarse bins, then in the thousand fine bins of
     each coarse bin that holds one, then among the values of four fine bins at most. A task sends
     a thousand counts or a few; the score column is read three times. Scores outside low..high
-    fall in the outer bins. Null and NaN scores are left out.
+    fall in the outer bins, whose values are counted like those of any other. Null and NaN scores
+    are left out.
     """
     value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     last = SCORE_BINS - 1
@@ -120,16 +122,22 @@ def score_profile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.
             F.col("before") + F.sum("n_rows").over(upto.partitionBy("coarse").orderBy("fine")),
         )
     )
-    wanted = _holding_ranks(fine_bins).select("fine", *known)
-    ranked = (
+    # Rows of the held bins before a bin, to tell the running count of a bin from that of all four.
+    skipped = F.sum("n_rows").over(Window.orderBy("fine").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = _holding_ranks(fine_bins).select(
+        "fine", *known, F.coalesce(skipped, F.lit(0)).alias("skipped")
+    )
+    counted = (
         values.join(F.broadcast(wanted), "fine")
-        .groupBy("fine", *known, "value")
+        .groupBy("fine", *known, "skipped", "value")
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn(
-            "upto",
-            F.col("before") + F.sum("n_rows").over(upto.partitionBy("fine").orderBy("value")),
-        )
     )
+    # A bin may hold very many values, all that lie outside low..high for one: they are counted up
+    # over ranges of values, not in one task.
+    summed = ordered.with_scan(
+        counted, ["fine", "value"], F.col("n_rows"), "seen", "sum", inclusive=True
+    )
+    ranked = summed.withColumn("upto", F.col("before") + F.col("seen") - F.col("skipped"))
     picked = ranked.agg(
         F.max("n").alias("n"), F.max("smallest").alias("smallest"), *_values_at_ranks()
     )

@@ -139,33 +139,47 @@ def _(spark, d):
     return evaluation.edge_slice_metrics(rows, "rule_id", "gold", "pred")
 
 
+# Some rows have no confidence, or one above 1.
+_ODD = "CASE WHEN doc_id % 7 > 0 THEN confidence + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END END"
+_PART_SCORED = f"SELECT * REPLACE ({_ODD} AS confidence) FROM scored"
+_PART_BIN = f"CASE WHEN confidence BETWEEN 0 AND 1 THEN {_BIN} END"
+
+
+def _part_scored(spark, d):
+    return views.scored(spark, d).withColumn("confidence", F.expr(_ODD))
+
+
 @query(
     "reliability_bins",
-    f"""SELECT {_BIN} AS bin, count(*) AS n_rows, count(*) FILTER (WHERE correct) AS n_correct,
-               round(sum(confidence) / count(*), 6) AS mean_confidence,
+    f"""SELECT {_PART_BIN} AS bin, count(*) AS n_rows, count(*) FILTER (WHERE correct) AS n_correct,
+               round(sum(confidence) FILTER (WHERE confidence BETWEEN 0 AND 1) / count(*), 6)
+                   AS mean_confidence,
                round(count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy
-        FROM scored GROUP BY 1""",
+        FROM ({_PART_SCORED}) GROUP BY 1""",
     "scored",
 )
 def _(spark, d):
-    return evaluation.reliability_bins(views.scored(spark, d), "confidence", "correct")
+    return evaluation.reliability_bins(_part_scored(spark, d), "confidence", "correct")
 
 
 _ECE = f"""
-    SELECT {{by}}CAST(sum(n) AS BIGINT) AS n_rows, round(sum(gap) / sum(n), 6) AS ece
-    FROM (SELECT {{by}}{_BIN} AS bin, count(*) AS n,
+    SELECT {{by}}CAST(sum(CASE WHEN bin IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS n_rows,
+           CAST(sum(CASE WHEN bin IS NULL THEN n ELSE 0 END) AS BIGINT) AS n_left_out,
+           round(sum(gap) FILTER (WHERE bin IS NOT NULL) / sum(n) FILTER (WHERE bin IS NOT NULL), 6)
+               AS ece
+    FROM (SELECT {{by}}{_PART_BIN} AS bin, count(*) AS n,
                  abs(count(*) FILTER (WHERE correct) - sum(confidence)) AS gap
-          FROM scored GROUP BY ALL) GROUP BY ALL"""
+          FROM ({_PART_SCORED}) GROUP BY ALL) GROUP BY ALL"""
 
 
 @query("ece", _ECE.format(by=""), "scored")
 def _(spark, d):
-    return evaluation.ece(views.scored(spark, d), "confidence", "correct")
+    return evaluation.ece(_part_scored(spark, d), "confidence", "correct")
 
 
 @query("ece_by_category", _ECE.format(by="lang, "), "scored")
 def _(spark, d):
-    return evaluation.ece(views.scored(spark, d), "confidence", "correct", by=["lang"])
+    return evaluation.ece(_part_scored(spark, d), "confidence", "correct", by=["lang"])
 
 
 # Least-squares monotone fit as max over starts of min over ends of the weighted mean.

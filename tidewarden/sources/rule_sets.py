@@ -23,36 +23,47 @@ except ImportError:  # YAML catalogs need the yaml package on the executors
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+UNREAD = "no YAML reader"
+
+
 def _to_json(text: str) -> str | None:
+    """None for what is no YAML, or YAML that no JSON text can hold: a bad date, a cycle, odd keys."""
     try:
-        return json.dumps(yaml.safe_load(text), default=str)
-    except yaml.YAMLError:
+        return json.dumps(yaml.safe_load(text), default=str, allow_nan=False)
+    except (yaml.YAMLError, ValueError, TypeError, OverflowError, RecursionError):
         return None
 
 
 def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(document=batch["document"].map(_to_json))
+        if yaml is None:
+            yield batch.assign(document=None, unread=UNREAD)
+        else:
+            yield batch.assign(document=batch["document"].map(_to_json), unread=None)
 
 
 def load_rule_sets(spark: SparkSession, path: str) -> DataFrame:
     """Rule-set files, one document each -> file_name, rule_set, errors.
 
     YAML and JSON files may be mixed in a folder. A file that cannot be read, has unknown keys,
-    breaks the contract or has another name than its slug keeps its row and gets errors.
+    breaks the contract or has another name than its slug keeps its row and gets errors, and the
+    other files are read all the same. Where the executors have no YAML reader, YAML files get the
+    error `unread` instead of being called malformed.
     """
     files = (
         spark.read.text(path, wholetext=True)
         .select("value", F.col("_metadata.file_name").alias("file_name"))
         .select("file_name", F.col("value").alias("document"))
     )
-    if yaml is not None:
-        is_json = F.col("file_name").endswith(".json")
-        converted = files.where(~is_json).mapInPandas(
-            _yaml_batches, "file_name string, document string"
-        )
-        files = files.where(is_json).unionByName(converted)
-    return rule_sets_from_json(files)
+    is_json = F.col("file_name").endswith(".json")
+    converted = files.where(~is_json).mapInPandas(
+        _yaml_batches, "file_name string, document string, unread string"
+    )
+    plain = files.where(is_json).withColumn("unread", F.lit(None).cast("string"))
+    checked = rule_sets_from_json(plain.unionByName(converted))
+    unread = checks.gather(checks.failure("", "unread", F.lit(True)))
+    errors = F.when(F.col("unread").isNotNull(), unread).otherwise(F.col("errors"))
+    return checked.withColumn("errors", errors).drop("unread")
 
 
 def rule_sets_from_json(files: DataFrame) -> DataFrame:

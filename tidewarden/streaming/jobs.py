@@ -167,8 +167,8 @@ class PileOns(StatefulProcessor):
     """The messages of one (target, time span), a map entry per minute.
 
     A batch reads the minutes that its messages can change and those before that they look back on,
-    and writes the ones that did change. An event-time timer per minute drops it once no message
-    that may still come can look back on it.
+    and writes the ones that did change. An event-time timer goes off when no message that may still
+    come can look back on the earliest minute: it drops what is over and waits for the next one.
     """
 
     def __init__(self, min_users: int, minutes: int) -> None:
@@ -185,9 +185,11 @@ class PileOns(StatefulProcessor):
         """Milliseconds: no instant from then on looks back on the minute."""
         return ((minute + 1) * _MINUTE + self.reach) // 1000
 
+    def minutes(self) -> set[int]:
+        """The minutes held, by one call: each call goes from Python to the store."""
+        return {key[0] for key in self.held.keys()} if self.held.exists() else set()  # noqa: SIM118
+
     def read(self, minute: int) -> list[tuple]:
-        if not self.held.containsKey((minute,)):
-            return []
         return list(zip(*self.held.getValue((minute,)), strict=True))
 
     def handleInputRows(  # noqa: N802
@@ -201,7 +203,8 @@ class PileOns(StatefulProcessor):
         ahead = -(-self.reach // _MINUTE)
         changed = {m + i for m in arrived for i in range(ahead + 1)}
         minutes = sorted({m - i for m in changed for i in range(ahead + 1)})
-        held = {m: self.read(m) + arrived.get(m, []) for m in minutes}
+        known = self.minutes()
+        held = {m: (self.read(m) if m in known else []) + arrived.get(m, []) for m in minutes}
         found, start = [], 0
         # Stretches of minutes far apart do not see each other.
         for end in range(1, len(minutes) + 1):
@@ -223,17 +226,23 @@ class PileOns(StatefulProcessor):
                     held[minute][i] = (at, user, event, own, True)
                     arrived.setdefault(minute, [])
         for minute in arrived:
-            if not self.held.containsKey((minute,)):
-                self.handle.registerTimer(self.expiry(minute))
             self.held.updateValue((minute,), tuple(list(c) for c in zip(*held[minute], strict=True)))
+        if not known:
+            self.handle.registerTimer(self.expiry(min(arrived)))
         if found:
             yield pd.DataFrame(found, columns=["target_id", "event_id", "ts_micros", "user_id"])
 
     def handleExpiredTimer(  # noqa: N802
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        minute = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.reach) // _MINUTE - 1
-        self.held.removeKey((minute,))
+        now, left = timerValues.getCurrentWatermarkInMs(), []
+        for minute in self.minutes():
+            if self.expiry(minute) <= now:
+                self.held.removeKey((minute,))
+            else:
+                left.append(minute)
+        if left:
+            self.handle.registerTimer(self.expiry(min(left)))
         yield from ()
 
 
