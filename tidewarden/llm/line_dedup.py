@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewarden.llm.common import keep
+from tidewarden.llm.common import forget, keep
 
 BLANKS = r"^[\s]+|[\s]+$"
 
@@ -37,13 +37,16 @@ def _ranks(df: DataFrame, *by: str) -> DataFrame:
 
 
 def later_copies(documents: DataFrame, min_words: int = 50) -> DataFrame:
-    """doc, text_key and the places (from 0, among all lines) of the lines to remove."""
+    """doc, text_key and the places (from 0, among all lines) of the lines to remove; a kept table.
+
+    Of the tables written on the way none stays longer than it is read.
+    """
     texts = documents.select(_doc().alias("doc"), _key().alias("text_key"), "text").where("text is not null")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, BLANKS, "").alias("line")))
     rows = texts.select("doc", "text_key", F.posexplode(F.filter(lines, lambda x: x["line"] != "")).alias("i", "x"))
-    rows = keep(rows.select("doc", "text_key", "i", F.col("x.pos").alias("pos"), F.md5(F.col("x.line").cast("binary")).alias("line"), _words(F.col("x.line")).alias("words")), "lines")
-    first = keep(_ranks(rows, "line"), "ranks")
-    rows = rows.join(first, "line").drop("line").dropDuplicates(["doc", "text_key", "i"])
+    lines = keep(rows.select("doc", "text_key", "i", F.col("x.pos").alias("pos"), F.md5(F.col("x.line").cast("binary")).alias("line"), _words(F.col("x.line")).alias("words")), "lines")
+    first = keep(_ranks(lines, "line"), "ranks")
+    rows = lines.join(first, "line").drop("line").dropDuplicates(["doc", "text_key", "i"])
     line = Window.partitionBy("doc", "text_key").orderBy("i")
     rows = rows.withColumn("island", F.col("i") - F.row_number().over(line))
     island = Window.partitionBy("doc", "text_key", "island")
@@ -61,15 +64,19 @@ def later_copies(documents: DataFrame, min_words: int = 50) -> DataFrame:
     rows = rows.select("doc", "text_key", "i", "pos", F.col("rank").alias("r0"), ahead.alias("ahead"), back.alias("back"))
     rows = rows.select("doc", "text_key", "i", "pos", "r0", shortest(F.col("ahead")).alias("ahead"), shortest(F.col("back")).alias("back"))
     rows = keep(rows, "suffixes")
+    forget(lines, first)
     longest = rows.agg(F.max(F.greatest(F.coalesce("ahead", F.lit(1)), F.coalesce("back", F.lit(1))))).first()[0] or 1
     levels = longest.bit_length()
     for k in range(1, levels):
         half = 1 << (k - 1)
         next_i, next_rank = F.lead("i", half).over(line), F.lead(f"r{k - 1}", half).over(line)
-        rows = rows.withColumn("right", F.when(next_i == F.col("i") + half, next_rank)).withColumn("left", F.col(f"r{k - 1}"))
-        whole = rows.where("left is not null and right is not null")
-        ranks = keep(_ranks(whole, "left", "right"), "ranks").withColumnRenamed("rank", f"r{k}")
-        rows = keep(rows.join(ranks, ["left", "right"], "left").drop("left", "right"), "suffixes")
+        pairs = rows.withColumn("right", F.when(next_i == F.col("i") + half, next_rank)).withColumn("left", F.col(f"r{k - 1}"))
+        whole = pairs.where("left is not null and right is not null")
+        ranks = keep(_ranks(whole, "left", "right"), "ranks")
+        named = ranks.withColumnRenamed("rank", f"r{k}")
+        longer = keep(pairs.join(named, ["left", "right"], "left").drop("left", "right"), "suffixes")
+        forget(rows, ranks)
+        rows = longer
     ranked = rows.select("doc", "text_key", "i", F.array(*[f"r{k}" for k in range(levels)]).alias("r"))
     windows = rows.select("doc", "text_key", F.col("i").alias("start"), F.col("ahead").alias("n")).unionByName(
         rows.select("doc", "text_key", (F.col("i") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))
@@ -87,7 +94,9 @@ def later_copies(documents: DataFrame, min_words: int = 50) -> DataFrame:
     later = later.where(other | (F.col("start") >= F.col("first.start") + F.col("n")))
     gone = later.select("doc", "text_key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i")).distinct()
     gone = gone.join(rows.select("doc", "text_key", "i", "pos"), ["doc", "text_key", "i"])
-    return gone.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = keep(gone.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
+    forget(rows, windows)
+    return gone
 
 
 def _doc() -> Column:
@@ -107,8 +116,11 @@ def dedup(documents: DataFrame, min_words: int = 50) -> DataFrame:
     that agree in doc_id and text count as one and get the same result; null ids come first. An
     empty table gives no rows. A column named n_removed is replaced; other columns pass through.
     """
-    gone = keep(later_copies(documents, min_words), "gone").withColumnsRenamed({"doc": "_doc", "text_key": "_key", "gone": "_gone"})
-    rows = documents.drop("n_removed").withColumn("_doc", _doc()).withColumn("_key", _key()).join(gone, ["_doc", "_key"], "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return rows.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).drop("_doc", "_key", "_gone")
+    taken = {c.lower() for c in documents.columns}
+    doc, key, gone = (next(n for n in (x + "_" * i for i in range(len(taken) + 1)) if n not in taken) for x in ("_doc", "_key", "_gone"))
+    found = later_copies(documents, min_words).withColumnsRenamed({"doc": doc, "text_key": key, "gone": gone})
+    # One way at every size: both sides are dealt by document, however few lines go.
+    rows = documents.drop("n_removed").withColumns({doc: _doc(), key: _key()}).join(found.hint("merge"), [doc, key], "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    return rows.withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))).drop(doc, key, gone)
