@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import keep
+from tidewarden.llm.common import forget, keep
 
 
 def _least(arcs: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = keep(small.where("a != b").distinct(), "edges")
         roots = small.agg(F.count("*").alias("n"), F.count_distinct("a").alias("nodes")).first()
         inner = small.select(F.col("b").alias("a")).distinct().join(small.select("a").distinct(), "a", "left_semi")
+        forget(edges, large)
         edges = small
         if roots["n"] == roots["nodes"] and inner.isEmpty():  # every node hangs on a root
             break
