@@ -1,14 +1,18 @@
 """Whitening, exact top products and fill-in-middle against plain versions, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.llm import infill, products, whitening
+from tidewarden.llm import html, infill, licenses, line_dedup, mixing, products, quality, whitening
 
 FIELDS = "vec_id long, embedding array<float>, whitened string, rank string, x int"
 
@@ -158,3 +162,174 @@ def test_rank_index_is_exact_and_bounded():
         assert np.abs(index.residuals).max() <= 21
     even = infill.fit(list(range(0, 10_000, 7)), error=20)
     assert len(even.ranks) == 1
+
+
+def held(scanner, words, width):
+    """Licenses of which some stretch of `width` times their length holds enough, by plain counting."""
+    names = set()
+    for x in scanner.statements:
+        size = width * x.length
+        for i in range(max(1, len(words) - size + 1)):
+            part = words[i : i + size]
+            there = {s for s in x.weights if any(tuple(part[j : j + len(s)]) == s for j in range(len(part)))}
+            if sum(x.weights[s] for s in there) >= licenses.HOLDS * x.total and x.must <= there:
+                names.add(x.name)
+                break
+    return names
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_licenses_equal_a_plain_containment_scan(seed):
+    """Every license that a stretch of its length holds is found; none is that no window holds."""
+    rng = random.Random(seed)
+    wordings = {n: rng.sample(ts, min(3, len(ts))) for n, ts in licenses.WORDINGS.items()}
+    scanner = licenses.Scanner(licenses.TEMPLATES, wordings)
+    every = [t for ts in wordings.values() for t in ts] + list(licenses.TEMPLATES.values())
+    plain = [f"w{i}" for i in range(60)] + ["under", "the", "license", "mit", "licensed", "of", "version", "gpl"]
+    found_any = 0
+    for _ in range(24):
+        words = rng.choices(plain, k=rng.randrange(60))
+        for text in rng.sample(every, rng.randrange(3)):
+            copy = scanner.words(text)
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(copy))
+                copy[k : k + 1] = rng.choice([[], ["odd"], [copy[k], "odd"], [copy[k]]])
+                copy = copy or ["odd"]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = copy
+        spans = scanner.scan(" ".join(words))
+        got = {n for n, _, _ in spans}
+        assert held(scanner, words, 1) <= got <= held(scanner, words, 2)
+        found_any += len(got)
+        for name in got:
+            own = sorted((a, b) for n, a, b in spans if n == name)
+            assert all(b <= c for (_, b), (c, _) in zip(own, own[1:], strict=False))
+    assert found_any > 5
+
+
+def test_licenses_one_span_per_occurrence():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.WORDINGS)
+    notice = licenses.TEMPLATES["BSD-notice"]
+    text = f"{notice}. {notice}"
+    assert scanner.scan(text) == [("BSD-notice", 0, len(notice)), ("BSD-notice", len(notice) + 2, len(text))]
+    text = "Not released under the MIT License. Released under the MIT License"
+    assert scanner.scan(text) == [("MIT", 4, 34), ("MIT", 36, 66)]
+    assert scanner.scan("mit " * 3000) == [] and scanner.scan("") == []
+
+
+def test_line_dedup_keeps_all_columns(spark):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(3))
+    rows = [(1, passage, "a", 1.5, None, 7), (2, f"own line\n{passage}", "b", 2.5, "g", 8), (None, None, "c", 3.5, "h", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _doc double, _gone string, n_removed int")
+    out = line_dedup.dedup(df, 50)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = {r["_key"]: (r["doc_id"], r["text"], r["_doc"], r["_gone"], r["n_removed"]) for r in out.collect()}
+    assert got == {"a": (1, passage, 1.5, None, 0), "b": (2, "own line", 2.5, "g", 3), "c": (None, None, 3.5, "h", 0)}
+
+
+def test_quality_equals_a_plain_vote(spark):
+    """All documents against all labelled ones, one product at a time; several texts and labels of a
+    document, null and empty texts."""
+    rng = random.Random(21)
+    texts = {i: " ".join(rng.choices([f"{'xy'[i % 2]}{k}" for k in range(30)] + ["so", "it"], k=rng.randrange(1, 60))) for i in range(90)}
+    rows = [*texts.items(), (200, None), (201, ""), (None, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)] + [(4, 1), (7, None), (None, 1), (300, 1), (8, 5)]
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, spark.createDataFrame(labels, "doc_id long, label int")).collect()}
+    known = {i: max(v for j, v in labels if j == i and v in (0, 1)) for i in range(60)}
+    counted = {i: quality.counts([t])[0] for i, t in rows}
+    space = quality.Space([zlib.compress(counted[i].tobytes()) for i in sorted(known)])
+    vector = {i: space.vectors(c[None])[0] for i, c in counted.items()}
+    for i, v in vector.items():
+        cosines = sorted(((float(v @ vector[j]), known[j]) for j in known), reverse=True)[: quality.NEIGHBOURS]
+        weights = [(math.exp(quality.SHARPNESS * (c - 1)), label) for c, label in cosines]
+        wanted = sum(w * label for w, label in weights) / sum(w for w, _ in weights)
+        assert got[i] == pytest.approx(wanted, abs=0.02), i
+    assert {r["score"] for r in quality.score(df, spark.createDataFrame([], "doc_id long, label int")).collect()} == {0.5}
+
+
+def test_mixing_shares_are_met_with_soft_posteriors(spark):
+    """Domains that share most of their words: totals in the wanted proportion, near the largest."""
+    rng = random.Random(31)
+    words = {d: [f"{d}{k}" for k in "abcd"] + [f"c{k}" for k in range(8)] for d in ("en", "de", "fr")}
+    rows = [(i, " ".join(rng.choices(words[("en", "de", "fr", "en")[i % 4]], k=rng.randrange(5, 60)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, ("en", "de", "fr", "en")[i % 4]) for i in range(0, 400, 3)], "doc_id long, domain string")
+    want = {"en": 0.2, "de": 0.5, "fr": 0.3}
+    mixed = mixing.mix(df, known, want)
+    sums = mixed.selectExpr(*[f"sum(tokens * p[{i}] * rate) got{i}" for i in range(3)], *[f"sum(tokens * p[{i}]) have{i}" for i in range(3)], "min(rate) lo", "max(rate) hi").first()
+    total = sum(sums[f"got{i}"] for i in range(3))
+    for i, share in enumerate(want.values()):
+        assert sums[f"got{i}"] / total == pytest.approx(share, abs=5e-4)
+    bound = min(sums[f"have{i}"] / share for i, share in enumerate(want.values()))
+    assert 0.97 * bound <= total <= 1.001 * bound and 0 <= sums["lo"] <= sums["hi"] <= 1
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, row string, given_id long, tokens int, p0 double, _key string"
+
+
+def test_the_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names; empty tables."""
+    rng = random.Random(41)
+    good = {i: " ".join(rng.choices([f"{('en', 'de', 'fr', 'es')[i % 4]}{k}" for k in range(60)], k=60)) for i in range(120)}
+    rows = [(i, t, ("en", "de", "fr", "es")[i % 4], "s", len(t), "r", -1, 5, 0.5, "k") for i, t in good.items()]
+    rows += [(500, "$$$ !!! WIN " * 30, "en", "s", 9, "r", -1, 5, 0.5, "k"), (None, None, None, None, None, None, None, None, None, None)]
+    rows += [(501, "", "en", "s", 0, "r", 1, 1, 0.1, "k"), (502, " ".join(good[4].split() * 400), "en", "s", 1, "r", 1, 1, 0.1, "k"), rows[8], rows[8]]
+    rows += [(None, good[12], "en", "s", 1, "r", 2, 1, 0.1, "k"), (None, good[12], "en", "s", 1, "r", 2, 1, 0.1, "k")]
+    labels = [(i, 1, 0) for i in range(0, 120, 2)] + [(500, 0, 0), (None, 1, None), (3, None, None)]
+    made = {"documents": spark.createDataFrame(rows, PIPELINE), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int")}
+    for name, df in made.items():
+        df.write.parquet(f"{tmp_path}/some/{name}.parquet")
+        df.where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    docs = corpus_pipeline.table(spark, f"{tmp_path}/some", "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.keep(stage(spark, docs, f"{tmp_path}/some"), name)
+        assert docs.columns == made["documents"].columns
+        texts = {r.text for r in docs.collect()}
+        assert "$$$ !!! WIN " * 30 not in texts
+        if name == "quality":
+            assert set(good.values()) <= texts
+    kept = docs.collect()
+    assert {r.row for r in kept} <= {"r", None} and {r["_key"] for r in kept} <= {"k", None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() == len(kept)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def stripped(page):
+    """A page that says nothing of its elements: no class, id or role, and boxes without names."""
+    page = re.sub(r'\s(class|id|role)="[^"]*"', "", page)
+    return re.sub(r"<(/?)(nav|footer|article|header|aside|section|main)\b", r"<\1div", page)
+
+
+def test_html_ratios_decide_without_marks(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = blocks = 0
+    for page in pages:
+        named, bare = html.blocks(page), html.blocks(stripped(page))
+        wanted = ["article" in b.path.split("/") and not b.marked for b in named]
+        assert html.content(named) == wanted
+        right += sum(a == b for a, b in zip(wanted, html.content(bare), strict=True))
+        blocks += len(named)
+    assert right / blocks >= 0.95
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "> ', "<b>", "<div>", "<![CDATA[", "<!--x", "<button>", "</p>", "<p>x", "&lt;", '<a ">"', "<script>x", "<i>y", "<a b='", "<title>t", "<p><b>x", "</title"])
+def test_html_takes_hostile_pages_in_linear_time(unit):
+    start = time.process_time()
+    html.main_text(unit * (200_000 // len(unit)))
+    assert time.process_time() - start < 5
+
+
+def test_html_tags_without_an_end():
+    long = "A long sentence of the article, with commas, and with many more words than any menu has."
+    for tag in ("button", "select", "svg", "title", "textarea", "iframe", "template"):
+        assert long in html.main_text(f"<div><p>{long}</p><{tag}></div><div><p>{long} {long}</p></div>")
+    assert html.main_text(f"<p>{long}</p><script>var a = '<p>{long}</p>'") == long
+
+
+def test_html_on_odd_tables(spark):
+    rows = [(1, "u", None), (None, None, "<p>Some text, here.</p>"), (3, "v", ""), (3, "v", ""), (4, "w", "<p>x</p>" * 20_000)]
+    df = spark.createDataFrame([(*r, "t", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = [tuple(r) for r in html.extract(df).collect()]
+    assert sorted(map(str, (r[:2] + (r[3],) for r in got))) == sorted(map(str, [(1, "u", 0), (None, None, 16), (3, "v", 0), (3, "v", 0), (4, "w", 20_000 + 2 * 19_999)]))
+    assert html.extract(df.where("false")).count() == 0
