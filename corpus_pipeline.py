@@ -10,25 +10,18 @@ from tidewarden.llm.common import keep, table
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """The documents, each with an id: rows without one take a hash of their text, above 2^62, so
+    """doc_id, text and the whole row: rows without an id take a hash of their text, above 2^62, so
     that the decisions of a stage reach them. Such rows of equal text share it."""
     own = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id"), own))
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents but for those named in `dropped`; null ids stay null."""
-    rows = named(docs.withColumn("given_id", F.col("doc_id")))
-    return rows.join(dropped, "doc_id", "left_anti").withColumn("doc_id", F.col("given_id")).select(docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    return docs.select(F.coalesce("doc_id", own).alias("doc_id"), "text", whole)
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Rows that share a doc_id share the best score;
-    a row without one is judged by its text."""
+    """Documents that the quality classifier accepts, each judged by its own text."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score(named(docs), labels).groupBy("doc_id").agg(F.max("predicted").alias("good"))
-    rejected = scored.where("good = 0").select("doc_id")
-    return without(docs, rejected)
+    good = quality.scorer(docs, labels)
+    return docs.where(good("text") >= 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +39,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least = docs.where(words).groupBy("text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("least"))
     one = least.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", *[F.col("least")[c].alias(c) for c in rest])
     docs = docs.where(~words).unionByName(one.select(docs.columns))
-    copies = minhash.near_duplicates(named(docs), words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return without(docs, copies)
+    rows = named(docs)
+    copies = minhash.near_duplicates(rows, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return rows.join(copies, "doc_id", "left_anti").select("row.*")
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix draws; those without a doc_id are drawn by their text."""
     labelled = queries.languages(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(named(docs), labelled, queries.WEIGHTS)
-    left_out = mixed.where("not taken").select("doc_id").distinct()
-    return without(docs, left_out)
+    return mixing.drawn(named(docs), labelled, queries.WEIGHTS, carried=("row",)).where("taken").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
