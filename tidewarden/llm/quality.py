@@ -30,7 +30,6 @@ SAMPLE = 6_000  # labelled rows at most; their 2,112 counts each reach the drive
 BLOCK = 500  # rows that are unpacked at a time
 NEIGHBOURS = 25
 SHARPNESS = 30.0
-SCHEMA = "doc_id bigint, score double, predicted int"
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
@@ -115,28 +114,50 @@ def vote(queries: np.ndarray, vectors: np.ndarray, labels: np.ndarray, neighbour
 
 
 def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[Space, np.ndarray, np.ndarray] | None:
-    """The space, the vectors and the labels of at most `sample` labelled rows, drawn by a hash of
-    doc_id; None without a usable row. `labelled`: doc_id, label (0 or 1). Rows with a null id or
-    label take no part; of several labels of one document the greatest counts.
+    """The space, the vectors and the labels of at most `sample` labelled documents, drawn by a hash
+    of doc_id; None without a usable one. `labelled`: doc_id, label (0 or 1). Rows with a null id or
+    label take no part; of several labels of one document the greatest counts, of several texts the
+    least by hash.
+
+    The ids are drawn first, so that only the texts of the sample leave their place.
     """
     labelled = labelled.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = documents.select("doc_id", "text").join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    known = labelled.join(documents.select("doc_id"), "doc_id", "left_semi")
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its size bounds the broadcast
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch[i : i + 500]
-                yield pd.DataFrame({"label": part["label"].astype("int32"), "counts": [zlib.compress(r.tobytes(), 1) for r in counts(list(part["text"]))]})
+                packed = [zlib.compress(r.tobytes(), 1) for r in counts(list(part["text"]))]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"].astype("int32"), "counts": packed})
 
-    rows = texts.select("text", "label").limit(sample).repartition(12).mapInPandas(work, "label int, counts binary").collect()
+    rows = texts.select("doc_id", "text", "label").mapInPandas(work, "doc_id bigint, label int, counts binary").collect()
     if not rows:
         return None
+    rows.sort(key=lambda r: r["doc_id"])
     packed = [bytes(r["counts"]) for r in rows]
     space = Space(packed)
     vectors = np.concatenate([space.vectors(block) for block in unpacked(packed)])
     return space, vectors, np.array([r["label"] for r in rows], np.float64)
 
 
+def scorer(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE):
+    """A function of a text column that gives the score (0 to 1, higher where label 1 is likelier)."""
+    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labelled, sample))
+
+    def work(texts: pd.Series) -> pd.Series:
+        if sent.value is None:
+            return pd.Series(np.full(len(texts), 0.5))
+        space, vectors, labels = sent.value
+        blocks = [vote(space.vectors(counts(list(texts[i : i + 512]))), vectors, labels) for i in range(0, len(texts), 512)]
+        return pd.Series(np.concatenate(blocks) if blocks else [])
+
+    return F.pandas_udf(work, "double")
+
+
 def score(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, score (0 to 1, higher where label 1 is likelier), predicted.
 
@@ -144,18 +165,6 @@ def score(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Da
     any usable label every score is 0.5. Repeated rows give repeated rows, an empty table none;
     columns besides doc_id and text are not read.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labelled, sample))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch[i : i + 512]
-                if model is None:
-                    scores = np.full(len(part), 0.5)
-                else:
-                    space, vectors, labels = model
-                    scores = vote(space.vectors(counts(list(part["text"]))), vectors, labels)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": scores, "predicted": (scores >= 0.5).astype("int32")})
-
-    return documents.select("doc_id", "text").mapInPandas(work, SCHEMA)
+    of = scorer(documents, labelled, sample)
+    rows = documents.select("doc_id", of("text").alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
