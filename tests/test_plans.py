@@ -15,9 +15,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_prefix_is_a_thinned_top_k(spark):
-    text = plan(ordering.scan_prefix(views.table(spark, SF_DIR, "documents"), 100, "doc_id", 1))
-    assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+def test_prefix_is_thinned_and_placed_in_bins(spark):
+    """No task gets the whole prefix: places are given per hash bin, and the bound needs ids only."""
+    text = plan(ordering.stream(views.table(spark, SF_DIR, "documents"), 100, "doc_id", 1))
+    assert "TakeOrderedAndProject" not in text and "hashpartitioning(_bin" in text
     assert "ReadSchema: struct<doc_id:bigint>" in text and "ReadSchema: struct<>" in text
 
 
@@ -27,8 +28,12 @@ def test_quota_sample_is_limited_before_the_shuffle(spark):
     assert "row_number(), 5, Partial" in text
 
 
-def test_spot_check_is_limited_before_the_shuffle(spark):
-    assert "row_number(), 20, Partial" in plan(QUERIES["spot_check"](spark, SF_DIR))
+def test_rows_of_a_group_are_dealt_by_its_bins(spark):
+    text = plan(QUERIES["spot_check"](spark, SF_DIR))
+    assert "hashpartitioning(slug" in text and "_bin" in text.split("hashpartitioning(slug")[1].split(")")[0]
+
+
+def test_skips_are_limited_before_the_shuffle(spark):
     assert "row_number(), 4, Partial" in plan(QUERIES["skip_breaches"](spark, SF_DIR))
 
 

@@ -240,3 +240,15 @@ def test_an_abandoned_session_starts_the_rest(spark):
     assert {r["session_id"]: r["ended_reason"] for r in played.collect()} == {"a": "abandoned", "b": None}
     got = sessions.cooldown_breaches(played, ["auditor"]).collect()
     assert [(r["session_id"], r["rested_minutes"]) for r in got] == [("b", 80.0)]
+
+
+def test_evenings_in_a_zone_with_summer_time(spark):
+    """The clocks of the zone change at the end of March: the same instant is another hour."""
+    starts = [datetime(2026, 3, 28, 18, 30), datetime(2026, 3, 28, 19, 30), datetime(2026, 3, 29, 18, 30), datetime(2026, 3, 29, 17, 59)]
+    df = _sessions(spark, [{"session_id": str(i), "started_at": s} for i, s in enumerate(starts)])
+    got = {r["session_id"]: r["local_hour"] for r in sessions.late_evening(df, "Europe/Berlin").collect()}
+    assert got == {"1": 20, "2": 20}
+    days = [datetime(2026, 3, 22, 23, 30) + timedelta(days=i) for i in range(7)]
+    week = _sessions(spark, [{"session_id": str(i), "started_at": s} for i, s in enumerate(days)]).withColumn("auditor", F.lit("x"))
+    found = sessions.weeks_without_rest(week, ["auditor"], "Europe/Berlin").collect()
+    assert [(r["auditor"], str(r["week"]), r["n_days"]) for r in found] == [("x", "2026-03-23", 7)]
