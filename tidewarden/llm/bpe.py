@@ -26,6 +26,7 @@ NONE = 1 << 62
 SHIFT = 32  # positions are below 2**32
 LOW = (1 << SHIFT) - 1
 SHORT = 64  # bytes of a match that is merged side by side with others
+BLOCK = 1_000  # texts whose ids are held at a time
 CACHED = 400_000  # short matches that a task remembers
 # Latin letters and ASCII only: the classes of the pattern written out, for the faster engine.
 LETTERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\t-\r \x85\xa0"
@@ -224,13 +225,15 @@ def encode(documents: DataFrame, lines: list[bytes], pattern: str, ids: bool = F
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = Bpe(sent.value, pattern)
         for batch in batches:
-            packed = list(bpe.encode_batch([text or "" for text in batch["text"]]))
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")})
-            out["n_tokens"] = [len(p) // 4 for p in packed]
-            out["ids_sha256"] = [hashlib.sha256(p).hexdigest() for p in packed]
-            out["decoded_sha256"] = [hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed]
-            if ids:
-                out["ids"] = packed
-            yield out
+            for i in range(0, len(batch), BLOCK):
+                part = batch[i : i + BLOCK]
+                packed = list(bpe.encode_batch([text or "" for text in part["text"]]))
+                out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array})
+                out["n_tokens"] = [len(p) // 4 for p in packed]
+                out["ids_sha256"] = [hashlib.sha256(p).hexdigest() for p in packed]
+                out["decoded_sha256"] = [hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed]
+                if ids:
+                    out["ids"] = packed
+                yield out
 
     return documents.select("doc_id", "text").mapInPandas(work, SCHEMA + ", ids binary" * ids)
