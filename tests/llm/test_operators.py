@@ -240,6 +240,30 @@ def test_embedding_near_duplicates(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_across_groups_and_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    chain = np.cumsum(0.3 * rng.standard_normal((120, 8)), 0) + 1
+    rows = np.concatenate([chain, chain[::7], rng.standard_normal((60, 8))]).astype(np.float32)
+    rows = rows[rng.permutation(len(rows))]
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    root = brute.least(range(len(rows)), zip(*(x.tolist() for x in np.nonzero(linked)), strict=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    for name, value in (("GROUP", 8), ("PART", 16), ("TILE", 3), ("CODES", 4)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (int(linked[i].sum()), root[i]) for i in range(len(rows))}
+
+
+def test_a_vector_is_sent_once_to_a_group():
+    sizes = np.array([3, 0, 4, 30, 2, 9, 1])
+    assert embedding_dedup.groups(sizes, 10).tolist() == [0, 3, 3, 3, 4, 5]
+    assert len(embedding_dedup.groups(np.full(1024, 50), 8192)) == 7  # a copy each, not one per cell
+    one, two = np.array([[0.0, 0.1]]), np.array([[0.15, 0.0]])
+    assert embedding_dedup.visit(one, two, np.array([1]), 0.2).tolist() == [[False, True, False, True]]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices([f"{d}{k}" for k in "abcdefgh"], k=40))) for i, d in enumerate(["en"] * 300 + ["de"] * 100)]

@@ -5,6 +5,10 @@ vector lies in the cell of its two nearest codes. A search visits cells in the o
 bound of their distance: a vector nearer to code i than to the query's own code lies beyond the
 plane midway between both. It stops where the bound exceeds the distance that the threshold allows,
 so the recall reached is one. Vectors of visited cells are verified.
+
+Cells see each other, so a vector visits only its own cell and those after it, and a link counts for
+both. Cells in a row form a group of bounded size; a vector is sent once to a group, however many of
+its cells it visits, and there compared tile by tile, without tiles that the bounds rule out.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import keep, ship
+from tidewarden.llm.common import forget, keep, ship
 from tidewarden.llm.graph import components
 from tidewarden.llm.vectors import stack, usable
 
@@ -24,7 +28,9 @@ ship(__name__)
 
 CODES = 32  # of each half: a grid of 1,024 cells
 SAMPLE = 8_000  # vectors at most that the codebooks are fitted on
-BLOCK = 2_000  # vectors of a cell, and queries, that meet in one task
+GROUP = 8_192  # vectors of a group of cells at most
+PART = 16_384  # visitors of a group that meet in one task, about
+TILE = 1_024  # vectors of either side that are compared at once
 
 
 def codebook(points: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
@@ -53,17 +59,23 @@ def bounds(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own, np.where(apart > 0, np.maximum(0, gap), 0) ** 2
 
 
-def visit(first: np.ndarray, second: np.ndarray, limit: float) -> list[list[int]]:
-    """Cells by multi-sequence traversal: both halves' codes in ascending order of their bounds, and
-    for each code of the first half the codes of the second while the sum stays within the limit."""
-    one, two = first.argsort(1, "stable"), second.argsort(1, "stable")
-    a, b = np.take_along_axis(first, one, 1), np.take_along_axis(second, two, 1)
-    width = second.shape[1]
-    cells = []
-    for i in range(len(a)):
-        ends = np.searchsorted(b[i], limit - a[i], "right")
-        cells.append([c * width + d for c, e in zip(one[i].tolist(), ends.tolist(), strict=True) for d in two[i, :e].tolist()])
-    return cells
+def visit(first: np.ndarray, second: np.ndarray, own: np.ndarray, limit: float) -> np.ndarray:
+    """For each vector and cell whether it visits: each code of the first half with the codes of the
+    second while the sum of their bounds stays within the limit, from the vector's own cell on."""
+    near = (first[:, :, None] + second[:, None, :] <= limit).reshape(len(first), -1)
+    return near & (np.arange(near.shape[1]) >= own[:, None])
+
+
+def groups(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The first cell of each group. Cells in a row share a group of at most `most` vectors; a larger
+    cell has groups of its own, which all begin with it."""
+    starts, held = [], most + 1
+    for cell, n in enumerate(sizes.tolist()):
+        if held + n > most:
+            starts += [cell] * max(1, -(-n // most))
+            held = 0
+        held += n
+    return np.array(starts)
 
 
 def unit(column) -> np.ndarray:
@@ -73,7 +85,7 @@ def unit(column) -> np.ndarray:
 
 
 def roots(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each left id the least id that the hits (x[i], y[i]) connect it with."""
+    """For each left id, then each right id, the least id that the hits (x[i], y[i]) connect it with."""
     ids, place = np.unique(np.concatenate([left, right]), return_inverse=True)
     x, y = place[: len(left)][x], place[len(left) :][y]
     label = np.arange(len(ids))
@@ -84,7 +96,7 @@ def roots(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) ->
         np.minimum.at(new, label, new.copy())
         new = new[new]
         if (new == label).all():
-            return ids[label[place[: len(left)]]]
+            return ids[label[place]]
         label = new
 
 
@@ -109,41 +121,73 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
     limit = 2 * (1 - cosine) + 1e-9
     width = len(books[1])
 
+    def located(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (i1, b1), (i2, b2) = bounds(points[:, :half], books[0]), bounds(points[:, half:], books[1])
+        return i1 * width + i2, b1, b2
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                part = batch[i : i + 2000]
-                points = unit(part["embedding"])
-                (i1, b1), (i2, b2) = bounds(points[:, :half], books[0]), bounds(points[:, half:], books[1])
-                yield part[["a", "k", "embedding"]].assign(cell=i1 * width + i2, visits=visit(b1, b2, limit))
-
-    placed = classes.mapInPandas(place, "a bigint, k bigint, embedding array<float>, cell int, visits array<int>")
-    placed = keep(placed, "placed")
-    member = placed.select("cell", "a", "k", "embedding")
-    placed = placed.sparkSession.read.schema(placed.schema).parquet(*placed.inputFiles())
-    query = placed.select(F.explode("visits").alias("cell"), "a", "k", "embedding")
-    # At most CODES * CODES rows: the parts of each cell's vectors and queries.
-    sizes = member.groupBy("cell").agg(F.count("*").alias("n")).join(query.groupBy("cell").agg(F.count("*").alias("q")), "cell")
-    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / BLOCK).cast("int").alias("parts")))
-    salt = F.xxhash64("a")
-
-    def dealt(df: DataFrame, mine: str, mine_of: str, other: str, other_of: str) -> DataFrame:
-        df = df.join(sizes, "cell").withColumn(mine, F.pmod(salt, F.col(mine_of)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_of) - 1))).select("cell", "block", "part", "a", "k", "embedding")
-
-    keys = ("cell", "block", "part")
+            for i in range(0, len(batch), TILE):
+                yield pd.DataFrame({"cell": located(unit(batch["embedding"][i : i + TILE]))[0]})
+
+    sizes = np.zeros(len(books[0]) * width, np.int64)
+    for r in classes.select("embedding").mapInPandas(place, "cell bigint").groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]  # of CODES * CODES cells at most
+    starts = groups(sizes, GROUP)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The group that holds a vector, and those that it visits."""
+        for batch in batches:
+            for i in range(0, len(batch), TILE):
+                part = batch[i : i + TILE]
+                cell, one, two = located(unit(part["embedding"]))
+                visits = np.logical_or.reduceat(visit(one, two, cell, limit), starts, axis=1)
+                end = np.searchsorted(starts, cell, "right")
+                begin = np.searchsorted(starts, starts[end - 1], "left")
+                home = begin + part["salt"].to_numpy() % (end - begin)
+                yield part[["a", "k", "embedding"]].assign(cell=cell, home=home, visits=[np.flatnonzero(v) for v in visits])
+
+    salted = classes.select("*", F.shiftrightunsigned(F.xxhash64("a"), 1).alias("salt"))
+    sent = keep(salted.mapInPandas(send, "a bigint, k bigint, embedding array<float>, cell bigint, home bigint, visits array<bigint>"), "sent")
+    asks = sent.select(F.explode("visits").alias("group"), "a", "k", "embedding", "cell")
+    parts = asks.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    parts = F.broadcast(parts)  # one row per group
+    asks = asks.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    again = sent.sparkSession.read.schema(sent.schema).parquet(sent.kept_at)
+    held = again.select(F.col("home").alias("group"), "a", "k", "embedding", "cell").join(parts, "group")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def verify(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "links": [], "b": []}).astype("int64")]
         if not len(asked) or not len(held):
-            return pd.DataFrame({"a": [], "links": [], "b": []}).astype("int64")
-        left, right = asked["a"].to_numpy(), held["a"].to_numpy()
-        x, y = np.nonzero((unit(asked["embedding"]) @ unit(held["embedding"]).T >= cosine) & (left[:, None] != right))
-        links = np.bincount(x, held["k"].to_numpy()[y], len(left)).astype("int64")
-        out = pd.DataFrame({"a": left, "links": links, "b": roots(x, y, left, right)})
-        return out[out["links"] > 0]
-
-    found = dealt(query, "part", "parts", "block", "blocks").groupBy(*keys).cogroup(dealt(member, "block", "blocks", "part", "parts").groupBy(*keys))
+            return out[0]
+        asked, held = asked.sort_values(["cell", "a"]), held.sort_values(["cell", "a"])
+        points = unit(held["embedding"])
+        to, size, at = (held[c].to_numpy() for c in ("a", "k", "cell"))
+        for i in range(0, len(asked), TILE):
+            part = asked[i : i + TILE]
+            left, k, cell = (part[c].to_numpy() for c in ("a", "k", "cell"))
+            asking = unit(part["embedding"])
+            _, one, two = located(asking)
+            seen = visit(one, two, cell, limit).any(0)
+            for j in range(0, len(held), TILE):
+                tile = slice(j, j + TILE)
+                if not seen[at[tile]].any():
+                    continue
+                x, y = np.nonzero(asking @ points[tile].T >= cosine)
+                after = cell[x] < at[tile][y]
+                some = after | ((cell[x] == at[tile][y]) & (left[x] != to[tile][y]))
+                x, y, after = x[some], y[some], after[some]
+                links = [np.bincount(x, size[tile][y], len(left)), np.bincount(y[after], k[x[after]], len(to[tile]))]
+                ids = np.concatenate([left, to[tile]])
+                rows = pd.DataFrame({"a": ids, "links": np.concatenate(links).astype("int64"), "b": roots(x, y, left, to[tile])})
+                out.append(rows[(rows["links"] > 0) | (rows["a"] != rows["b"])])  # all that hang together
+        return pd.concat(out)
+
+    keys = ("group", "part")
+    found = asks.drop("parts").groupBy(*keys).cogroup(held.drop("parts").groupBy(*keys))
     found = keep(found.applyInPandas(verify, "a bigint, links bigint, b bigint"), "found")
+    forget(sent)
     final = components(found.select("a", "b")).withColumnRenamed("node", "a")
     named = classes.join(found.groupBy("a").agg(F.sum("links").alias("links")), "a", "left").join(final, "a", "left")
     named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("links"), F.coalesce("component", "a").alias("component"))
