@@ -240,6 +240,36 @@ def test_embedding_near_duplicates(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_collisions_are_counted_right():
+    rng = np.random.default_rng(4)
+    values = rng.standard_normal((700, 30)).round(2)
+    arrays, centres = neighbours.Arrays(values), rng.standard_normal((5, 30))
+    for least in (1, 7, 16, 30):
+        half = np.array([0.1, 0.5, 1.0, 2.0, np.inf])
+        bits = arrays.collide(centres, half, least)
+        for q in range(5):
+            got = arrays.places(bits[q])
+            inside = (np.abs(values - centres[q]) <= half[q]).sum(1)
+            wider = (np.abs(values - centres[q]) <= half[q] + 1.5).sum(1)  # windows end at borders of buckets
+            assert set(np.flatnonzero(inside >= least)) <= set(got) <= set(np.flatnonzero(wider >= least))
+    assert len(arrays.places(arrays.collide(centres, np.full(5, np.inf), 30)[0])) == 700
+
+
+def test_few_vectors_are_verified(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((20000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    seen = []
+    monkeypatch.setattr(neighbours, "dots", lambda v, q: (seen.append(len(v)), (v * q).sum(1))[1])
+    hits = 0
+    for q, found, _ in neighbours.search(rows, np.arange(20000), rows[:20], np.arange(20), 1.0, 20):
+        score = rows @ rows[q]
+        score[q] = -np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 400
+    assert sum(seen) < 0.4 * 20 * 20000  # vectors without clusters; each is verified once at most
+
+
 def test_links_across_groups_and_tiles(spark, monkeypatch):
     rng = np.random.default_rng(9)
     chain = np.cumsum(0.3 * rng.standard_normal((120, 8)), 0) + 1
