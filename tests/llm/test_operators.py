@@ -127,6 +127,26 @@ def test_bpe():
         assert ours.merge(text.encode()) if text else True
 
 
+def test_bpe_holds_the_matches_of_few_texts(monkeypatch):
+    made = bpe.Bpe(*queries.public_ranks())
+    learn, held = made.learn, []
+    monkeypatch.setattr(made, "learn", lambda matches: (held.append(len(matches)), learn(matches))[1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(150)) for i in range(1000)]
+    packed = list(made.encode_batch(texts))
+    assert sum(map(len, texts)) > 2 * bpe.CHARS and max(held) < sum(held) / 2
+    assert [made.decode(p).decode() for p in packed] == texts and len(made.seen) <= bpe.CACHED
+
+
+def test_whole_texts_go_to_python_some_at_a_time(spark):
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    sizes = spark.range(3000, numPartitions=1).mapInPandas(lambda batches: (b[:1].assign(id=len(b)) for b in batches), "id long")
+    for run in (lambda: bpe.encode(docs, *queries.public_ranks()), lambda: minhash.near_duplicates(docs), lambda: quality.score(docs, labels)):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        run()
+        assert max(r["id"] for r in sizes.collect()) <= 1024
+
+
 def test_pii():
     finder = pii.Finder()
     rng = random.Random(4)

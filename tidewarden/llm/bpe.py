@@ -18,7 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tidewarden.llm.common import ship
+from tidewarden.llm.common import ship, small_batches
 
 ship(__name__)
 
@@ -26,8 +26,9 @@ NONE = 1 << 62
 SHIFT = 32  # positions are below 2**32
 LOW = (1 << SHIFT) - 1
 SHORT = 64  # bytes of a match that is merged side by side with others
-BLOCK = 1_000  # texts whose ids are held at a time
-CACHED = 400_000  # short matches that a task remembers
+BLOCK = 256  # texts whose ids are held at a time
+CHARS = 500_000  # of texts, about, whose matches are held at a time
+CACHED = 150_000  # short matches that a task remembers
 # Latin letters and ASCII only: the classes of the pattern written out, for the faster engine.
 LETTERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\t-\r \x85\xa0"
 OTHER = r"[^\x00-\x1b\x20-\x7e\x85ªµºÀ-ÖØ-öø-ɏ]"
@@ -173,11 +174,11 @@ class Bpe:
         return (self.plain if plain else self.split).findall(text)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Packed ids of each text; new matches are learnt for some megabytes of text at a time."""
+        """Packed ids of each text; new matches are learnt for some texts at a time."""
         at = 0
         while at < len(texts):
             part, chars = [], 0
-            while at < len(texts) and (not part or chars + len(texts[at]) < 2_000_000):
+            while at < len(texts) and (not part or chars + len(texts[at]) < CHARS):
                 part.append(self.matches(texts[at]))
                 chars += len(texts[at])
                 at += 1
@@ -220,6 +221,7 @@ def encode(documents: DataFrame, lines: list[bytes], pattern: str, ids: bool = F
     columns besides doc_id and text are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(lines)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

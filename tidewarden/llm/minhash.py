@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewarden.llm.common import keep, ship
+from tidewarden.llm.common import keep, ship, small_batches
 from tidewarden.llm.graph import components
 
 ship(__name__)
@@ -150,6 +150,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     copies costs as many comparisons as it has members. Classes of buckets that these links leave
     apart are compared across components if they share a rare shingle; no link is lost by that.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     signed = rows.mapInPandas(_sign(words), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
     signed = keep(signed, "signed")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import ship
+from tidewarden.llm.common import ship, small_batches
 
 ship(__name__)
 
@@ -146,6 +146,7 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tupl
 
 def scorer(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE):
     """A function of a text column that gives the score (0 to 1, higher where label 1 is likelier)."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labelled, sample))
 
     def work(texts: pd.Series) -> pd.Series:
