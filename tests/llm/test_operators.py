@@ -290,6 +290,53 @@ def test_few_vectors_are_verified(monkeypatch):
     assert sum(seen) < 0.4 * 20 * 20000  # vectors without clusters; each is verified once at most
 
 
+def test_all_nearest_are_found(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((9000, 48)) * rng.uniform(0.5, 2, (9000, 1))
+    rows[4000:4040] = rows[7]  # ties, and far more rows of one id than are wanted
+    rows[5000:5100] = rows[300] + 1e-9 * rng.standard_normal((100, 48))
+    ids = rng.permutation(9000)
+    ids[5000:5060] = ids[300]
+    top = np.linalg.norm(rows, axis=1).max()
+    ask = np.concatenate([[7, 300, 5010], np.arange(20, 80)])
+
+    def same(where):
+        seen = 0
+        for q, found, score in neighbours.search(rows[where], ids[where], rows[ask], ids[ask], top, 20):
+            exact = (rows[where] * rows[ask[q]]).sum(1)
+            other = np.flatnonzero(ids[where] != ids[ask[q]])
+            best = other[np.lexsort((ids[where][other], -exact[other]))[:20]]
+            assert found.tolist() == ids[where][best].tolist() and score.tolist() == exact[best].tolist()
+            seen += 1
+        assert seen == len(ask)
+
+    same(np.arange(9000))
+    same(np.arange(4000, 4030))
+    same(np.array([300, *range(5000, 5060), *range(10)]))  # fewer others than wanted
+    monkeypatch.setattr(neighbours, "REACH", 0.3)  # whatever collides by chance
+    same(np.arange(9000))
+    monkeypatch.setattr(neighbours, "COLLISIONS", neighbours.PROJECTIONS)
+    same(np.arange(9000))
+
+
+def test_nearest_over_blocks_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 5000)
+    rng = np.random.default_rng(6)
+    rows = rng.standard_normal((12000, 24)).astype(np.float32)
+    ids = np.arange(12000)
+    ids[100:150] = 100  # 50 rows of one id, each of which asks
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, rows, strict=True)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 400 == 100, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    exact = rows.astype(float)
+    for q in range(100, 12000, 400):
+        asked = np.flatnonzero(ids == q)
+        best = sorted((-s, i) for a in asked for s, i in zip((exact * exact[a]).sum(1).tolist(), ids.tolist(), strict=True) if i != q)[:20]
+        assert sorted(got.pop(q)) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert not got
+
+
 def test_links_across_groups_and_tiles(spark, monkeypatch):
     rng = np.random.default_rng(9)
     chain = np.cumsum(0.3 * rng.standard_normal((120, 8)), 0) + 1
